@@ -11,8 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MAX_BINS = 4096
-
+from barloom.session import cut_lineage
 
 def group_stats(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     """Attach per-group aggregates: partial aggregation plus join, not an unbounded window.
@@ -26,48 +25,71 @@ def totals(df: DataFrame, *aggs: Column) -> Column:
     return df.agg(F.struct(*aggs).alias("t")).scalar()
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str, rows_per_bin: int = 1_000_000) -> DataFrame:
+def value_bin(df: DataFrame, value: str) -> Column:
+    """A monotone map of values to a bounded set of bins that needs no statistics.
+
+    Java's log1p is semi-monotonic, so equal or larger values never fall into a lower bin;
+    about 2,800 bins cover each doubling.  Text is binned by its first characters."""
+    if dict(df.dtypes)[value] == "string":
+        return F.substring(value, 1, 3)
+    x = F.col(value).cast("double")
+    return (F.signum(x) * F.floor(F.log1p(F.abs(x) * 1e6) * 4096)).cast("long")
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values per group with `cnt`, `below` (rows under it) and `total`.
 
-    Values are placed in equal-width bins by a monotone map, so running counts inside a bin
-    and offsets between bins add up to the exact running count of the group."""
+    Running counts inside a bin plus the offset of the bin give the exact running count, so
+    no task sorts more than one bin of a group, and equal values are one row."""
     by = list(by)
     if not by:
-        return value_counts(df.select(F.lit(1).alias("_all"), value), ["_all"], value, rows_per_bin).drop("_all")
+        return value_counts(df.select(F.lit(1).alias("_all"), value), ["_all"], value).drop("_all")
     d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-    span = d.groupBy(*by).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_m"), F.sum("cnt").alias("total")
-    )
-    bins = F.least(F.lit(MAX_BINS), F.ceil(F.col("_m") / rows_per_bin))
-    pos = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    binned = (
-        d.join(span, by)
-        .withColumn("_bin", F.coalesce(F.least(bins - 1, F.floor(pos * bins)), F.lit(0)).cast("long"))
-        .drop("_lo", "_hi", "_m")
+    d = d.withColumn("_bin", value_bin(df, value))
+    group = W.partitionBy(*by)
+    offs = d.groupBy(*by, "_bin").agg(F.sum("cnt").alias("_c")).select(
+        *by,
+        "_bin",
+        F.coalesce(F.sum("_c").over(group.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_c").over(group).alias("total"),
     )
-    per_bin = binned.groupBy(*by, "_bin").agg(F.sum("cnt").alias("_c"))
-    offs = per_bin.withColumn(
-        "_off", F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_c")
     inner = W.partitionBy(*by, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return (
-        binned.withColumn("_cum", F.sum("cnt").over(inner))
+        d.withColumn("_cum", F.sum("cnt").over(inner))
         .join(offs, [*by, "_bin"])
         .withColumn("below", F.col("_off") + F.col("_cum") - F.col("cnt"))
         .drop("_bin", "_off", "_cum")
     )
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate that several branches of one plan read.
+
+    A reliable checkpoint in the shared folder: computed once, kept on executor loss, and the
+    plan above it starts from a scan instead of repeating the whole lineage per branch."""
+    return cut_lineage(df)
+
+
+def with_ranks(df: DataFrame, by: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Rank several columns within the same groups: for each {prefix: column} add
+    `<prefix>_below`, `<prefix>_ties`, `<prefix>_total` (nulls for null values)."""
+    by = list(by)
+    df = reuse(df)
+    out = df
+    for prefix, value in values.items():
+        keys = list(dict.fromkeys([*by, value]))
+        vc = value_counts(df.select(*keys), by, value).select(
+            *keys,
+            F.col("below").alias(f"{prefix}_below"),
+            F.col("cnt").alias(f"{prefix}_ties"),
+            F.col("total").alias(f"{prefix}_total"),
+        )
+        out = out.join(vc, keys, "left")
+    return out
+
+
 def with_rank(df: DataFrame, by: Sequence[str], value: str, prefix: str = "rk") -> DataFrame:
-    """Add `<prefix>_below`, `<prefix>_ties`, `<prefix>_total`; null values get nulls."""
-    vc = value_counts(df.select(*by, value), by, value).select(
-        *by,
-        value,
-        F.col("below").alias(f"{prefix}_below"),
-        F.col("cnt").alias(f"{prefix}_ties"),
-        F.col("total").alias(f"{prefix}_total"),
-    )
-    return df.join(vc, [*by, value], "left")
+    return with_ranks(df, by, {prefix: value})
 
 
 def avg_rank(prefix: str = "rk") -> Column:

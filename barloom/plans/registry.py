@@ -49,7 +49,7 @@ def sql(deps: str, body: str) -> str:
 
     for d in deps.split():
         visit(d)
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n][1]})" for n in order) + " " + body
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + " " + body
 
 
 def R(expr: str, d: int = 6) -> str:
@@ -131,6 +131,29 @@ class Views:
         )
 
 
+    @cached_property
+    def fund(self) -> DataFrame:
+        """Fundamentals per symbol, with its industry."""
+        mean = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+        f = self.table("lineitem").groupBy(F.col("l_suppkey").alias("symbol")).agg(
+            (mean("l_discount") * 100).alias("roe"),
+            (mean("l_tax") * 100).alias("gross_profit_margin"),
+            mean("l_quantity").alias("net_profit_margin"),
+            (F.sum((F.col("l_returnflag") == "R").cast("int")) / F.count(F.lit(1)) * 100).alias("revenue_growth"),
+            (F.sum((F.col("l_linestatus") == "O").cast("int")) / F.count(F.lit(1)) * 100).alias("net_profit_growth"),
+            F.max("l_extendedprice").alias("top_price"),
+            F.count(F.lit(1)).alias("n_trades"),
+        )
+        return self.industry.join(f, "symbol").withColumn("pe_ttm", F.col("acctbal") / 50).withColumn("pb", F.col("acctbal") / 100)
+
+    @cached_property
+    def daily_flow(self) -> DataFrame:
+        """Net money flow per symbol and day: buys less sells."""
+        v = F.col("value").cast("decimal(18,2)")
+        return self.trades.groupBy("symbol", "trade_date").agg(
+            F.sum(F.when(F.col("action") == "buy", v).otherwise(-v)).cast("double").alias("net")
+        )
+
     @cached_property
     def index_bars(self) -> DataFrame:
         return self.adj.groupBy("trade_date").agg(
@@ -213,6 +236,22 @@ cte(
     CASE WHEN l_returnflag='R' THEN 'sell' ELSE 'buy' END AS action, CAST(l_quantity AS BIGINT) AS qty,
     {PX} AS price, l_extendedprice AS value, l_discount AS discount FROM lineitem""",
 )
+cte(
+    "fund",
+    """SELECT i.*, acctbal/50 AS pe_ttm, acctbal/100 AS pb, roe, gross_profit_margin, net_profit_margin, revenue_growth, net_profit_growth, top_price, n_trades
+    FROM industry i JOIN (SELECT l_suppkey AS symbol,
+    CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE)/count(*)*100 AS roe, CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE)/count(*)*100 AS gross_profit_margin,
+    CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)/count(*) AS net_profit_margin,
+    count(*) FILTER (l_returnflag='R')/count(*)*100 AS revenue_growth, count(*) FILTER (l_linestatus='O')/count(*)*100 AS net_profit_growth,
+    max(l_extendedprice) AS top_price, count(*) AS n_trades FROM lineitem GROUP BY 1) f ON i.symbol=f.symbol""",
+    "industry",
+)
+cte(
+    "daily_flow",
+    """SELECT symbol, trade_date, CAST(sum(CASE WHEN action='buy' THEN CAST(value AS DECIMAL(18,2)) ELSE -CAST(value AS DECIMAL(18,2)) END) AS DOUBLE) AS net
+    FROM trades GROUP BY 1,2""",
+    "trades",
+)
 cte(
     "quality",
     """SELECT symbol, record_date, revenue, n_orders, largest,
@@ -318,3 +357,21 @@ cte(
 )
 cte("i_dxs", f"SELECT *, {over('avg(dx)', 14)} AS dx14, {full('avg(slow_k)', 3, 'slow_k')} AS slow_d FROM i_dx", "i_dx")
 cte("ind", f"SELECT *, {wilder_seeded('dx', 'dx14', 14, 27)} AS adx FROM i_dxs", "i_dxs")
+
+
+def avgrank(v: str, by: str = "") -> str:
+    """Average-tie rank of v within `by` (comma list)."""
+    p = f"PARTITION BY {by}" if by else ""
+    q = f"PARTITION BY {by + ', ' if by else ''}{v}"
+    return f"(CASE WHEN {v} IS NOT NULL THEN rank() OVER ({p} ORDER BY {v}) + (count(*) OVER ({q})-1)/2e0 END)"
+
+
+def pctrank(v: str, by: str = "") -> str:
+    p = f"PARTITION BY {by}" if by else ""
+    return f"({avgrank(v, by)}/count({v}) OVER ({p}))"
+
+
+def zsql(v: str, by: str = "") -> str:
+    p = f"PARTITION BY {by}" if by else ""
+    z = f"(({v}-avg({v}) OVER ({p}))/nullif(stddev_samp({v}) OVER ({p}),0))"
+    return f"(CASE WHEN {z} IS NULL THEN 0e0 ELSE greatest(-3e0,least(3e0,{z})) END)"

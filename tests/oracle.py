@@ -46,8 +46,10 @@ def rows(cols, data):
 def compare(spark, con, name, q, sf_dir):
     from barloom.plans.registry import Views
 
+    t0 = time.time()
     df = q.build(Views(spark, sf_dir))
     got_c, got = rows(df.columns, df.collect())
+    print(f"[{time.time() - t0:5.1f}s]", end=" ")
     if q.sql is None:
         return f"rows-only {len(got)}"
     cur = con.execute(q.sql)
@@ -86,6 +88,7 @@ def main() -> int:
             res = "ERROR " + str(e).strip()[:700]
             if "--trace" in sys.argv:
                 traceback.print_exc()
+        spark.catalog.clearCache()
         fails += not res.startswith(("ok", "rows"))
         print(f"{name:34s} {time.time() - t:6.2f}s {res}", flush=True)
     print("failures:", fails)
