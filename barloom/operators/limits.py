@@ -110,7 +110,7 @@ def stress_windows(counts: DataFrame, kind: str, days: int = 5, top: int = 3) ->
                 rows.append((x.start, x.trade_date, int(x.total), x.total / days))
         return pd.DataFrame(rows, columns=["start", "end", "count", "mean_per_day"])
 
-    return c.groupBy(F.lit(0)).applyInPandas(pick, "start date, end date, count long, mean_per_day double")
+    return c.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(pick, "start date, end date, count long, mean_per_day double")
 
 
 def market_state(bars: DataFrame, full_at: float = 0.02, half_at: float = -0.02, vol_max: float = 0.8) -> DataFrame:

@@ -198,7 +198,7 @@ def prune_correlated(pairs: DataFrame, strength: DataFrame, threshold: float = 0
                 gone.add(row.f if row.ic_f <= row.ic_g else row.g)
         return pd.DataFrame({"factor": sorted(gone)})
 
-    return p.groupBy(F.lit(0)).applyInPandas(run, "factor string")
+    return p.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "factor string")
 
 
 def ir_weights(df: DataFrame, icir_col: str = "icir", by: Sequence[str] = ()) -> DataFrame:

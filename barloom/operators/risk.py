@@ -349,8 +349,14 @@ def deflated_target(trials: int, variance: float = 1.0) -> float:
     return variance**0.5 * ((1 - g) * nd.inv_cdf(1 - 1 / trials) + g * nd.inv_cdf(1 - 1 / (trials * e)))
 
 
-def newey_west(series: DataFrame, col: str, lags: int) -> DataFrame:
-    """n, mean and Newey-West long-run variance of a date-ordered series (one row per date)."""
+def auto_lag(n: int) -> int:
+    return max(0, min(int(4.0 * (n / 100.0) ** (2.0 / 9.0)), n - 2))
+
+
+def newey_west(series: DataFrame, col: str, lags: int, per_lag_mean: bool = False) -> DataFrame:
+    """n, mean and Newey-West long-run variance of a date-ordered series (one row per date).
+
+    Lagged products are averaged over n, or over their own n-j terms with `per_lag_mean`."""
     w = W.partitionBy(F.lit(0)).orderBy("trade_date")
     m = series.agg(F.avg(col)).scalar()
     x = series.withColumn("_x", F.col(col) - m)
@@ -358,22 +364,28 @@ def newey_west(series: DataFrame, col: str, lags: int) -> DataFrame:
     n = F.count(F.lit(1))
     var = F.sum(F.col("_x") * F.col("_x")) / n
     for j in range(1, lags + 1):
-        var = var + 2 * (1 - j / (lags + 1)) * F.coalesce(F.sum(f"_l{j}"), F.lit(0.0)) / n
+        var = var + 2 * (1 - j / (lags + 1)) * F.coalesce(F.sum(f"_l{j}"), F.lit(0.0)) / (n - j if per_lag_mean else n)
     return x.agg(n.alias("n"), F.avg(col).alias("mean"), var.alias("long_run_var"))
 
 
 def diebold_mariano(pairs: DataFrame, lags: int) -> DataFrame:
-    """Test that two return series have equal loss, with the HAC variance."""
-    d = newey_west(pairs.withColumn("_d", F.col("ret_a") - F.col("ret_b")), "_d", lags)
+    """Test that two return series have equal mean, with the HAC variance."""
+    d = newey_west(pairs.withColumn("_d", F.col("ret_a") - F.col("ret_b")), "_d", lags, per_lag_mean=True)
     z = F.col("mean") / F.sqrt(F.greatest(F.col("long_run_var"), F.lit(1e-12)) / F.col("n"))
-    return d.withColumn("dm", z).withColumn("p_value", 2 * (1 - normal_cdf(F.abs("dm"))))
+    return d.withColumn("dm", z).withColumn("p_value", 2 * normal_cdf(-F.abs("dm")))
 
 
 def hac_sharpe_se(returns: DataFrame, lags: int, rf: float = 0.03) -> DataFrame:
-    """Annualised Sharpe and its standard error from the long-run variance."""
-    d = newey_west(returns.where("ret is not null"), "ret", lags)
-    s = returns.where("ret is not null").agg(F.stddev_samp("ret")).scalar()
+    """Annualised Sharpe and its delta-method standard error.
+
+    The gradient is applied to the two moments first, so one long-run variance of the
+    combined series replaces the 2x2 matrix."""
+    r = returns.where("ret is not null").withColumn("_e", F.col("ret") - rf / YEAR)
+    t = r.agg(F.struct(F.avg("_e").alias("mu"), F.stddev_pop("_e").alias("sd"))).scalar()
+    mu, sd = t.getField("mu"), t.getField("sd")
+    dev = F.col("_e") - mu
+    u = r.withColumn("_u", dev / sd - mu / (2 * F.pow(sd, 3)) * (dev * dev - sd * sd))
+    d = newey_west(u, "_u", lags)
     return d.select(
-        "n", ((F.col("mean") - rf / YEAR) / s * YEAR**0.5).alias("sharpe"),
-        (F.sqrt(F.greatest(F.col("long_run_var"), F.lit(0.0)) / F.col("n")) / s * YEAR**0.5).alias("se"),
+        "n", (mu / sd * YEAR**0.5).alias("sharpe"), (F.sqrt(F.greatest(F.col("long_run_var"), F.lit(0.0)) / F.col("n")) * YEAR**0.5).alias("se")
     )
