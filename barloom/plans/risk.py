@@ -44,7 +44,7 @@ def _(v):
 cte(
     "bst",
     """SELECT count(*) AS n, exp(sum(ln(1+a)))-1 AS cp, exp(sum(ln(1+b)))-1 AS cb, avg(a) AS ma, avg(b) AS mb, stddev_samp(a) AS sa, covar_samp(a,b)/var_samp(b) AS beta, stddev_samp(a-b) AS sd
-    FROM (SELECT a/100 AS a, b/100 AS b FROM ab)""",
+    FROM (SELECT a/1e4 AS a, b/1e4 AS b FROM ab)""",
     "ab",
 )
 
@@ -58,13 +58,13 @@ cte(
     ),
 )
 def _(v):
-    damp = lambda d: d.withColumn("ret", F.col("ret") / 100)
+    damp = lambda d: d.withColumn("ret", F.col("ret") / 1e4)
     df = rounded(K.benchmark_stats(K.aligned(damp(port(v)), damp(market(v)))), "cum_portfolio", "cum_benchmark", "alpha", d=4)
     return rounded(df, "beta", "sharpe", "tracking_error", "information_ratio", "information_ratio_annual")
 
 
 # Equity curves per industry: the damped compounded mean return.
-cte("eq", "SELECT strategy, trade_date, exp(sum(ln(1+ret/100)) OVER (PARTITION BY strategy ORDER BY trade_date)) AS value, abs(ret) AS turnover FROM irt", "irt")
+cte("eq", "SELECT strategy, trade_date, exp(sum(ln(1+ret/1e4)) OVER (PARTITION BY strategy ORDER BY trade_date)) AS value, abs(ret) AS turnover FROM irt", "irt")
 cte("eq1", "SELECT *, value/lag(value) OVER w-1 AS r, value/max(value) OVER w-1 AS dd, row_number() OVER w AS n FROM eq WINDOW w AS (PARTITION BY strategy ORDER BY trade_date ROWS UNBOUNDED PRECEDING)", "eq")
 cte("eq2", "SELECT *, quantile_cont(r,0.05) OVER (PARTITION BY strategy) AS q, arg_max(n, (value, -n)) OVER (PARTITION BY strategy) AS pk FROM eq1", "eq1")
 cte(
@@ -80,7 +80,7 @@ def curves(v):
     from pyspark.sql import Window as W
 
     w = W.partitionBy("strategy").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
-    return strategies(v).select("strategy", "trade_date", F.exp(F.sum(F.log1p(F.col("ret") / 100)).over(w)).alias("value"), F.abs("ret").alias("turnover"))
+    return strategies(v).select("strategy", "trade_date", F.exp(F.sum(F.log1p(F.col("ret") / 1e4)).over(w)).alias("value"), F.abs("ret").alias("turnover"))
 
 
 @query(
