@@ -21,6 +21,7 @@ MODULES = (
     "integrity",
     "learning",
     "portfolio",
+    "rules",
     "reports",
     "ingestion",
 )
