@@ -17,32 +17,39 @@ def with_index(df: DataFrame) -> DataFrame:
     return df if "i" in df.columns else df.withColumn("i", F.row_number().over(by_symbol()) - 1)
 
 
-def recurrence(df: DataFrame, out: str, x: Column, decay: float, gain: float, seed: Column, start: int = 0) -> DataFrame:
-    """y[start] = seed and y[i] = decay*y[i-1] + gain*x[i] afterwards, as prefix sums.
+def recurrences(df: DataFrame, specs: list[tuple[str, Column, float, float, Column, int]]) -> DataFrame:
+    """Linear recurrences as prefix sums, several at once: (out, x, decay, gain, seed, start)
+    gives y[start] = seed and y[i] = decay*y[i-1] + gain*x[i] afterwards.
 
     Inside a block of 1,000 rows the closed form is exact; the last value of the previous
     block is carried over.  What the block before that adds is below double precision, which
-    is checked here."""
-    if not 0 < decay < 1 or -BLOCK * math.log(decay) < 37 or -BLOCK * math.log(decay) > 700:
-        raise ValueError(f"decay {decay} is outside the range the block form is exact for")
-    df = with_index(df)
-    n = F.col("i") - start
-    k = n % BLOCK
-    blk = F.floor(n / BLOCK)
-    term = F.when(n == 0, seed).when(n > 0, gain * x) * F.pow(F.lit(1.0 / decay), k)
-    local = F.pow(F.lit(decay), k) * F.sum("_g").over(
-        W.partitionBy("symbol", "_blk").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
-    )
-    carry = F.last(F.when(k == BLOCK - 1, F.col("_local")), ignorenulls=True).over(
-        by_symbol().rowsBetween(W.unboundedPreceding, -1)
-    )
-    return (
-        df.withColumn("_blk", F.when(n >= 0, blk).otherwise(-1))
-        .withColumn("_g", term)
-        .withColumn("_local", F.when(n >= 0, local))
-        .withColumn(out, F.col("_local") + F.coalesce(F.pow(F.lit(decay), k + 1) * carry, F.lit(0.0)))
-        .drop("_blk", "_g", "_local")
+    is checked here.  All recurrences of one call share two window passes."""
+    for _, _, decay, _, _, _ in specs:
+        if not 0 < decay < 1 or -BLOCK * math.log(decay) < 37 or -BLOCK * math.log(decay) > 700:
+            raise ValueError(f"decay {decay} is outside the range the block form is exact for")
+    df = with_index(df).withColumn("_blk", F.floor(F.col("i") / BLOCK))
+    k = F.col("i") % BLOCK
+    term = lambda x, d, g, seed, st: F.when(F.col("i") == st, seed).when(F.col("i") > st, g * x) * F.pow(F.lit(1.0 / d), k)
+    df = df.withColumns({f"_g_{o}": term(x, d, g, seed, st) for o, x, d, g, seed, st in specs})
+    block = W.partitionBy("symbol", "_blk").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumns({f"_l_{o}": F.pow(F.lit(d), k) * F.sum(f"_g_{o}").over(block) for o, _, d, *_ in specs})
+    before = by_symbol().rowsBetween(W.unboundedPreceding, -1)
+    carry = lambda o: F.last(F.when(k == BLOCK - 1, F.col(f"_l_{o}")), ignorenulls=True).over(before)
+    df = df.withColumns({f"_c_{o}": carry(o) for o, *_ in specs})
+    df = df.withColumns(
+        {
+            o: F.when(
+                F.col("i") >= st,
+                F.coalesce(F.col(f"_l_{o}"), F.lit(0.0)) + F.coalesce(F.pow(F.lit(d), k + 1) * F.col(f"_c_{o}"), F.lit(0.0)),
+            )
+            for o, _, d, _, _, st in specs
+        }
     )
+    return df.drop("_blk", *[f"_{p}_{o}" for o, *_ in specs for p in "glc"])
+
+
+def recurrence(df: DataFrame, out: str, x: Column, decay: float, gain: float, seed: Column, start: int = 0) -> DataFrame:
+    return recurrences(df, [(out, x, decay, gain, seed, start)])
 
 
 def ema(df: DataFrame, out: str, src: str, span: int) -> DataFrame:
@@ -178,10 +185,64 @@ def turnover_columns(df: DataFrame) -> DataFrame:
 
 
 def indicators(bars: DataFrame) -> DataFrame:
-    """The shared indicator panel (all of the above)."""
-    df = crosses(macd(sma(with_index(bars))))
-    df = bollinger(adx(rsi(atr(df))))
-    return turnover_columns(cci(stochastic(df)))
+    """The shared indicator panel: all of the above, arranged so that everything that can
+    share a window pass does."""
+    lag = lambda c: F.lag(c).over(by_symbol())
+    n, d = 14, 1 - 1.0 / 14
+    df = with_index(bars)
+    df = df.withColumns(
+        {
+            **{f"ma_{p}": full(F.avg("close"), p) for p in MA_PERIODS},
+            "_pc": lag("close"), "_ph": lag("high"), "_pl": lag("low"),
+            "_hh": full(F.max("high"), 9), "_ll": full(F.min("low"), 9),
+            "bb_mid": full(F.avg("close"), 20), "_sd": full(F.stddev_pop("close"), 20),
+            "amount_ma20": full(F.avg("amount"), 20, src="amount", to=-1),
+        }
+    )
+    h, lo, c, pc = F.col("high"), F.col("low"), F.col("close"), F.col("_pc")
+    up, dn = h - F.col("_ph"), F.col("_pl") - lo
+    some = lambda x: F.when(pc.isNotNull(), x)
+    df = df.withColumns(
+        {
+            "_tr": some(F.greatest(h - lo, F.abs(h - pc), F.abs(lo - pc))),
+            "_up": some(F.greatest(c - pc, F.lit(0.0))), "_dn": some(F.greatest(pc - c, F.lit(0.0))),
+            "_pdm": some(F.when((up > dn) & (up > 0), up).otherwise(0.0)), "_mdm": some(F.when((dn > up) & (dn > 0), dn).otherwise(0.0)),
+            "_tp": (h + lo + c) / 3,
+            "_fk": F.when(F.col("_hh").isNotNull(), F.coalesce(F.try_divide(100 * (c - F.col("_ll")), F.col("_hh") - F.col("_ll")), F.lit(0.0))),
+            "bb_up": F.col("bb_mid") + 2.0 * F.col("_sd"), "bb_low": F.col("bb_mid") - 2.0 * F.col("_sd"),
+        }
+    ).withColumn("bb_width", F.try_divide(F.col("bb_up") - F.col("bb_low"), c))
+    df = df.withColumns(
+        {
+            **{f"_a{x}": F.avg(x).over(tail(n)) for x in ("_tr", "_up", "_dn")},
+            **{f"_s{x}": F.sum(x).over(tail(n - 1)) for x in ("_tr", "_pdm", "_mdm")},
+            "_m": full(F.avg("_tp"), 20, src="_tp"), "_win": F.collect_list("_tp").over(tail(20)),
+            "slow_k": full(F.avg("_fk"), 3, src="_fk"),
+        }
+    )
+    fast, slow = 2.0 / 13, 2.0 / 27
+    df = recurrences(
+        df,
+        [
+            ("_ef", c, 1 - fast, fast, c, 0), ("_es", c, 1 - slow, slow, c, 0),
+            ("atr", F.col("_tr"), d, 1.0 / n, F.col("_a_tr"), n), ("_au", F.col("_up"), d, 1.0 / n, F.col("_a_up"), n), ("_ad", F.col("_dn"), d, 1.0 / n, F.col("_a_dn"), n),
+            ("_str", F.col("_tr"), d, 1.0, F.col("_s_tr"), n - 1), ("_sp", F.col("_pdm"), d, 1.0, F.col("_s_pdm"), n - 1), ("_sm", F.col("_mdm"), d, 1.0, F.col("_s_mdm"), n - 1),
+        ],
+    )
+    p, m, tot = F.try_divide(F.col("_sp"), F.col("_str")), F.try_divide(F.col("_sm"), F.col("_str")), F.col("_au") + F.col("_ad")
+    dev = F.aggregate("_win", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_m"))) / 20
+    df = df.withColumns(
+        {
+            "dif": F.col("_ef") - F.col("_es"),
+            "rsi": F.when(tot.isNotNull(), F.coalesce(F.try_divide(100 * F.col("_au"), tot), F.lit(0.0))),
+            "_dx": F.when(F.col("i") >= n, F.coalesce(F.try_divide(100 * F.abs(p - m), p + m), F.lit(0.0))),
+            "cci": F.when(F.col("_m").isNotNull(), F.coalesce(F.try_divide(F.col("_tp") - F.col("_m"), 0.015 * dev), F.lit(0.0))),
+        }
+    )
+    df = df.withColumns({"_adx": F.avg("_dx").over(tail(n)), "slow_d": full(F.avg("slow_k"), 3, src="slow_k")})
+    df = recurrences(df, [("dea", F.col("dif"), 0.8, 0.2, F.col("dif"), 0), ("adx", F.col("_dx"), d, 1.0 / n, F.col("_adx"), 2 * n - 1)])
+    df = df.withColumn("macd_hist", 2 * (F.col("dif") - F.col("dea"))).withColumn("amplitude", F.try_divide(h - lo, c))
+    return crosses(df).drop(*[x for x in df.columns if x.startswith("_")])
 
 
 def vol_regime(df: DataFrame) -> DataFrame:
