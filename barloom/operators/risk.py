@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from barloom.operators.panel import by_symbol
 from barloom.operators.scaling import quantiles, reuse
@@ -324,7 +324,7 @@ def moments(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ).drop("_m", "_s", "_g1", "_g2")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     from statistics import NormalDist
 
