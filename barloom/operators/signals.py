@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from barloom.operators import trend
-from barloom.operators.panel import by_symbol, full, history, tail, tick
+from barloom.operators.panel import by_symbol, full, history, tail, tick as exact_tick
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,11 @@ def lag(c: str, n: int = 1) -> Column:
     return F.lag(c, n).over(by_symbol())
 
 
+def tick(x: Column) -> Column:
+    """Round a computed price to 0.01; float noise is removed first so a half goes up."""
+    return exact_tick(F.round(x, 8))
+
+
 def macd_trend(dif: Column, dea: Column) -> Column:
     return (
         F.when((dif > dea) & (dea > 0), "SUPER_STRONG")

@@ -65,13 +65,13 @@ cte(
     f"""SELECT *, CAST(floor((CASE WHEN macd_label='golden_above_zero' THEN floor(17*vf+10*vf) WHEN macd_label='golden_below_zero' THEN floor(8*vf+10*vf)
     WHEN dif>dea THEN floor(17*0.75e0*vf) ELSE 0e0 END)*coalesce(greatest(0.3e0, 1e0-(i-oldest)/30e0),1e0)) AS INT) AS golden_score,
     CASE WHEN macd_trend='SUPER_WEAK' OR regime='WEAK_TREND' THEN 'HIGH' ELSE 'LOW' END AS risk_level,
-    floor((pc-{lag('atr')}*1.5e0)*100+0.5e0)/100 AS pstop FROM sg4""",
+    floor(round(pc-{lag('atr')}*1.5e0,8)*100+0.5e0)/100 AS pstop FROM sg4""",
     "sg4",
 )
 cte(
     "sig",
     """SELECT *, CASE WHEN risk_level='HIGH' THEN 100e0 WHEN coalesce(pstop>0 AND close<pstop,false) THEN 90e0 ELSE 0e0 END AS exit_score,
-    CASE WHEN coalesce(atr>0,false) THEN floor((close-atr*1.5e0)*100+0.5e0)/100 ELSE 0e0 END AS stop_loss,
+    CASE WHEN coalesce(atr>0,false) THEN floor(round(close-atr*1.5e0,8)*100+0.5e0)/100 ELSE 0e0 END AS stop_loss,
     greatest(least(CASE macd_trend WHEN 'SUPER_STRONG' THEN 22 WHEN 'STRONG' THEN 13 WHEN 'WEAK' THEN 8 ELSE 0 END
       + golden_score + momentum_score + slope_score + candle_score, 100e0), 0e0) AS score_base FROM sg5""",
     "sg5",
@@ -227,8 +227,8 @@ def _(v):
 
 cte(
     "xl",
-    f"""SELECT *, atr>0 AS ok, floor((close-atr*1.5e0)*100+0.5e0)/100 AS sl, floor((close+atr*3)*100+0.5e0)/100 AS t1,
-    floor((close+atr*5)*100+0.5e0)/100 AS t2, CASE WHEN close>={full('max(high)', 20)}*0.98e0 THEN floor({over('min(low)', 10)}*100+0.5e0)/100 END AS ts FROM i_w""",
+    f"""SELECT *, atr>0 AS ok, floor(round(close-atr*1.5e0,8)*100+0.5e0)/100 AS sl, floor(round(close+atr*3,8)*100+0.5e0)/100 AS t1,
+    floor(round(close+atr*5,8)*100+0.5e0)/100 AS t2, CASE WHEN close>={full('max(high)', 20)}*0.98e0 THEN floor(round({over('min(low)', 10)},8)*100+0.5e0)/100 END AS ts FROM i_w""",
     "i_w",
 )
 
