@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.panel import by_symbol, full
-from barloom.operators.scaling import avg_rank, group_stats, pct_rank, reuse, with_rank, with_ranks
+from barloom.operators.scaling import avg_rank, beside, group_stats, pct_rank, with_rank, with_ranks
 
 # Prior weights of the factor registry.
 PRIOR_WEIGHTS = {
@@ -37,7 +37,7 @@ def zscore(df: DataFrame, by: Sequence[str], cols: dict[str, str], bound: float
 
     `cols` maps output to input; all columns share one aggregation."""
     aggs = [a for o, c in cols.items() for a in (F.avg(c).alias(f"_m_{o}"), F.stddev_samp(c).alias(f"_s_{o}"))]
-    out = group_stats(df, by, *aggs) if by else df.crossJoin(F.broadcast(df.agg(*aggs)))
+    out = group_stats(df, by, *aggs) if by else beside(df, df.agg(*aggs))
     for o, c in cols.items():
         z = F.try_divide(F.col(c) - F.col(f"_m_{o}"), F.col(f"_s_{o}"))
         out = out.withColumn(o, F.coalesce(clip(z, -bound, bound), F.lit(0.0)))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.panel import by_symbol
+from barloom.operators.scaling import beside
 
 
 def label(horizon: int, start: str = "close") -> Column:
@@ -100,7 +101,7 @@ def check_split(train: DataFrame, val: DataFrame, calendar: DataFrame, horizon:
     idx = date_index(calendar)
     shared = train.select("trade_date").intersect(val.select("trade_date")).agg(F.count(F.lit(1)).alias("n_shared"))
     end = lambda d, f, name: d.select("trade_date").distinct().join(idx, "trade_date").agg(f("pos").alias(name))
-    one = end(train, F.max, "train_end").join(end(val, F.min, "val_start")).join(shared)  # one row each
+    one = beside(end(train, F.max, "train_end"), end(val, F.min, "val_start"), shared)
     one = one.withColumn("gap", F.col("val_start") - F.col("train_end") - 1)
     one = one.withColumn("label_overlap", F.greatest(F.col("train_end") + horizon - F.col("val_start") + 1, F.lit(0)))
     return one.withColumn("passed", (F.col("n_shared") == 0) & (F.col("train_end") < F.col("val_start")) & (F.col("gap") >= purge))
@@ -118,7 +119,7 @@ def check_anchor(train: DataFrame, window: DataFrame, signals: DataFrame, calend
     idx = date_index(calendar)
     at = idx.where(F.col("trade_date") <= a).agg(F.max("pos")).scalar()
     last = window.join(idx, "trade_date").agg(F.max("pos").alias("_w"))
-    one = train.agg(F.max("trade_date").alias("train_end")).join(last).join(signals.agg(F.min("trade_date").alias("first_signal")))
+    one = beside(train.agg(F.max("trade_date").alias("train_end")), last, signals.agg(F.min("trade_date").alias("first_signal")))
     return one.select(
         "train_end", "first_signal", (F.col("train_end") <= a).alias("train_ok"), (F.col("_w") + horizon <= at).alias("label_ok"), (F.col("first_signal") > a).alias("signal_ok")
     )
@@ -194,7 +195,7 @@ def check_costs(costed: DataFrame, floor: float = 0.0005, cap: float = 0.10) ->
 def significance(rounds: DataFrame, holding: DataFrame, cycle: DataFrame) -> DataFrame:
     """Enough rounds, healthy holding and a market span with both regimes; one row."""
     r = rounds.agg(F.sum("rounds").alias("rounds"))
-    one = r.join(holding).join(cycle)  # one row each
+    one = beside(r, holding, cycle)
     return one.withColumns(
         {
             "enough_trades": F.col("rounds") >= 100,

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from barloom.operators.panel import by_symbol
-from barloom.operators.scaling import quantiles, reuse
+from barloom.operators.scaling import beside, quantiles, reuse
 
 YEAR = 252
 
@@ -157,7 +157,7 @@ def brinson_periods(effects: DataFrame, period: str, returns: DataFrame) -> Data
     """Sum the effects over periods and compound the portfolio and benchmark returns."""
     e = effects.agg(*[F.sum(c).alias(c) for c in ("allocation", "selection", "interaction")], F.countDistinct(period).alias("periods"))
     r = returns.agg(compound(F.col("portfolio")).alias("portfolio"), compound(F.col("benchmark")).alias("benchmark"))
-    return e.join(r)  # one row each
+    return beside(e, r)
 
 
 def first_last_return(bars: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -191,7 +191,7 @@ def factor_risk(exposure: DataFrame, cov: DataFrame, weights: DataFrame, idio: D
     w = weights.withColumn("weight", F.col("weight") / t)
     w = w.join(idio, "symbol", "left") if idio is not None else w.withColumn("idio_vol", F.lit(None).cast("double"))
     iv = w.agg(F.sum(F.pow(F.col("weight") * F.coalesce("idio_vol", F.lit(default_idio)), 2)).alias("idio_var"))
-    out = fv.join(iv)  # one row each
+    out = beside(fv, iv)
     tot = F.col("factor_var") + F.col("idio_var")
     return out.withColumns(
         {

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.session import cut_lineage
 
+
 def group_stats(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     """Attach per-group aggregates: partial aggregation plus join, not an unbounded window.
 
@@ -25,6 +26,14 @@ def totals(df: DataFrame, *aggs: Column) -> Column:
     return df.agg(F.struct(*aggs).alias("t")).scalar()
 
 
+def beside(df: DataFrame, *singles: DataFrame) -> DataFrame:
+    """Attach the columns of one-row frames as scalar subqueries (no cross join)."""
+    for one in singles:
+        t = one.select(F.struct(*one.columns).alias("t")).scalar()
+        df = df.withColumns({c: t.getField(c) for c in one.columns})
+    return df
+
+
 def value_bin(df: DataFrame, value: str) -> Column:
     """A monotone map of values to a bounded set of bins that needs no statistics.
 
