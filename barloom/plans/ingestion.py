@@ -115,3 +115,46 @@ def _(v):
 def _(v):
     m = v.table("orders").select(F.year("o_orderdate").cast("bigint").alias("run"), F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status"))
     return rounded(B.merge_report(m), "success_rate")
+
+
+def _folder(v, name: str) -> str:
+    """A new folder beside the shared checkpoints."""
+    import uuid
+
+    from barloom.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s07_replace_dates", sql("bars", f"SELECT symbol, trade_date, {R('close*CASE WHEN year(trade_date)=1998 THEN 2 ELSE 1 END')} AS close FROM bars"))
+def _(v):
+    path = _folder(v, "replaced")
+    b = v.bars.select(*KEY, "close", F.date_format("trade_date", "yyyy-MM").alias("month"))
+    B.replace_dates(b, path, "month")
+    B.replace_dates(b.where("year(trade_date) = 1998").withColumn("close", F.col("close") * 2), path, "month")
+    return rounded(v.spark.read.parquet(path).select(*KEY, "close"), "close")
+
+
+@query("s08_truncate_insert", sql("bars", f"SELECT symbol, trade_date, {R('close')} AS close FROM bars WHERE year(trade_date)=1999"))
+def _(v):
+    path = _folder(v, "truncated")
+    b = v.bars.select(*KEY, "close")
+    B.truncate_insert(b.where("year(trade_date) = 1998"), path)
+    B.truncate_insert(b.where("year(trade_date) = 1999"), path)
+    return rounded(v.spark.read.parquet(path), "close")
+
+
+@query("s11_industry_projection", """SELECT n_name AS industry_name, r_name AS sector, CAST(round(sum(CAST(s_acctbal AS DECIMAL(18,2)))*10000,2) AS DOUBLE) AS market_value FROM supplier
+    JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY 1,2""")
+def _(v):
+    from barloom.functions.text import money
+
+    g = v.industry.groupBy("l1", "l2").agg(F.sum(F.col("acctbal").cast("decimal(18,2)")).alias("total"))
+    mv = F.concat(F.col("total").cast("string"), F.lit("万"))
+    return g.select(F.col("l2").alias("industry_name"), F.col("l1").alias("sector"), F.round(money(mv), 2).alias("market_value"))
+
+
+@query("q01_required_columns", sql("bars", "SELECT unnest(['suspended','vwap']) AS missing, (SELECT count(*) FROM bars) AS n_rows"))
+def _(v):
+    missing = Q.required_columns(v.bars, [*Q.OHLCV, "suspended", "vwap"])
+    return v.bars.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*[F.lit(m) for m in missing])).alias("missing"), "n_rows")
