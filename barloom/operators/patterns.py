@@ -5,7 +5,6 @@ table that can be extended without code."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 

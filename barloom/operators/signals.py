@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from barloom.operators import trend
-from barloom.operators.panel import by_symbol, full, history, tail, tick as exact_tick
+from barloom.operators.panel import by_symbol, full, tail, tick as exact_tick
 
 
 @dataclass(frozen=True)

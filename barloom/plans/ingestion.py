@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import quality as Q
-from barloom.plans.registry import R, cte, query, r, rounded, sql
+from barloom.plans.registry import R, cte, query, rounded, sql
 from barloom.sources import bars as B
 
 KEY = ("symbol", "trade_date")

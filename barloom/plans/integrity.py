@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import integrity as I, learning as L, risk as K, trades as T
-from barloom.plans.registry import R, Rs, cte, lead, query, r, rounded, sql
+from barloom.plans.registry import R, cte, lead, query, r, rounded, sql
 from barloom.plans.limits import costed
 from barloom.plans.risk import curves
 from barloom.plans.trades import log

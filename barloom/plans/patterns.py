@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from barloom.operators import patterns as P, trend
-from barloom.plans.registry import R, Rs, cte, full, lag, over, query, r, rounded, sql
+from barloom.plans.registry import R, cte, full, lag, over, query, rounded, sql
 
 _B = lambda agg, n: f"{agg} OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 cte(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import cross_section as X, research as Q
 from barloom.operators.panel import by_symbol, full
-from barloom.plans.registry import R, Rs, avgrank, cte, full as sfull, query, r, rounded, sql
+from barloom.plans.registry import R, avgrank, cte, full as sfull, query, r, rounded, sql
 
 COLS = ("mom5", "mom20", "vol20", "turn", "rev1")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import risk as K, signals as S
+from barloom.operators import risk as K
 from barloom.plans.registry import R, Rs, cte, lag, query, r, rounded, sql
 
 # A book: supplier balances as weights; the market: the equal-weighted mean return.
