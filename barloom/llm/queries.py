@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, lines, mixing, supervision
+from barloom.llm import bpe, cws, lines, mixing, simhash, supervision
 from barloom.llm.text import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -29,6 +35,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    found = cws.fingerprints(table(spark, sf_dir, "documents"), show=lambda edited: F.sha2(edited.cast("binary"), 256))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.col("edited").alias("edited_sha256"),
+        cws.text_of(F.col("signature")).alias("fingerprint"),
+        cws.text_of(F.col("edited_signature")).alias("edited_fingerprint"),
+        cws.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        cws.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -73,7 +93,7 @@ FROM page LEFT JOIN kept USING (r)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op5_quality_rules, op8_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_byte_bpe, op5_quality_rules, op7_weighted_sampling, op8_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
