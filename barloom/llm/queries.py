@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, cws, lines, mixing, simhash, supervision
-from barloom.llm.text import table
+from barloom.llm import bpe, cws, lines, mixing, simhash, supervision, toxicity
+from barloom.llm.text import fold, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled ones outside a fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
     found = cws.fingerprints(table(spark, sf_dir, "documents"), show=lambda edited: F.sha2(edited.cast("binary"), 256))
@@ -93,7 +101,7 @@ FROM page LEFT JOIN kept USING (r)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_byte_bpe, op5_quality_rules, op7_weighted_sampling, op8_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_byte_bpe, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
