@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, cws, lines, mixing, simhash, supervision, toxicity
+from barloom.llm import bpe, cws, language, lines, mixing, simhash, supervision, toxicity
 from barloom.llm.text import fold, table
 
 
@@ -63,6 +63,14 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those with a language outside a fold."""
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs, path, ~held_out), path)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of every page without those on more than a tenth of the host's pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", lines.visible_lines(F.col("html")).alias("text"))
@@ -101,7 +109,7 @@ FROM page LEFT JOIN kept USING (r)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_byte_bpe, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_byte_bpe, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
