@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, cws, language, lines, mixing, simhash, supervision, toxicity
+from barloom.llm import bpe, cws, hmm, language, lines, mixing, simhash, supervision, toxicity
 from barloom.llm.text import fold, table
 
 
+def op1_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document under a hidden Markov model of the documents outside a fold."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1
+    found = hmm.fit_and_score(docs, ~held_out, keep=(held_out.alias("held_out"),))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -109,7 +116,7 @@ FROM page LEFT JOIN kept USING (r)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_byte_bpe, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scoring, op2_simhash, op3_byte_bpe, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
