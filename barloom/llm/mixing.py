@@ -106,13 +106,10 @@ def source_targets(sized: DataFrame) -> DataFrame:
     each of its partitions. Targets fill up evenly by weight: level rises until min(3 x size,
     level x weight) add up to all sizes. Only sums over sources reach the driver."""
     totals = sized.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
-    n = 16
-    placed = cut_lineage(totals.repartitionByRange(n, F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()))
+    placed = cut_lineage(totals.repartitionByRange(16, F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
-    before, offsets = 0, [0] * n
-    for r in sorted(placed.groupBy(part.alias("p")).count().collect()):
-        offsets[r["p"]] = before
-        before += r["count"]
+    rows = {r["p"]: r["count"] for r in placed.groupBy(part.alias("p")).count().collect()}
+    offsets = np.cumsum([0, *(rows.get(p, 0) for p in range(max(rows, default=0)))]).tolist()
     rank = F.element_at(F.array(*map(F.lit, offsets)), (part + 1).cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(rank, F.lit(len(WEIGHTS))) + 1).cast("int"))
     weighed = placed.select("source_key", "source_size", weight.alias("weight"))
