@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, cws, hmm, language, lines, mixing, simhash, supervision, toxicity
+from barloom.llm import bpe, cws, hmm, language, lines, mixing, simhash, suffixes, supervision, toxicity
 from barloom.llm.text import fold, table
 
 
@@ -36,6 +36,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document without those in 100-byte strings that start earlier."""
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior quality of every document from rules that vote or abstain."""
     kept = supervision.keep(table(spark, sf_dir, "documents"))
@@ -116,7 +123,7 @@ FROM page LEFT JOIN kept USING (r)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scoring, op2_simhash, op3_byte_bpe, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_hmm_scoring, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
