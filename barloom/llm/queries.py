@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from barloom.llm import bpe, cws, hmm, language, lines, mixing, simhash, suffixes, supervision, toxicity
 from barloom.llm.text import fold, table
 
@@ -123,8 +124,9 @@ FROM page LEFT JOIN kept USING (r)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_scoring, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup)}
+    found = {f.__name__: f for f in (op1_hmm_scoring, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": _OP10}
+    return {"op10_line_dedup": _OP10} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -155,7 +155,8 @@ def links(points: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def classes(prints: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id") -> DataFrame:
-    """prints (id and fp) with component_id: the least id that links of at most distance bits reach.
+    """prints (id and fp) with root, a fingerprint that names the component, and component_id: the least
+    id that links of at most distance bits reach.
 
     Equal fingerprints count once in the search. Rows keep their number; null ids are never least,
     and a component of null ids only has a null component_id."""
@@ -163,10 +164,10 @@ def classes(prints: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id")
     roots = components(links(alike, distance))
     rooted = alike.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
+    return prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """(id, the columns of keep, fp, component_id) for each row; a null text has fingerprint 0, as an
+    """(id, the columns of keep, fp, root, component_id) for each row; a null text has fingerprint 0, as an
     empty one, and links like any other. An empty table gives an empty table."""
     return classes(cut_lineage(fingerprints(docs, id_col, text_col, keep)), id_col=id_col)
