@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.text import lower_words
+from barloom.llm.text import lower_words, written
 from barloom.session import cut_lineage
 
 STATES, ROUNDS = 8, 2
@@ -117,20 +117,59 @@ def vocabulary(counts: DataFrame) -> Model:
     return Model(tokens, distinct, [w for _, w in own], count, class_count, np.concatenate([norm, np.zeros(len(n))]))
 
 
-def _coded(batches: Iterator[pd.Series], classes: _Classes) -> Iterator[tuple[list[list[bytes]], list[np.ndarray]]]:
-    """Words and class sequences (end included) of some texts at a time, in order."""
-    found, codes, held = [], [], 0
+def encode(docs: DataFrame, model: Model, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """A written table with a row for each row of docs: _row, _learn, id, the columns of keep, n_tokens,
+    _codes (classes of its tokens), sums over tokens with a class of their own, and its other words.
+
+    Texts are cut into words once; every later step reads the classes."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by COMMON and SUFFIXES
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"), F.col(id_col), *keep)
+    kept = rows.columns[2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        classes, log_count, has = _Classes(m.words), np.log10(m.count + 0.5), m.count > 0
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                found = [lower_words(t) for t in part.column(1).to_pylist()]
+                codes = [[classes[w] for w in words] for words in found]
+                n = np.array([len(c) + 1 for c in codes])
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype("int32")
+                flat = np.zeros(offsets[-1], np.int32)  # class 0 ends each text
+                for a, c in zip(offsets[:-1], codes, strict=True):
+                    flat[a : a + len(c)] = c
+                own, here = (flat == 0) | (flat > SUFFIXES), np.repeat(np.arange(len(n)), n)
+                logs = np.bincount(here, np.where(own, log_count[flat], 0.0), len(n))
+                known = np.bincount(here, own & has[flat], len(n)).astype("int64")
+                norm = np.bincount(here, m.log_norm[flat], len(n))
+                rare = [Counter(w for w, c in zip(words, code, strict=True) if c <= SUFFIXES) for words, code in zip(found, codes, strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype("int32")
+                words = pa.ListArray.from_arrays(ends, pa.array([w for r in rare for w in r], pa.binary()))
+                times = pa.ListArray.from_arrays(ends, pa.array([x for r in rare for x in r.values()], pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *part.columns[2:], pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(known), pa.array(logs), pa.array(norm), words, times],
+                    names=["_row", *kept, "n_tokens", "_codes", "_known", "_logs", "_norm", "_words", "_times"],
+                )
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    return written(rows.mapInArrow(run, schema + ", n_tokens long, _codes array<int>, _known long, _logs double, _norm double, _words array<binary>, _times array<int>"), "hmm")
+
+
+def _sequences(batches: Iterator[pa.Array]) -> Iterator[list[np.ndarray]]:
+    """Class sequences of some texts at a time, in order."""
+    codes: list[np.ndarray] = []
+    held = 0
     for batch in batches:
-        for text in batch:
-            words = lower_words(text)
-            found.append(words)
-            codes.append(np.array([classes[w] for w in words] + [0], np.int32))
-            held += len(codes[-1])
+        flat, ends = batch.values.to_numpy(), batch.offsets.to_numpy()
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            codes.append(flat[a:b])
+            held += b - a
             if held >= BATCH_TOKENS:
-                yield found, codes
-                found, codes, held = [], [], 0
+                yield codes
+                codes, held = [], 0
     if codes:
-        yield found, codes
+        yield codes
 
 
 class _Steps:
@@ -150,10 +189,11 @@ class _Steps:
 
     def forward(self, model: Model, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward variables, and the scale of each row: P(token | tokens before)."""
-        alpha, scale = np.empty_like(emit), np.empty(len(emit))
+        alpha, scale = np.empty_like(emit), np.empty(len(emit), emit.dtype)
+        start, move = model.start.astype(emit.dtype), model.move.astype(emit.dtype)
         for t in range(len(self.active)):
             here = slice(self.at[t], self.at[t + 1])
-            a = model.start * emit[here] if t == 0 else (alpha[self.at[t - 1] : self.at[t - 1] + self.active[t]] @ model.move) * emit[here]
+            a = start * emit[here] if t == 0 else (alpha[self.at[t - 1] : self.at[t - 1] + self.active[t]] @ move) * emit[here]
             s = a.sum(axis=1)
             np.divide(a, s[:, None], out=alpha[here])
             scale[here] = s
@@ -167,28 +207,28 @@ class _Steps:
         out[self.order] = np.bincount(rank, np.log10(scale), self.texts)
         return out
 
-    def counts(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions by class, of one Baum-Welch step."""
-        emit = model.emit[self.codes]
+    def counts(self, model: Model, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts, moves and emissions by class, of one Baum-Welch step. Scaled numbers are near
+        one, so that single precision does; scores are computed in double precision."""
+        emit = model.emit[self.codes].astype(kind)
         alpha, scale = self.forward(model, emit)
         emit /= scale[:, None]
-        moves = np.zeros_like(model.move)
-        gamma = np.empty_like(alpha)
-        later = np.empty((0, len(model.start)))
+        move, moves = model.move.astype(kind), np.zeros_like(model.move)
+        later = np.empty((0, len(model.start)), kind)
         for t in range(len(self.active) - 1, -1, -1):
             here = slice(self.at[t], self.at[t + 1])
-            beta = np.ones((self.active[t], len(model.start)))
+            beta = np.ones((self.active[t], len(model.start)), kind)
             n = len(later)
             if n:
-                beta[:n] = later @ model.move.T
+                beta[:n] = later @ move.T
                 moves += alpha[here][:n].T @ later
-            np.multiply(alpha[here], beta, out=gamma[here])
+            alpha[here] *= beta  # from here on the posterior of the states
             later = emit[here] * beta
-        by_class = np.stack([np.bincount(self.codes, gamma[:, k], len(model.emit)) for k in range(gamma.shape[1])], axis=1)
-        return gamma[: self.texts].sum(0), moves * model.move, by_class
+        by_class = np.stack([np.bincount(self.codes, alpha[:, k], len(model.emit)) for k in range(alpha.shape[1])], axis=1)
+        return alpha[: self.texts].sum(0, dtype=float), moves * model.move, by_class
 
 
-def _neighbours(docs: DataFrame, model: Model, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+def _neighbours(coded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(cluster of each class, counts of neighbouring clusters). Commonest words are clusters of their
     own; other classes share one by a hash, words with the same suffix the same."""
     half = CLUSTERS // 2
@@ -196,19 +236,18 @@ def _neighbours(docs: DataFrame, model: Model, text_col: str) -> tuple[np.ndarra
     cluster = np.concatenate([[0], half + np.arange(1, SUFFIXES + 1) % half, tail]).astype(np.int64)
     top = min(half - 1, len(model.words))
     cluster[SUFFIXES + 1 : SUFFIXES + 1 + top] = 1 + np.arange(top)
-    words = docs.sparkSession.sparkContext.broadcast(model.words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(CLUSTERS * CLUSTERS)
-        for _, codes in _coded((b[text_col] for b in batches), _Classes(words.value)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CLUSTERS * CLUSTERS, np.int64)
+        for codes in _sequences(b.column(0) for b in batches):
             flat = cluster[np.concatenate(codes)]
             inner = np.ones(len(flat) - 1, bool)
             inner[np.cumsum([len(c) for c in codes])[:-1] - 1] = False
             sums += np.bincount((flat[:-1] * CLUSTERS + flat[1:])[inner], minlength=CLUSTERS * CLUSTERS)
         some = np.flatnonzero(sums)
-        yield pd.DataFrame({"pair": some, "n": sums[some].astype("int64")})
+        yield pa.RecordBatch.from_pydict({"pair": some.astype("int32"), "n": sums[some]})
 
-    rows = docs.select(text_col).mapInPandas(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = coded.select("_codes").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros(CLUSTERS * CLUSTERS)
     pairs[rows["pair"].to_numpy(int)] = rows["n"].to_numpy()
     return cluster, pairs.reshape(CLUSTERS, CLUSTERS)
@@ -244,25 +283,25 @@ def _leaning(counts: np.ndarray, model: Model) -> np.ndarray:
     return out / out.sum(0, keepdims=True)
 
 
-def baum_welch(docs: DataFrame, model: Model, text_col: str = "text") -> None:
-    """One round over all texts: expected counts of each partition are summed, then normalised."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by COMMON and SUFFIXES
+def baum_welch(coded: DataFrame, model: Model) -> None:
+    """One round over all encoded texts: expected counts of each partition are summed, then normalised."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
     k = len(model.start)
     names = [f"s{i}" for i in range(k)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         start, move, by_class = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)
-        for _, codes in _coded((b[text_col] for b in batches), _Classes(m.words)):
+        for codes in _sequences(b.column(0) for b in batches):
             for total, part in zip((start, move, by_class), _Steps(codes).counts(m), strict=True):
                 total += part
         some = np.flatnonzero(by_class.any(axis=1))
-        out = pd.DataFrame(np.concatenate([start[None], move, by_class[some]]), columns=names)
+        out = np.concatenate([start[None], move, by_class[some]])
         # rows below zero are the starts and the moves
-        out.insert(0, "row", np.concatenate([[-1], -2 - np.arange(k), some]))
-        yield out
+        row = np.concatenate([[-1], -2 - np.arange(k), some]).astype("int32")
+        yield pa.RecordBatch.from_arrays([pa.array(row), *map(pa.array, np.ascontiguousarray(out.T))], names=["row", *names])
 
-    sums = docs.select(text_col).mapInPandas(run, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    sums = coded.select("_codes").mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     row, n = sums["row"].to_numpy(int), sums[names].to_numpy()
     counts = np.zeros_like(model.emit)
     counts[row[row >= 0]] = n[row >= 0]
@@ -272,73 +311,52 @@ def baum_welch(docs: DataFrame, model: Model, text_col: str = "text") -> None:
     model.start, model.move, model.emit = start / start.sum(), move / move.sum(1, keepdims=True), _leaning(counts, model)
 
 
-def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """The model of all texts of docs, given their counts. Null texts are empty texts; without any
-    text the model is the same for every state."""
-    model = vocabulary(counts)
-    begin(model, *_neighbours(docs, model, text_col), states)
+def train(coded: DataFrame, model: Model, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """model with states, learnt from all encoded texts. Without any, every state is the same."""
+    begin(model, *_neighbours(coded, model), states)
     for _ in range(rounds):
-        baum_welch(docs, model, text_col)
+        baum_welch(coded, model)
     return model
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """For each row: id, the columns of keep, n_tokens, n_known, train_tokens, base_score, score.
+def score(coded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """For each encoded row: id, the columns of keep, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null text is an empty one: the end alone. Rows with equal or null ids stay apart. The texts are
-    read once; the words without a class of their own leave with their counts in the text, and come
-    back as one sum of log10(count + 0.5) for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), F.col(id_col), *keep)
-    kept = rows.columns[2:]
+    Words without a class of their own meet their counts over the corpus by a join, and come back as
+    one sum of log10(count + 0.5) for each row."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+    narrow = coded.drop("_words", "_times")
+    passed = [c for c in narrow.columns if c != "_codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        classes = _Classes(m.words)
-        log_count = np.log10(m.count + 0.5)
         for batch in batches:
-            at = 0
-            for found, codes in _coded(iter([batch.column(1).to_pylist()]), classes):
-                like = _Steps(codes).likelihoods(m)
-                n = [len(c) for c in codes]
-                here = np.repeat(np.arange(len(codes)), n)
-                flat = np.concatenate(codes)
-                own = (flat == 0) | (flat > SUFFIXES)
-                logs = np.bincount(here, np.where(own, log_count[flat], 0.0), len(codes))
-                known = np.bincount(here, own & (m.count[flat] > 0), len(codes)).astype("int64")
-                norm = np.bincount(here, m.log_norm[flat], len(codes))
-                rare = [Counter(w for w, c in zip(words, code, strict=False) if c <= SUFFIXES) for words, code in zip(found, codes, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype("int32")
-                words = pa.ListArray.from_arrays(offsets, pa.array([w for r in rare for w in r], pa.binary()))
-                times = pa.ListArray.from_arrays(offsets, pa.array([x for r in rare for x in r.values()], pa.int32()))
-                part = batch.slice(at, len(codes))
-                at += len(codes)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *part.columns[2:], pa.array(n, pa.int64()), pa.array(known), pa.array(logs), pa.array(like - norm), words, times],
-                    names=["_row", *kept, "n_tokens", "_known", "_logs", "_like", "_words", "_times"],
-                )
+            like = [_Steps(codes).likelihoods(shared.value) for codes in _sequences(iter([batch.column(0)]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(like) if like else np.empty(0))], names=[*passed, "_like"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    coded = cut_lineage(rows.mapInArrow(run, schema + ", n_tokens long, _known long, _logs double, _like double, _words array<binary>, _times array<int>"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "_codes")
+    liked = narrow.select("_codes", *passed).mapInArrow(run, schema + ", _like double")
     rare = coded.select("_row", F.explode(F.arrays_zip(F.col("_words").alias("word"), F.col("_times").alias("times"))).alias("w")).select("_row", "w.word", "w.times")
     met = rare.join(counts.select("word", "n"), "word", "left")
     log_n = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))
     sums = met.groupBy("_row").agg(F.sum(F.col("times") * log_n).alias("_rare"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_seen"))
-    out = coded.drop("_words", "_times").join(sums, "_row", "left")
-    logs = F.coalesce("_rare", F.lit(0.0))
-    base = F.col("_logs") + logs - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + 0.5 * (model.distinct + 1))))
+    out = liked.join(sums, "_row", "left")
+    logs = F.col("_logs") + F.coalesce("_rare", F.lit(0.0))
+    base = logs - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + 0.5 * (model.distinct + 1))))
     return out.select(
-        *kept,
-        "n_tokens",
+        *passed[2 : passed.index("n_tokens") + 1],
         (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
         F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (F.col("_like") + logs).alias("score"),
+        (F.col("_like") - F.col("_norm") + F.coalesce("_rare", F.lit(0.0))).alias("score"),
     )
 
 
 def fit_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """score() of all rows by the model of those that pass learn."""
-    known = docs.where(learn)
-    counts = cut_lineage(count_words(known, text_col))
-    return score(docs, train(known, counts, text_col), counts, id_col, text_col, keep)
+    """Scores of all rows by the model of those that pass learn (null does not).
+
+    A null text is an empty one: the end alone. Rows with equal or null ids stay apart; columns other
+    than the id, the text and keep are not read. An empty table gives an empty table."""
+    counts = cut_lineage(count_words(docs.where(learn), text_col))
+    model = vocabulary(counts)
+    coded = encode(docs, model, learn, id_col, text_col, keep)
+    return score(coded, train(coded.where("_learn"), model), counts)

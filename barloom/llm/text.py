@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import ensure_checkpoint_dir
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,3 +36,11 @@ def n_blocks(docs: DataFrame, text_col: str = "text", block_bytes: int = 8 << 20
     """How many blocks of about block_bytes of text each the table makes."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     return max(1, -(-total // block_bytes))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of its own in the shared folder: columns and compression that a checkpoint
+    lacks, and like it there for every executor, whichever is lost."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
