@@ -17,14 +17,16 @@ def first_name(sources: Sequence[DataFrame], key: str = "symbol", name: str = "n
     return u.groupBy(key).agg(F.min_by(name, F.struct("_p", name)).alias(name))
 
 
-def consolidate(base: DataFrame, parts: Sequence[DataFrame], key: str = "symbol") -> DataFrame:
-    """Left-join many tables on one key; each right side keeps one row per key.
+def consolidate(base: DataFrame, parts: Sequence[DataFrame], key: str = "symbol", order: str | None = None) -> DataFrame:
+    """Left-join many tables on one key; each right side keeps its first row per key.
 
-    The rows are reduced by an order-independent aggregate, not by whichever came first."""
+    First is by the column `order`, where a table has it, then by the other columns; it is not
+    whichever row came first.  The order column itself isn't joined."""
     out = base
     for p in parts:
-        cols = [c for c in p.columns if c != key]
-        one = p.groupBy(key).agg(F.min(F.struct(*cols)).alias("_s")).select(key, "_s.*")
+        cols = [c for c in p.columns if c not in (key, order)]
+        first = F.struct(*([order] if order in p.columns else []), *cols)
+        one = p.groupBy(key).agg(F.min_by(F.struct(*cols), first).alias("_s")).select(key, "_s.*")
         out = out.join(one, key, "left")
     return out
 
@@ -43,34 +45,22 @@ def as_of(facts: DataFrame, when: Column, key: str = "symbol") -> DataFrame:
     return f.groupBy(key).agg(F.max(F.struct("record_date", *cols)).alias("_s")).select(key, "_s.*")
 
 
-def as_of_each(probes: DataFrame, facts: DataFrame, at: str, value: Sequence[str], key: str = "symbol", block: str = "year") -> DataFrame:
+def as_of_each(probes: DataFrame, facts: DataFrame, at: str, value: Sequence[str], key: str = "symbol") -> DataFrame:
     """Latest known record for every probe row.
 
-    Facts and probes are interleaved by time inside (key, year) blocks; the last fact of the
-    earlier blocks is carried by a small table of block ends, so a hot key spans many tasks.
+    Facts, and the times of the probes, are first reduced to one row per key and day, over
+    which the latest record is carried; the probes then meet their day in an equi-join, so a key
+    with most of the probes is split like any hot join key.
     A later-published restatement of an older period does not replace a newer one."""
     seen = F.coalesce(F.col("disclosure_date"), F.col("record_date"))
     rec = F.struct("record_date", *value)
-    f = facts.select(key, seen.alias("_t"), rec.alias("_r"), F.lit(0).alias("_k"), F.lit(None).cast(_struct(probes)).alias("_row"))
-    p = probes.select(key, F.col(at).alias("_t"), F.lit(None).cast(_type(f, "_r")).alias("_r"), F.lit(1).alias("_k"), F.struct(*probes.columns).alias("_row"))
-    u = f.unionByName(p).withColumn("_b", F.trunc("_t", block))
-    w = W.partitionBy(key, "_b").orderBy("_t", "_k").rowsBetween(W.unboundedPreceding, 0)
-    ends = u.where("_k = 0").groupBy(key, "_b").agg(F.max("_r").alias("_e"))
-    blocks = u.select(key, "_b").distinct().join(ends, [key, "_b"], "left")
-    prev = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_c", F.max("_e").over(prev)).drop("_e")
-    u = u.withColumn("_best", F.max("_r").over(w)).join(blocks, [key, "_b"])
-    best = F.greatest(F.col("_best"), F.col("_c"))
-    best = F.when(F.col("_best").isNull(), F.col("_c")).when(F.col("_c").isNull(), F.col("_best")).otherwise(best)
-    return u.where("_k = 1").withColumn("_v", best).select("_row.*", *[F.col(f"_v.{c}").alias(c) for c in ("record_date", *value)])
-
-
-def _type(df: DataFrame, col: str):
-    return df.schema[col].dataType
-
-
-def _struct(df: DataFrame):
-    return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
+    f = facts.where(seen.isNotNull()).select(key, seen.alias("_t"), rec.alias("_r"))
+    days = probes.select(key, F.col(at).alias("_t")).distinct()
+    known = f.unionByName(days, allowMissingColumns=True).groupBy(key, "_t").agg(F.max("_r").alias("_r"))
+    w = W.partitionBy(key).orderBy("_t").rowsBetween(W.unboundedPreceding, 0)  # days of a calendar
+    known = known.select(F.col(key).alias("_k"), "_t", F.max("_r").over(w).alias("_v"))
+    met = probes.join(known, (F.col(key) == F.col("_k")) & (F.col(at) == F.col("_t")), "left")
+    return met.select(*probes.columns, *[F.col(f"_v.{c}").alias(c) for c in ("record_date", *value)])
 
 
 def merge_signals(bars: DataFrame, signals: DataFrame, scores: Sequence[str]) -> DataFrame:

@@ -52,9 +52,9 @@ def decide(df: DataFrame, levels: Sequence[str]) -> DataFrame:
 
 
 def last_dates(df: DataFrame, n: int) -> DataFrame:
-    """Rows of the last n distinct dates; the date list has n rows, so it may be broadcast."""
+    """Rows of the last n distinct dates."""
     d = df.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(n)
-    return df.join(F.broadcast(d), "trade_date", "left_semi")
+    return df.join(d, "trade_date", "left_semi")
 
 
 def appearance_stats(df: DataFrame, value: str, days: int) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.panel import by_symbol
 from barloom.operators.scaling import beside, quantiles, reuse
@@ -110,7 +111,7 @@ def var_es(returns: DataFrame, by: Sequence[str] = (), levels: Sequence[float] =
     by = list(by)
     r = reuse(returns.where("ret is not null").select(*by, "ret") if by else returns.where("ret is not null").select(F.lit(1).alias("_all"), "ret"))
     keys = by or ["_all"]
-    names = {f"q{int(c * 100)}": 1 - c for c in levels}
+    names = {f"q{f'{c * 100:.10g}'.replace('.', '_')}": 1 - c for c in levels}  # 0.975: var_97_5
     q = quantiles(r, keys, "ret", names)
     s = horizon**0.5
     j = r.join(q, keys)
@@ -216,29 +217,34 @@ def hhi(exposure: DataFrame) -> DataFrame:
     return exposure.agg(F.sum(F.col("exposure") * F.col("exposure")).alias("hhi"), F.max("exposure").alias("largest"))
 
 
-def covariance(returns: DataFrame, method: str = "sample", lam: float = 0.94, shrinkage: float = 0.2) -> DataFrame:
+def covariance(returns: DataFrame, method: str = "sample", lam: float = 0.94, shrinkage: float | None = None) -> DataFrame:
     """(f, g, cov) of long (trade_date, factor, ret) series that share their dates.
 
-    Pairs come from a self-join on the date, so the work is dates x K^2 partial sums.
-    `ewma` weighs by lam^(age); `shrink` pulls towards the mean variance."""
+    Pairs come from a self-join on the date, so the work is dates x K^2 partial sums: meant for
+    factors and strategies, up to a few hundred series.  `ewma` weighs by lam^(age), in the mean
+    too; `shrink` pulls towards the variances alone, by `shrinkage` or by the estimated intensity:
+    variance of the products over the squared distance to that target, between 0 and 1."""
     w = W.partitionBy(F.lit(0)).orderBy(F.desc("trade_date"))  # one row per date
     dates = returns.select("trade_date").distinct().withColumn("_age", F.row_number().over(w) - 1)
     r = returns.join(dates, "trade_date")
-    mean = r.groupBy("factor").agg(F.avg("ret").alias("_m"))
+    weight = F.pow(F.lit(lam), F.col("_age")) if method == "ewma" else F.lit(1.0)
+    mean = r.groupBy("factor").agg((F.sum(weight * F.col("ret")) / F.sum(weight)).alias("_m"))
     x = r.join(mean, "factor").withColumn("_x", F.col("ret") - F.col("_m"))
     a = x.select("trade_date", F.col("factor").alias("f"), F.col("_x").alias("_a"), "_age")
     b = x.select("trade_date", F.col("factor").alias("g"), F.col("_x").alias("_b"))
     p = a.join(b, "trade_date")
     if method == "ewma":
-        wt = F.pow(F.lit(lam), F.col("_age"))
-        return p.groupBy("f", "g").agg((F.sum(wt * F.col("_a") * F.col("_b")) / F.sum(wt)).alias("cov"))
-    s = p.groupBy("f", "g").agg((F.sum(F.col("_a") * F.col("_b")) / (F.count(F.lit(1)) - 1)).alias("cov"))
+        return p.groupBy("f", "g").agg((F.sum(weight * F.col("_a") * F.col("_b")) / F.sum(weight)).alias("cov"))
+    ab, n = F.col("_a") * F.col("_b"), F.count(F.lit(1))
+    s = p.groupBy("f", "g").agg((F.sum(ab) / (n - 1)).alias("cov"), F.avg(ab).alias("_p"), F.avg(ab * ab).alias("_pp"))
     if method == "sample":
-        return s
-    mu = F.avg(F.when(F.col("f") == F.col("g"), F.col("cov"))).over(W.partitionBy(F.lit(0)))  # K^2 rows
-    return s.withColumn("_mu", mu).withColumn(
-        "cov", (1 - shrinkage) * F.col("cov") + F.when(F.col("f") == F.col("g"), shrinkage * F.col("_mu")).otherwise(0.0)
-    ).drop("_mu")
+        return s.drop("_p", "_pp")
+    k2 = W.partitionBy(F.lit(0))  # K^2 rows
+    off = F.col("f") != F.col("g")
+    spread = F.sum(F.col("_pp") - 2 * F.col("cov") * F.col("_p") + F.col("cov") * F.col("cov")).over(k2)
+    distance = F.sum(F.when(off, F.col("cov") * F.col("cov")).otherwise(0.0)).over(k2)
+    delta = F.lit(shrinkage) if shrinkage is not None else F.when(distance < 1e-20, 1.0).otherwise(F.least(spread / distance, F.lit(1.0)))
+    return s.withColumn("_d", delta).select("f", "g", F.when(off, (1 - F.col("_d")) * F.col("cov")).otherwise(F.col("cov")).alias("cov"))
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
@@ -324,11 +330,20 @@ def moments(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ).drop("_m", "_s", "_g1", "_g2")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    from statistics import NormalDist
+# Coefficients of Hart's rational approximation of the normal tail (1968, no. 5666).
+_TAIL_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_TAIL_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
 
-    return x.map(lambda v: None if pd.isna(v) else NormalDist().cdf(v))
+def normal_cdf(x: str | Column) -> Column:
+    """Standard normal distribution function, to about 1e-14."""
+    x = F.col(x) if isinstance(x, str) else x
+    a = F.abs(x)
+    poly = lambda cs: reduce(lambda acc, c: acc * a + c, cs[1:], F.lit(cs[0]))
+    far = reduce(lambda acc, k: a + k / acc, (4, 3, 2, 1), a + 0.65)
+    half = F.exp(-a * a / 2)
+    tail = F.when(a > 37, 0.0).when(a < 7.07106781186547, half * poly(_TAIL_TOP) / poly(_TAIL_BOTTOM)).otherwise(half / far / 2.506628274631)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
 def probabilistic_sharpe(df: DataFrame, target: float = 0.0) -> DataFrame:

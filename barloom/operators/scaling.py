@@ -37,23 +37,28 @@ def beside(df: DataFrame, *singles: DataFrame) -> DataFrame:
 def value_bin(df: DataFrame, value: str) -> Column:
     """A monotone map of values to a bounded set of bins that needs no statistics.
 
-    Java's log1p is semi-monotonic, so equal or larger values never fall into a lower bin;
-    about 2,800 bins cover each doubling.  Text is binned by its first characters."""
+    Java's log is semi-monotonic, so equal or larger values never fall into a lower bin; about
+    2,800 bins cover each doubling, from the least to the largest double, on either side of
+    zero.  Text is binned by its first characters."""
     if dict(df.dtypes)[value] == "string":
-        return F.substring(value, 1, 3)
+        return F.substring(value, 1, 8)
     x = F.col(value).cast("double")
-    return (F.signum(x) * F.floor(F.log1p(F.abs(x) * 1e6) * 4096)).cast("long")
+    size = F.least(F.log(F.abs(x)), F.lit(710.0)) + 746  # positive for every double but zero
+    return F.coalesce(F.signum(x) * F.floor(size * 4096), F.lit(0)).cast("long")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values per group with `cnt`, `below` (rows under it) and `total`.
 
     Running counts inside a bin plus the offset of the bin give the exact running count, so
-    no task sorts more than one bin of a group, and equal values are one row."""
+    no task sorts more than one bin of a group, and equal values are one row.  NaN counts as null."""
     by = list(by)
     if not by:
         return value_counts(df.select(F.lit(1).alias("_all"), value), ["_all"], value).drop("_all")
-    d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
+    here = F.col(value).isNotNull()
+    if dict(df.dtypes)[value] in ("double", "float"):
+        here &= ~F.isnan(value)  # as missing as null
+    d = df.where(here).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
     d = d.withColumn("_bin", value_bin(df, value))
     group = W.partitionBy(*by)
     offs = d.groupBy(*by, "_bin").agg(F.sum("cnt").alias("_c")).select(

@@ -21,26 +21,28 @@ def recurrences(df: DataFrame, specs: list[tuple[str, Column, float, float, Colu
     """Linear recurrences as prefix sums, several at once: (out, x, decay, gain, seed, start)
     gives y[start] = seed and y[i] = decay*y[i-1] + gain*x[i] afterwards.
 
-    Inside a block of 1,000 rows the closed form is exact; the last value of the previous
-    block is carried over.  What the block before that adds is below double precision, which
-    is checked here.  All recurrences of one call share two window passes."""
-    for _, _, decay, _, _, _ in specs:
-        if not 0 < decay < 1 or -BLOCK * math.log(decay) < 37 or -BLOCK * math.log(decay) > 700:
-            raise ValueError(f"decay {decay} is outside the range the block form is exact for")
-    df = with_index(df).withColumn("_blk", F.floor(F.col("i") / BLOCK))
-    k = F.col("i") % BLOCK
+    The closed form holds inside a block of rows that is short enough for its powers to stay
+    in range; the ends of all earlier blocks are carried over, so any decay between 0 and 1
+    will do.  All recurrences of one call share two window passes."""
+    if any(not 0 < decay < 1 for _, _, decay, *_ in specs):
+        raise ValueError("a decay lies between 0 and 1")
+    size = max(1, min(BLOCK, *(int(600 / -math.log(decay)) for _, _, decay, *_ in specs)))
+    df = with_index(df).withColumn("_blk", F.floor(F.col("i") / size))
+    k = F.col("i") % size
     term = lambda x, d, g, seed, st: F.when(F.col("i") == st, seed).when(F.col("i") > st, g * x) * F.pow(F.lit(1.0 / d), k)
     df = df.withColumns({f"_g_{o}": term(x, d, g, seed, st) for o, x, d, g, seed, st in specs})
     block = W.partitionBy("symbol", "_blk").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumns({f"_l_{o}": F.pow(F.lit(d), k) * F.sum(f"_g_{o}").over(block) for o, _, d, *_ in specs})
     before = by_symbol().rowsBetween(W.unboundedPreceding, -1)
-    carry = lambda o: F.last(F.when(k == BLOCK - 1, F.col(f"_l_{o}")), ignorenulls=True).over(before)
-    df = df.withColumns({f"_c_{o}": carry(o) for o, *_ in specs})
+    # one element for each full block of the symbol's calendar, oldest first
+    ends = lambda o: F.collect_list(F.when(k == size - 1, F.col(f"_l_{o}"))).over(before)
+    df = df.withColumns({f"_c_{o}": ends(o) for o, *_ in specs})
+    carry = lambda o, d: F.aggregate(f"_c_{o}", F.lit(0.0), lambda y, end: y * F.lit(d**size) + end)
     df = df.withColumns(
         {
             o: F.when(
                 F.col("i") >= st,
-                F.coalesce(F.col(f"_l_{o}"), F.lit(0.0)) + F.coalesce(F.pow(F.lit(d), k + 1) * F.col(f"_c_{o}"), F.lit(0.0)),
+                F.coalesce(F.col(f"_l_{o}"), F.lit(0.0)) + F.pow(F.lit(d), k + 1) * carry(o, d),
             )
             for o, _, d, _, _, st in specs
         }

@@ -54,10 +54,12 @@ def _(v):
     return rounded(B.merge_update(*feeds(v)), "close_normal", "adj_factor")
 
 
-@query("s06_upsert", sql("st inc", f"SELECT symbol, trade_date, {R('close_normal')} AS close_normal, {R('adj_factor')} AS adj_factor FROM (SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM inc WHERE inc.symbol=st.symbol AND inc.trade_date=st.trade_date) UNION ALL SELECT * FROM inc)"))
+@query("s06_upsert", sql("st inc", f"SELECT symbol, trade_date, {R('close_normal')} AS close_normal, {R('adj_factor')} AS adj_factor FROM (SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM inc WHERE inc.symbol=st.symbol AND inc.trade_date=st.trade_date) UNION ALL SELECT * REPLACE (CASE WHEN symbol%2=0 THEN close_normal*0.9e0 ELSE close_normal END AS close_normal) FROM inc)"))
 def _(v):
     stored, inc = feeds(v)
-    return rounded(B.upsert(stored, inc.unionByName(inc), KEY), "close_normal", "adj_factor")
+    corrected = inc.where("symbol % 2 = 0").withColumn("close_normal", F.col("close_normal") * 0.9).withColumn("version", F.lit(2))
+    both = inc.withColumn("version", F.lit(1)).unionByName(corrected)
+    return rounded(B.upsert(stored, both, KEY, F.col("version")), "close_normal", "adj_factor")
 
 
 @query("s09_price_semantics", sql("bars", "SELECT count(*) AS n, 0::BIGINT AS n_contract, count(*) AS n_swapped, 0::BIGINT AS n_missing, 'swap' AS action FROM bars WHERE abs(adj_factor-1)>1e-6"))

@@ -32,8 +32,8 @@ def _(v):
 )
 def _(v):
     a = v.daily_flow.groupBy("symbol").agg(F.max("net").alias("max_net"))
-    b = v.daily_flow.groupBy("symbol").agg(F.max_by("net", "trade_date").alias("last_net"))
-    return J.consolidate(v.industry.select("symbol", "name", "l1"), [v.fund.select("symbol", "n_trades"), a, b])
+    newest_first = v.daily_flow.select("symbol", (-F.unix_date("trade_date")).alias("age"), F.col("net").alias("last_net"))
+    return J.consolidate(v.industry.select("symbol", "name", "l1"), [v.fund.select("symbol", "n_trades"), a, newest_first], order="age")
 
 
 @query("j03_membership_flag", "SELECT s_suppkey AS symbol, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity=50 AND l_discount>=0.08) THEN 'yes' ELSE 'no' END AS strong FROM supplier")

@@ -267,7 +267,7 @@ def _(v):
 
 _COVQ = "SELECT strategy AS factor, trade_date, ret FROM irt WHERE trade_date IN (SELECT trade_date FROM irt GROUP BY 1 HAVING count(*)=5)"
 cte("cr", f"SELECT *, dense_rank() OVER (ORDER BY trade_date DESC)-1 AS age FROM ({_COVQ})", "irt")
-cte("cx", "SELECT *, ret-avg(ret) OVER (PARTITION BY factor) AS x FROM cr", "cr")
+cte("cx", "SELECT *, ret-avg(ret) OVER p AS x, ret-sum(pow(0.94e0,age)*ret) OVER p/sum(pow(0.94e0,age)) OVER p AS y FROM cr WINDOW p AS (PARTITION BY factor)", "cr")
 
 
 def cov_input(v):
@@ -280,8 +280,10 @@ def cov_input(v):
     "a32_covariance",
     sql(
         "cx",
-        f""", s AS (SELECT a.factor AS f, b.factor AS g, sum(a.x*b.x)/(count(*)-1) AS c, sum(pow(0.94e0,a.age)*a.x*b.x)/sum(pow(0.94e0,a.age)) AS e FROM cx a JOIN cx b USING (trade_date) GROUP BY 1,2)
-        SELECT f, g, {R('c')} AS sample, {R('e')} AS ewma, {R('0.8e0*c+CASE WHEN f=g THEN 0.2e0*(SELECT avg(c) FROM s WHERE f=g) ELSE 0 END')} AS shrunk FROM s""",
+        f""", s AS (SELECT a.factor AS f, b.factor AS g, sum(a.x*b.x)/(count(*)-1) AS c, sum(pow(0.94e0,a.age)*a.y*b.y)/sum(pow(0.94e0,a.age)) AS e FROM cx a JOIN cx b USING (trade_date) GROUP BY 1,2),
+        v AS (SELECT s.f, s.g, avg(pow(a.x*b.x-s.c,2)) AS v FROM s JOIN cx a ON a.factor=s.f JOIN cx b ON b.factor=s.g AND a.trade_date=b.trade_date GROUP BY 1,2),
+        d AS (SELECT least(1, (SELECT sum(v) FROM v)/(SELECT sum(c*c) FROM s WHERE f<>g)) AS d)
+        SELECT f, g, {R('c')} AS sample, {R('e')} AS ewma, {R('CASE WHEN f=g THEN c ELSE (1-d)*c END')} AS shrunk FROM s, d""",
     ),
 )
 def _(v):

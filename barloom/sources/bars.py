@@ -70,12 +70,12 @@ def merge_update(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return keep.unionByName(new.select(*stored.columns))
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], version: Column | None = None) -> DataFrame:
-    """Idempotent upsert, last version per key wins; applying it twice changes nothing."""
+def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], version: Column) -> DataFrame:
+    """Idempotent upsert, the row of the highest version per key wins, whatever its values; applying
+    it twice changes nothing.  Rows equal in key and version are told apart by their columns."""
     keys = list(keys)
     rest = [c for c in incoming.columns if c not in keys]
-    order = version if version is not None else F.struct(*rest)
-    new = incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_s")).select(*keys, "_s.*")
+    new = incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *rest)).alias("_s")).select(*keys, "_s.*")
     return stored.join(new, keys, "left_anti").unionByName(new.select(*stored.columns))
 
 

@@ -5,27 +5,32 @@ ticks or bars gets the same treatment: each micro-batch replaces whole dates ide
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barloom.session import cut_lineage
 from barloom.sources.bars import replace_dates, upsert
 
 
-def upsert_sink(path: str, keys=("symbol", "trade_date")):
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the table's folder is there, in whatever file system the path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def upsert_sink(path: str, keys=("symbol", "trade_date"), version: str | None = None):
     """`foreachBatch` function: merge the batch into the dates it touches.
 
-    Only those partitions are read and rewritten, and a replayed batch gives the same table."""
+    Only those partitions are read and rewritten, and a replayed batch gives the same table.
+    `version` is the column that decides between rows of one key; without it, of rows with one key
+    in a batch the one with the largest columns stays.  A table that can't be read is an error:
+    nothing is written then."""
 
     def write(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
-            replace_dates(batch.dropDuplicates(list(keys)), path)
-            return
+        order = F.col(version) if version else F.lit(0)
+        stored = spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], batch.schema)
         days = batch.select("trade_date").distinct()
-        touched = stored.select(*batch.columns).join(F.broadcast(days), "trade_date", "left_semi")  # days of one batch
-        from barloom.session import cut_lineage
-
-        replace_dates(cut_lineage(upsert(touched, batch, keys)), path)
+        touched = stored.select(*batch.columns).join(days, "trade_date", "left_semi")
+        replace_dates(cut_lineage(upsert(touched, batch, keys, order)), path)
 
     return write

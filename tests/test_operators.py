@@ -155,28 +155,6 @@ def test_pruning_drops_the_weaker_of_a_pair(spark):
     assert [r.factor for r in research.prune_correlated(pairs, ic).collect()] == ["b"]
 
 
-def test_exit_replay_equals_a_bar_walk(spark):
-    p = panel(1, 60, seed=8)
-    b = trend.atr(spark.createDataFrame(p)).select("symbol", "trade_date", "high", "low", "close", "atr")
-    day = p.trade_date
-    pairs = spark.createDataFrame([(0, 1, day[20], day[50], float(p.close[20]))], "symbol long, k long, buy_date date, sell_date date, buy_price double")
-    rows = b.orderBy("trade_date").toPandas().iloc[20:51].reset_index(drop=True)
-    for t1, t2 in [(1.5, 2.5), (0.5, 1.0), (3.0, 6.0)]:
-        e, atr = float(p.close[20]), rows.atr[0]
-        pos, pnl, stop = 1.0, 0.0, e - 1.5 * atr
-        for x in rows.iloc[1:].itertuples():
-            if x.low <= stop:
-                pnl, pos = pnl + pos * (stop - e), 0.0
-                break
-            for m in (t2, t1):
-                if x.high >= e + m * atr:
-                    pnl, pos, stop = pnl + 0.5 * m * atr, 0.5, e
-                    break
-        pnl += pos * (rows.close.iloc[-1] - e)
-        got = trades.replay_exits(pairs, b, grid=[(t1, t2)]).collect()[0].pnl
-        assert got == pytest.approx(pnl)
-
-
 def test_stream_sink_is_idempotent(spark, tmp_path):
     from barloom.streaming.bars import upsert_sink
 
@@ -192,3 +170,118 @@ def test_stream_sink_is_idempotent(spark, tmp_path):
     assert len(got) == 10
     exp = p.assign(close=p.close + (p.symbol == 1))
     np.testing.assert_allclose(got.sort_values(["symbol", "trade_date"]).close, exp.close)
+
+
+def test_stream_sink_leaves_an_unreadable_table_alone(spark, tmp_path):
+    from barloom.streaming.bars import upsert_sink
+
+    path = tmp_path / "bars" / "trade_date=2020-01-01"
+    path.mkdir(parents=True)
+    (path / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        upsert_sink(str(tmp_path / "bars"))(spark.createDataFrame(panel(1, 3)[["symbol", "trade_date", "close"]]), 0)
+    assert [p.name for p in (tmp_path / "bars").rglob("*.parquet")] == ["part-0.parquet"]
+
+
+def test_last_version_wins_whatever_its_value(spark):
+    from barloom.sources.bars import upsert
+
+    stored = spark.createDataFrame([(1, 5.0), (2, 7.0)], "k int, x double")
+    feed = spark.createDataFrame([(1, 9.0, 1), (1, 3.0, 2), (3, 1.0, 1)], "k int, x double, v int")
+    got = upsert(stored, feed, ["k"], F.col("v"))
+    assert sorted(map(tuple, got.select("k", "x").collect())) == [(1, 3.0), (2, 7.0), (3, 1.0)]
+
+
+@pytest.mark.parametrize("span", [2, 20, 60, 250])
+def test_exponential_mean_of_any_span(spark, span):
+    p = panel(1, 1500, seed=3)
+    got = trend.ema(spark.createDataFrame(p), "e", "close", span).orderBy("trade_date").toPandas().e
+    np.testing.assert_allclose(got, p.close.ewm(span=span, adjust=False).mean(), rtol=1e-10)
+
+
+def test_wilder_of_any_length(spark):
+    p = panel(1, 1300, seed=4)
+    got = trend.wilder(spark.createDataFrame(p), "e", "close", 30, 29).orderBy("trade_date").toPandas().e
+    y = p.close[:30].mean()
+    for i in range(30, 1300):
+        y += (p.close[i] - y) / 30
+    assert got.iloc[-1] == pytest.approx(y)
+
+
+def test_ranks_leave_out_nan_and_split_small_values(spark):
+    from barloom.operators.scaling import avg_rank, value_bin, with_rank
+
+    x = [1e-12, 2e-12, float("nan"), None, -3e-11, 0.0, 1e300, 5e-324, 1e-12]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double")
+    got = {r.i: r.k for r in with_rank(df, [], "x").select("i", avg_rank().alias("k")).collect()}
+    exp = pd.Series(x, dtype=float).rank()
+    assert all(got[i] is None if np.isnan(exp[i]) else got[i] == exp[i] for i in range(len(x)))
+    bins = df.where("x is not null and not isnan(x)").orderBy("x").select(value_bin(df, "x")).toPandas().iloc[:, 0]
+    assert bins.is_monotonic_increasing and bins.nunique() == 6
+
+
+def test_shuffle_test_ignores_partitions(spark):
+    from barloom.operators import learning
+
+    rng = np.random.default_rng(5)
+    p = panel(4, 60)[["symbol", "trade_date"]].assign(pred=rng.normal(size=240))
+    p["target"] = p.pred * 0.2 + rng.normal(size=240)
+    df = spark.createDataFrame(p)
+    one, other = (learning.shuffle_test(d, "target").collect()[0] for d in (df.coalesce(1), df.repartition(7)))
+    assert one.p_value == other.p_value and one.ic == pytest.approx(other.ic) == pytest.approx(p.pred.corr(p.target, method="spearman")) and one.p_value < 0.2
+
+
+@pytest.mark.parametrize("method", ["sample", "ewma", "shrink"])
+def test_covariance_from_the_formula(spark, method):
+    from barloom.operators import risk
+
+    x = np.random.default_rng(6).normal(size=(50, 3)) @ np.array([[1, 0.6, 0], [0, 1, 0.3], [0, 0, 1]])
+    days = pd.bdate_range("2020-01-01", periods=50).date
+    long = [(days[t], f"f{k}", float(x[t, k])) for t in range(50) for k in range(3)]
+    got = risk.covariance(spark.createDataFrame(long, "trade_date date, factor string, ret double"), method).toPandas().pivot(index="f", columns="g", values="cov").to_numpy()
+    s = np.cov(x, rowvar=False)
+    if method == "ewma":
+        w = 0.94 ** np.arange(49, -1, -1)
+        c = x - np.average(x, axis=0, weights=w)
+        s = (c * w[:, None]).T @ c / w.sum()
+    if method == "shrink":
+        c = x - x.mean(0)
+        spread = sum(np.mean((c[:, i] * c[:, j] - s[i, j]) ** 2) for i in range(3) for j in range(3))
+        off = s - np.diag(np.diag(s))
+        s = s - min(1.0, spread / (off**2).sum()) * off
+    np.testing.assert_allclose(got, s, rtol=1e-9)
+
+
+def test_confidence_levels_keep_their_names(spark):
+    from barloom.operators import risk
+
+    df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(0).normal(size=500)], "ret double")
+    got = risk.var_es(df, levels=(0.97, 0.975))
+    assert {"var_97", "var_97_5", "es_97", "es_97_5"} <= set(got.columns)
+    row = got.collect()[0]
+    assert row.var_97_5 > row.var_97
+
+
+def test_normal_distribution_function(spark):
+    from statistics import NormalDist
+
+    from barloom.operators import risk
+
+    xs = [-40.0, -8.0, -3.3, -1.0, -1e-9, 0.0, 0.5, 2.0, 7.2, 40.0]
+    for x, p in spark.createDataFrame([(x,) for x in xs], "x double").select("x", risk.normal_cdf("x")).collect():
+        assert p == pytest.approx(NormalDist().cdf(x), rel=1e-6, abs=1e-12)
+
+
+def test_as_of_each_with_a_hot_key(spark):
+    from datetime import date, timedelta
+
+    from barloom.operators import joins
+
+    rng, day = np.random.default_rng(7), lambda n: date(2020, 1, 1) + timedelta(days=int(n))
+    facts = [(int(k), day(r), day(r + d) if d < 40 else None, float(i)) for i, (k, r, d) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 900, 60), rng.integers(0, 50, 60)))]
+    probes = [(i, 0 if i % 3 else int(rng.integers(0, 5)), day(rng.integers(0, 1000))) for i in range(600)]
+    f = spark.createDataFrame(facts, "symbol int, record_date date, disclosure_date date, v double")
+    got = {r.i: r.v for r in joins.as_of_each(spark.createDataFrame(probes, "i int, symbol int, at date"), f, "at", ["v"]).collect()}
+    for i, k, at in probes:
+        known = [(rec, v) for s, rec, dis, v in facts if s == k and (dis or rec) <= at]
+        assert got[i] == (max(known)[1] if known else None)
