@@ -10,13 +10,15 @@ array is merge-scanned against every level of the family, then joins it as a lev
 levels of equal size merge into one of twice the size, so an entry is merged a logarithmic number of
 times. A scan finds
   - stretches equal as a whole to an earlier one: all their windows repeat;
-  - anchors with stretches that differ (passages end there): these list their windows one by one,
-    in a second family that is keyed by the digest of the window.
-Both see every window that occurs twice, so the result is exact (up to 128-bit digests).
+  - anchors with stretches that differ (passages end there). These are cut into pieces of up to PIECE
+    windows, at fixed places from the anchor, for a second family: all windows of a piece share its
+    core, the anchor of that family. Only pieces whose core has others that differ list their
+    windows one by one, for a third family that is keyed by the digest of the window.
+Each sees every window that occurs twice, so the result is exact (up to 128-bit digests).
 
-Only the first of equal entries leaves a batch, and an anchor with several stretches leaves it once,
-so a passage in a third of all documents is one entry for each batch, not one for each copy.
-Batches are blocks of documents by hash of the id; three steps read the same shuffled blocks."""
+Only the first of equal entries leaves a batch, and an anchor with several digests leaves it once, so
+a passage in a third of all documents is one entry for each batch, not one for each copy. Batches
+are blocks of documents by hash of the id; all four steps read the same shuffled blocks."""
 
 from __future__ import annotations
 
@@ -32,6 +34,8 @@ from barloom.llm.text import n_blocks
 
 WIDTH, KMER = 100, 24
 _SPAN = WIDTH - KMER + 1
+#: Windows of a piece: their starts lie 0 to 15, 16 to 31, ... bytes before the anchor.
+PIECE = 16
 #: A chunk's positions take the lower bits of the numbers that anchors are chosen by.
 _BITS = 20
 _CHUNK = 1 << _BITS
@@ -62,19 +66,21 @@ def _kmers(data: bytes) -> np.ndarray:
 
 @dataclass
 class Stretches:
-    """Runs of windows with one anchor, in order: document, first and last window start in it."""
+    """Runs of windows with one anchor, in order: document, first and last window start in it, place
+    of the anchor, its hash, and the digest of all bytes of the windows."""
 
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    anchor: np.ndarray
-    digest: np.ndarray
+    place: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
 
 
 def stretches(texts: list[bytes]) -> Stretches:
     """All windows of the texts. A text beyond a chunk is cut into pieces that overlap by a window; a
     stretch that is cut with it differs from its uncut copies, and is then settled window by window."""
-    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
     held: list[tuple[int, int, bytes]] = []  # document, offset of the piece, piece
     size = 0
 
@@ -94,7 +100,7 @@ def stretches(texts: list[bytes]) -> Stretches:
         a, b, own = start[new], start[end], piece[new]
         digest = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(a.tolist(), (b + WIDTH).tolist(), strict=True)), np.uint64, len(a))
         shift = np.array([offset for _, offset, _ in held])[own] - begin[own]
-        for column, values in zip(out, (np.array([d for d, _, _ in held])[own], a + shift, b + shift, x[at[new]], digest), strict=True):
+        for column, values in zip(out, (np.array([d for d, _, _ in held])[own], a + shift, b + shift, at[new] + shift, x[at[new]], digest), strict=True):
             column.append(values)
 
     for i, text in enumerate(texts):
@@ -110,7 +116,7 @@ def stretches(texts: list[bytes]) -> Stretches:
             if offset + len(piece) == len(text):
                 break
     flush()
-    return Stretches(*(np.concatenate(c) if c else np.array([], np.uint64 if k > 2 else np.int64) for k, c in enumerate(out)))
+    return Stretches(*(np.concatenate(c) if c else np.array([], np.uint64 if k > 3 else np.int64) for k, c in enumerate(out)))
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,47 +127,67 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-class Block:
-    """The documents of a batch in order of (id, text), and what their own suffix array says."""
+class Entries:
+    """What a batch lists in a family: anchors (a) and digests (b) in order of place.
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values(["order", "text"], ignore_index=True)
-        self.order, self.texts = rows["order"].to_numpy(), list(rows["text"])
-        self.st = st = stretches(self.texts)
-        n = len(st.doc)
-        by, new = _groups(st.anchor, st.digest, np.arange(n))
-        self.copy = np.ones(n, bool)
+    copy: equal to an earlier one here. mixed: first of its digest, at an anchor that has several."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        by, new = _groups(a, b, np.arange(len(a)))
+        self.copy = np.ones(len(a), bool)
         self.copy[by[new]] = False
         firsts = by[new]
-        anchors, inverse, times = np.unique(st.anchor[firsts], return_inverse=True, return_counts=True)
-        self.mixed = np.zeros(n, bool)
+        anchors, inverse, times = np.unique(a[firsts], return_inverse=True, return_counts=True)
+        self.mixed = np.zeros(len(a), bool)
         self.mixed[firsts[times[inverse] > 1]] = True
-        #: one entry per digest, and one for each anchor that has several
-        self.sent = np.flatnonzero(~self.copy & ~self.mixed)
         self.marks = anchors[times > 1]
 
-    def entries(self) -> dict[str, np.ndarray]:
-        k, st = self.sent, self.st
+    def sent(self, order: np.ndarray) -> dict[str, np.ndarray]:
+        """One entry per digest where the anchor has one, and a mark for each anchor that has several."""
+        k, marks = np.flatnonzero(~self.copy & ~self.mixed), self.marks
         return {
-            "a": np.concatenate([st.anchor[k], self.marks]),
-            "b": np.concatenate([st.digest[k], np.zeros(len(self.marks), np.uint64)]),
-            "order": np.concatenate([self.order[st.doc[k]], np.zeros(len(self.marks), np.int64)]),
-            "at": np.concatenate([k, np.full(len(self.marks), -1)]).astype(np.int32),
+            "a": np.concatenate([self.a[k], marks]),
+            "b": np.concatenate([self.b[k], np.zeros(len(marks), np.uint64)]),
+            "order": np.concatenate([order[k], np.zeros(len(marks), np.int64)]),
+            "at": np.concatenate([k, np.full(len(marks), -1)]).astype(np.int32),
         }
 
-    def windows(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, start, two halves of the digest, repeated within the batch) of every window of the
-        stretches whose anchor has several: those known here and those that the shards report."""
-        k = np.flatnonzero(self.mixed | mixed)
-        first, n = self.st.first[k], self.st.last[k] - self.st.first[k] + 1
-        doc = np.repeat(self.st.doc[k], n)
-        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        raw = b"".join(xxhash.xxh3_128_digest(self.texts[d][p : p + WIDTH]) for d, p in zip(doc.tolist(), start.tolist(), strict=True))
-        a, b = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2).T
-        by, new = _groups(a, b, np.arange(len(a)))
-        copy = np.ones(len(a), bool)
-        copy[by[new]] = False
-        return doc, start, a, b, copy
+
+class Block:
+    """The documents of a batch in order of (id, text), and the entries that they list."""
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["order", "text"], ignore_index=True)
+        self.order, self.texts = rows["order"].to_numpy(), list(rows["text"])
+        self.st = stretches(self.texts)
+        self.stretches = Entries(self.st.a, self.st.b)
+
+    def _digest(self, doc: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        texts = self.texts
+        parts = zip(doc.tolist(), begin.tolist(), end.tolist(), seed.tolist(), strict=True)
+        return np.fromiter((xxhash.xxh3_64_intdigest(texts[d][i:j], s) for d, i, j, s in parts), np.uint64, len(doc))
+
+    def list_pieces(self, mixed: np.ndarray) -> None:
+        """Pieces of the stretches whose anchor has several: those known here and those reported."""
+        st, k = self.st, np.flatnonzero(self.stretches.mixed | mixed)
+        near, far = (st.place[k] - st.last[k]) // PIECE, (st.place[k] - st.first[k]) // PIECE
+        n = far - near + 1
+        own = np.repeat(k, n)
+        which = np.repeat(far, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        close = st.place[own] - which * PIECE  # the start nearest to the anchor
+        self.doc, self.first, self.last = st.doc[own], np.maximum(st.first[own], close - PIECE + 1), np.minimum(st.last[own], close)
+        core = self._digest(self.doc, close, close - PIECE + 1 + WIDTH, which)
+        self.pieces = Entries(core, self._digest(self.doc, self.first, self.last + WIDTH, st.place[own] - self.first))
+
+    def list_windows(self, mixed: np.ndarray) -> None:
+        """Every window of the pieces whose core has several."""
+        k = np.flatnonzero(self.pieces.mixed | mixed)
+        n = self.last[k] - self.first[k] + 1
+        self.window_doc = np.repeat(self.doc[k], n)
+        self.start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
+        raw = b"".join(xxhash.xxh3_128_digest(self.texts[d][p : p + WIDTH]) for d, p in zip(self.window_doc.tolist(), self.start.tolist(), strict=True))
+        self.windows = Entries(*np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2).T)
 
 
 class Family:
@@ -204,7 +230,7 @@ class Family:
         self.mixed[met[several[anchor]]] = True
 
 
-def _packed(block: int, shards: int, kind: str, entries: dict[str, np.ndarray]) -> pd.DataFrame:
+def _packed(block: int, shards: int, entries: dict[str, np.ndarray]) -> pd.DataFrame:
     """A row for each shard that gets entries: their columns as bytes."""
     shard = (entries["a"] % np.uint64(shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
@@ -247,42 +273,48 @@ def _marked(replies: pd.DataFrame, kind: str, column: str, n: int) -> np.ndarray
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """For each row: id, n_bytes, spans (array of start and end, maximal and in order), kept (binary).
 
     Earlier is a smaller id (null least), then a smaller text among rows of one id, then a smaller
     start; of rows equal in both, one counts as first. A null text has no bytes; texts of fewer than
     WIDTH bytes stay whole. Spans are judged on the input and may overlap in what made them."""
     blocks = n_blocks(docs, text_col, block_bytes)
-    shards = 1 + blocks // 4
+    shards = 1 + blocks // 8
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
     dealt = docs.select(order.alias("order"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("order"), F.lit(blocks)).cast("int"))
 
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        return _packed(int(rows["block"][0]), shards, "stretch", Block(rows).entries())
+    def listed(rows: pd.DataFrame, replies: pd.DataFrame, kinds: int) -> Block:
+        """The block with the entries of as many families as kinds."""
+        block = Block(rows)
+        if kinds > 1:
+            block.list_pieces(_marked(replies, "stretch", "mixed", len(block.st.doc)))
+        if kinds > 2:
+            block.list_windows(_marked(replies, "piece", "mixed", len(block.doc)))
+        return block
 
-    def send_windows(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=["shard", "block", "a", "b", "order", "at"])
+    def send_stretches(rows: pd.DataFrame) -> pd.DataFrame:
         block = Block(rows)
-        doc, _, a, b, copy = block.windows(_marked(replies, "stretch", "mixed", len(block.copy)))
-        k = np.flatnonzero(~copy)
-        return _packed(int(rows["block"].iloc[0]), shards, "window", {"a": a[k], "b": b[k], "order": block.order[doc[k]], "at": k.astype(np.int32)})
+        return _packed(int(rows["block"].iloc[0]), shards, block.stretches.sent(block.order[block.st.doc]))
+
+    def send_pieces(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        block = listed(rows, replies, 2)
+        return _packed(int(rows["block"].iloc[0]), shards, block.pieces.sent(block.order[block.doc]))
+
+    def send_windows(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        block = listed(rows, replies, 3)
+        return _packed(int(rows["block"].iloc[0]), shards, block.windows.sent(block.order[block.window_doc]))
 
     def cut(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=["order", "n_bytes", "spans", "kept"])
-        block, st = Block(rows), None
-        st = block.st
-        doc, start, _, _, copy = block.windows(_marked(replies, "stretch", "mixed", len(block.copy)))
-        copy |= _marked(replies, "window", "copy", len(copy))
-        whole = block.copy | _marked(replies, "stretch", "copy", len(block.copy))
+        block = listed(rows, replies, 3)
         length = np.array([len(t) for t in block.texts])
         begin = np.cumsum(length) - length
         change = np.zeros(length.sum() + 1, np.int32)
-        for at, step in ((begin[st.doc[whole]] + st.first[whole], 1), (begin[st.doc[whole]] + st.last[whole] + WIDTH, -1), (begin[doc[copy]] + start[copy], 1), (begin[doc[copy]] + start[copy] + WIDTH, -1)):
-            np.add.at(change, at, step)
+        for kind, own, doc, first, last in (("stretch", block.stretches, block.st.doc, block.st.first, block.st.last), ("piece", block.pieces, block.doc, block.first, block.last), ("window", block.windows, block.window_doc, block.start, block.start)):
+            k = own.copy | _marked(replies, kind, "copy", len(doc))
+            np.add.at(change, begin[doc[k]] + first[k], 1)
+            np.add.at(change, begin[doc[k]] + last[k] + WIDTH, -1)
         gone = np.cumsum(change[:-1]) > 0
         out = []
         for text, own, at in zip(block.texts, block.order, begin, strict=True):
@@ -295,8 +327,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["order", "n_bytes", "spans", "kept"])
 
     by_block = dealt.groupBy("block")
-    found = by_block.applyInPandas(send, _ENTRY).groupBy("shard").applyInPandas(_answer("stretch"), _REPLY).repartition("block")
-    settled = by_block.cogroup(found.groupBy("block")).applyInPandas(send_windows, _ENTRY).groupBy("shard").applyInPandas(_answer("window"), _REPLY)
-    out = by_block.cogroup(found.union(settled).groupBy("block")).applyInPandas(cut, "order long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+
+    def answers(entries: DataFrame, kind: str) -> DataFrame:
+        return entries.groupBy("shard").applyInPandas(_answer(kind), _REPLY).repartition("block")
+
+    def beside(replies: DataFrame, step, schema: str) -> DataFrame:
+        """step on each block with the replies to it. A reply has a block, so only replies can lack."""
+        return by_block.cogroup(replies.groupBy("block")).applyInPandas(step, schema)
+
+    replies = answers(by_block.applyInPandas(send_stretches, _ENTRY), "stretch")
+    replies = replies.union(answers(beside(replies, send_pieces, _ENTRY), "piece"))
+    replies = replies.union(answers(beside(replies, send_windows, _ENTRY), "window"))
+    out = beside(replies, cut, "order long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     doc_id = F.when(F.col("order") != _LOWEST, F.col("order")).cast(docs.schema[id_col].dataType)
     return out.select(doc_id.alias(id_col), "n_bytes", "spans", "kept")
