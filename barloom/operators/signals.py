@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from barloom.operators.panel import by_symbol, full, tail, tick as exact_tick
+from barloom.operators.scaling import reuse
 
 
 @dataclass(frozen=True)
@@ -278,19 +279,13 @@ def divergence(df: DataFrame, p: SignalParams = P) -> DataFrame:
         ago = np.where(at >= 0, np.arange(len(g)) - at, -1)
         return pd.DataFrame({"symbol": g["symbol"], "trade_date": g["trade_date"], "_kind": k, "div_bars_ago": ago, "div_strength": s})
 
+    df = reuse(df)  # the group step and the join below read it; without this its whole stack runs twice
     d = df.select("symbol", "trade_date", "close", "dif").groupBy("symbol").applyInPandas(run, schema)
     d = d.withColumn("div_type", F.when(F.col("_kind") == 1, "top").when(F.col("_kind") == -1, "bottom").otherwise("none"))
     d = d.withColumn("div_decay", F.when(F.col("div_bars_ago") >= 0, decay(F.col("div_bars_ago"), p.decay_half_life)).otherwise(0.0))
     return df.join(d.drop("_kind"), ["symbol", "trade_date"])
 
 
-def no_divergence(df: DataFrame) -> DataFrame:
-    """Neutral divergence columns for callers that score without it."""
-    return df.withColumns(
-        {"div_type": F.lit("none"), "div_bars_ago": F.lit(-1), "div_strength": F.lit(0.0), "div_decay": F.lit(0.0)}
-    )
-
-
 def decay(bars_ago: Column, half_life: int = P.decay_half_life) -> Column:
     return F.pow(F.lit(0.5), bars_ago / float(half_life))
 
@@ -358,10 +353,9 @@ def parameter_free(ind: DataFrame) -> DataFrame:
     return golden_norm(candle_score(df))
 
 
-def signals(ind: DataFrame, p: SignalParams = P, with_divergence: bool = True, prepared: bool = False) -> DataFrame:
+def signals(ind: DataFrame, p: SignalParams = P, prepared: bool = False) -> DataFrame:
     """All signal columns per bar from the indicator panel."""
-    df = ind if prepared else parameter_free(ind)
-    df = divergence(df, p) if with_divergence else no_divergence(df)
+    df = divergence(ind if prepared else parameter_free(ind), p)
     return composite(exit_score(risk_level(golden_score(df, p)), p), p)
 
 
@@ -417,10 +411,10 @@ def exit_levels(df: DataFrame, stop: float = 1.5, t1: float = 3.0, t2: float = 5
     return df.withColumn("exit_rrr", F.when(ok, (F.col("t1_target") - c) / risk))
 
 
-def grid(df: DataFrame, params: dict[str, SignalParams], with_divergence: bool = True) -> DataFrame:
-    """Score several parameter sets over one persisted parameter-free block."""
+def grid(df: DataFrame, params: dict[str, SignalParams]) -> DataFrame:
+    """Score several parameter sets over one materialised parameter-free block."""
     from functools import reduce
 
-    base = parameter_free(df).persist()
-    parts = [signals(base, p, with_divergence, prepared=True).withColumn("params", F.lit(k)) for k, p in params.items()]
+    base = reuse(parameter_free(df))
+    parts = [signals(base, p, prepared=True).withColumn("params", F.lit(k)) for k, p in params.items()]
     return reduce(DataFrame.unionByName, parts)

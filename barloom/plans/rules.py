@@ -27,7 +27,7 @@ cte(
 cte("rin1", f"SELECT *, 100e0*len(list_filter(ch, lambda x: x<close))/len(ch) AS winner FROM (SELECT *, {over('list(close)', 120)} AS ch, {over('quantile_cont(close,0.95)', 120)} AS cost95, {over('quantile_cont(close,0.5)', 120)} AS cost50, {over('quantile_cont(close,0.05)', 120)} AS cost5 FROM rin0)", "rin0")
 cte(
     "rin2",
-    f"""SELECT * EXCLUDE (h1, h10, bull, bear, up), score_base AS score0, risk_level AS risk0, volume_price_score AS vps, 'none' AS div_type, false AS has_forecast,
+    f"""SELECT * EXCLUDE (h1, h10, bull, bear, up), score_base AS score0, risk_level AS risk0, volume_price_score AS vps, false AS has_forecast,
     coalesce(kdj_k>kdj_d AND {lag('kdj_k')}<={lag('kdj_d')},false) AS kdj_golden, {_B('max(close)', 20)} AS hh20, {_B('max(rsi)', 19)} AS rsi19, {_B('max(volume)', 19)} AS vol19,
     {lag('macd_hist')} AS h1, {lag('macd_hist', 2)} AS h2, {lag('macd_hist', 3)} AS h3, {lag('macd_hist', 4)} AS h4, {over('avg(amount)', 5)} AS amt5, {over('avg(amount)', 20)} AS amt20,
     {over('avg(volume)', 5)} AS vol5, {over('avg(volume)', 20)} AS vol20, (high-low)/low*100 AS amp, i-{over('max(CASE WHEN macd_cross=1 THEN i END)')} AS since_golden,
@@ -91,7 +91,7 @@ def macro(v):
 
 
 def rule_inputs(v):
-    s = S.signals(v.ind, with_divergence=False)
+    s = S.signals(v.ind)
     s = trend.vol_regime(trend.kdj(s))
     ch = F.collect_list("close").over(tail(120))
     s = s.withColumn("_ch", ch).withColumns({f"cost{q}": F.percentile("close", F.lit(q / 100)).over(tail(120)) for q in (5, 50, 95)})
@@ -167,15 +167,16 @@ cte(
     "ds2",
     """SELECT *, 22+wc+wm+ws+wd+wkp AS lim, CASE macd_trend WHEN 'SUPER_STRONG' THEN 22 WHEN 'STRONG' THEN 13 WHEN 'WEAK' THEN 8 ELSE 0 END
     + floor((CASE WHEN macd_label='golden_above_zero' THEN floor(wc*vf) WHEN macd_label='golden_below_zero' THEN floor(floor(wc/2)*vf) WHEN dif>dea THEN floor(wc*0.75e0*vf) ELSE 0 END)*coalesce(greatest(0.3e0,1-ago/30e0),1))
-    + least(momentum_score,wm) + CASE WHEN coalesce(dif_slope>0,false) THEN CASE WHEN dif_r2>0.7 THEN ws ELSE floor(ws*0.55e0) END ELSE 0 END + candle_score AS tb FROM ds1""",
+    + least(momentum_score,wm) + CASE WHEN coalesce(dif_slope>0,false) THEN CASE WHEN dif_r2>0.7 THEN ws ELSE floor(ws*0.55e0) END ELSE 0 END + candle_score
+    + CASE WHEN div_type='bottom' THEN floor(wd*(0.5e0+0.5e0*div_strength*div_decay)) ELSE 0 END AS tb FROM ds1""",
     "ds1",
 )
-cte("ds3", "SELECT *, greatest(0,least(lim+wv,greatest(0,least(lim,tb))+least(volume_price_score,wv))) AS s0 FROM ds2", "ds2")
+cte("ds3", "SELECT *, greatest(0,least(lim+wv,greatest(0,least(lim,tb))+least(CASE WHEN div_type='top' THEN 0 ELSE volume_price_score END,wv))) AS s0 FROM ds2", "ds2")
 cte("ds4", "SELECT *, CAST(greatest(0,least(100,floor((CASE WHEN flow_bonus<>0 THEN greatest(0,least(100,s0+flow_bonus)) ELSE s0 END)*mu))) AS INT) AS daily_score FROM ds3", "ds3")
 
 
 def scored_daily(v):
-    s = S.signals(v.ind, with_divergence=False).join(flow_bonus(v), ["symbol", "trade_date"])
+    s = S.signals(v.ind).join(flow_bonus(v), ["symbol", "trade_date"])
     w = trend.macd(panel.weekly(v.adj))
     w = w.select("symbol", "week", F.lag(F.col("dif") > F.col("dea")).over(panel.by_symbol()).alias("week_bull"))
     s = s.withColumn("week", F.date_trunc("week", "trade_date").cast("date")).join(w, ["symbol", "week"], "left")
@@ -184,7 +185,7 @@ def scored_daily(v):
     return U.daily_score(s)
 
 
-@query("w53_daily_score", sql("ds4", "SELECT symbol, trade_date, daily_score, CASE WHEN risk_level='HIGH' THEN 'D' WHEN daily_score>=80 THEN 'A' WHEN daily_score>=60 THEN 'B' ELSE 'C' END AS daily_level FROM ds4"))
+@query("w53_daily_score", sql("ds4", "SELECT symbol, trade_date, daily_score, CASE WHEN risk_level='HIGH' OR div_type='top' THEN 'D' WHEN daily_score>=80 THEN 'A' WHEN daily_score>=60 THEN 'B' ELSE 'C' END AS daily_level FROM ds4"))
 def _(v):
     return scored_daily(v).select("symbol", "trade_date", "daily_score", "daily_level")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import panel, signals as S, trend
-from barloom.plans.registry import R, Rs, cte, ema, full, lag, over, query, r, rounded, sql
+from barloom.plans.registry import R, Rs, cte, ema, full, lag, lead, over, query, r, rounded, sql
 
 KEY = ("symbol", "trade_date")
 
@@ -60,26 +60,66 @@ cte(
     {over('min(CASE WHEN macd_cross=1 THEN i END)', 30)} AS oldest FROM sg3""",
     "sg3",
 )
+# Divergence: extremes of DIF are detected anew every five bars on the history so far, spaced by a
+# distance that follows its movement; each bar meets the nearest one that diverges from it.
+cte("dvx0", f"SELECT symbol, trade_date, i, close, dif, {lag('dif')} AS dp, {lead('dif')} AS dn, {over('max(dif)')} AS hi, {over('min(dif)')} AS lo FROM i_dea", "i_dea")
+cte("dvx", f"SELECT *, {over('sum(abs(dif-dp))')} AS moved FROM dvx0", "dvx0")
+cte("dvp", "SELECT symbol, i, dif, CASE WHEN dif>dp THEN 1 ELSE -1 END AS sign FROM dvx WHERE (dif>dp AND dif>dn) OR (dif<dp AND dif<dn)", "dvx")
+cte(
+    "dvd",
+    """SELECT symbol, i AS b, CASE WHEN i<19 THEN greatest(3,(i+1)//4) WHEN hi=lo THEN 11
+    ELSE least(greatest(3,CAST(floor(11*(1+moved/i/(hi-lo)*10)) AS BIGINT)),greatest(10,(i+1)//5)) END AS d FROM dvx WHERE i>=5 AND i%5=0""",
+    "dvx",
+)
+cte("dvl", "SELECT e.symbol, b, sign, any_value(d) AS d, list([p.i] ORDER BY sign*dif DESC, p.i DESC) AS ps FROM dvd e JOIN dvp p ON p.symbol=e.symbol AND p.i<e.b GROUP BY e.symbol, b, sign", "dvd", "dvp")
+cte(
+    "dvk",
+    """SELECT symbol, b, sign, unnest(list_reduce(ps, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y-x[1])<d))=0 THEN list_concat(acc,x) ELSE acc END)) AS p FROM dvl""",
+    "dvl",
+)
+cte(
+    "dvm",
+    """SELECT x.symbol, x.i, k.sign, max(k.p) AS p FROM dvx x JOIN dvk k ON k.symbol=x.symbol AND k.b=(x.i//5)*5 JOIN dvx e ON e.symbol=x.symbol AND e.i=k.p
+    WHERE k.p>=k.b-22 AND x.i-k.p<=22 AND CASE WHEN k.sign=1 THEN e.close>x.close*0.98e0 AND e.dif>x.dif ELSE e.close<x.close*1.02e0 AND e.dif<x.dif END GROUP BY 1,2,3""",
+    "dvx",
+    "dvk",
+)
+cte(
+    "dvs",
+    """SELECT m.symbol, m.i, max(CASE WHEN sign=1 THEN m.i-p END) AS ago_t, max(CASE WHEN sign=-1 THEN m.i-p END) AS ago_b,
+    max(CASE WHEN sign=1 THEN greatest(0,least(1,(x.close/e.close-x.dif/e.dif)/2)) END) AS st, max(CASE WHEN sign=-1 THEN greatest(0,least(1,(x.dif/e.dif-x.close/e.close)/2)) END) AS sb
+    FROM dvm m JOIN dvx x ON x.symbol=m.symbol AND x.i=m.i JOIN dvx e ON e.symbol=m.symbol AND e.i=m.p GROUP BY 1,2""",
+    "dvm",
+)
+cte("dvt", "SELECT symbol, trade_date, ago_t, ago_b, st, sb, coalesce(st>0.15,false) AS t, coalesce(sb>0.15 AND sb>CASE WHEN coalesce(st>0.15,false) THEN st ELSE 0 END,false) AS m FROM dvx LEFT JOIN dvs USING (symbol, i)", "dvx", "dvs")
+cte(
+    "div",
+    """SELECT symbol, trade_date, CASE WHEN m THEN 'bottom' WHEN t THEN 'top' ELSE 'none' END AS div_type, CASE WHEN m THEN ago_b WHEN t THEN ago_t ELSE -1 END AS div_bars_ago,
+    CASE WHEN m THEN sb WHEN t THEN st ELSE 0e0 END AS div_strength FROM dvt""",
+    "dvt",
+)
+cte("sgd", "SELECT s.*, div_type, div_bars_ago, div_strength, CASE WHEN div_bars_ago>=0 THEN pow(0.5e0,div_bars_ago/8e0) ELSE 0e0 END AS div_decay FROM sg4 s JOIN div USING (symbol, trade_date)", "sg4", "div")
 cte(
     "sg5",
     f"""SELECT *, CAST(floor((CASE WHEN macd_label='golden_above_zero' THEN floor(17*vf+10*vf) WHEN macd_label='golden_below_zero' THEN floor(8*vf+10*vf)
     WHEN dif>dea THEN floor(17*0.75e0*vf) ELSE 0e0 END)*coalesce(greatest(0.3e0, 1e0-(i-oldest)/30e0),1e0)) AS INT) AS golden_score,
-    CASE WHEN macd_trend='SUPER_WEAK' OR regime='WEAK_TREND' THEN 'HIGH' ELSE 'LOW' END AS risk_level,
-    floor(round(pc-{lag('atr')}*1.5e0,8)*100+0.5e0)/100 AS pstop FROM sg4""",
-    "sg4",
+    CASE WHEN macd_trend='SUPER_WEAK' OR regime='WEAK_TREND' OR (div_type='top' AND div_strength>0.3) THEN 'HIGH' ELSE 'LOW' END AS risk_level,
+    floor(round(pc-{lag('atr')}*1.5e0,8)*100+0.5e0)/100 AS pstop FROM sgd""",
+    "sgd",
 )
 cte(
     "sig",
     """SELECT *, CASE WHEN risk_level='HIGH' THEN 100e0 WHEN coalesce(pstop>0 AND close<pstop,false) THEN 90e0 ELSE 0e0 END AS exit_score,
     CASE WHEN coalesce(atr>0,false) THEN floor(round(close-atr*1.5e0,8)*100+0.5e0)/100 ELSE 0e0 END AS stop_loss,
     greatest(least(CASE macd_trend WHEN 'SUPER_STRONG' THEN 22 WHEN 'STRONG' THEN 13 WHEN 'WEAK' THEN 8 ELSE 0 END
-      + golden_score + momentum_score + slope_score + candle_score, 100e0), 0e0) AS score_base FROM sg5""",
+      + golden_score + momentum_score + slope_score + candle_score + CASE WHEN div_type='bottom' THEN floor(11*(0.5e0+0.5e0*div_strength*div_decay)) ELSE 0 END
+      - CASE WHEN div_type='top' THEN 20*div_strength*div_decay ELSE 0e0 END, 100e0), 0e0) AS score_base FROM sg5""",
     "sg5",
 )
 cte(
     "sigf",
-    """SELECT *, greatest(least(score_base+greatest(least(volume_price_score,11e0),-11e0),111e0),0e0) AS score,
-    CASE WHEN macd_trend='SUPER_WEAK' THEN 'D' WHEN score_base>=80 THEN 'A' WHEN score_base>=60 THEN 'B' ELSE 'C' END AS level FROM sig""",
+    """SELECT *, greatest(least(score_base+CASE WHEN div_type='top' THEN 0 ELSE greatest(least(volume_price_score,11e0),-11e0) END,111e0),0e0) AS score,
+    CASE WHEN macd_trend='SUPER_WEAK' OR (div_type='top' AND div_strength>0.3) THEN 'D' WHEN score_base>=80 THEN 'A' WHEN score_base>=60 THEN 'B' ELSE 'C' END AS level FROM sig""",
     "sig",
 )
 
@@ -120,7 +160,7 @@ def _(v):
     return df.select(*KEY, r("golden_norm").alias("golden_norm"), "golden_score")
 
 
-@query("w21_divergence")
+@query("w21_divergence", sql("div", f"SELECT symbol, trade_date, div_type, CAST(div_bars_ago AS INT) AS div_bars_ago, {R('div_strength')} AS div_strength FROM div"))
 def _(v):
     return rounded(S.divergence(trend.macd(v.adj)).select(*KEY, "div_type", "div_bars_ago", "div_strength"), "div_strength")
 
@@ -138,18 +178,18 @@ def _(v):
 @query("w23_risk_level", sql("sg5", "SELECT symbol, trade_date, risk_level FROM sg5"))
 def _(v):
     df = S.regime(trend.bollinger(trend.macd(trend.sma(v.adj)))).withColumn("macd_trend", S.macd_trend(F.col("dif"), F.col("dea")))
-    return S.risk_level(S.no_divergence(df)).select(*KEY, "risk_level")
+    return S.risk_level(S.divergence(df)).select(*KEY, "risk_level")
 
 
 @query("w24_exit_score", sql("sig", f"SELECT symbol, trade_date, exit_score, {R('stop_loss', 2)} AS stop_loss FROM sig"))
 def _(v):
     df = S.regime(trend.bollinger(trend.macd(trend.sma(trend.atr(v.adj))))).withColumn("macd_trend", S.macd_trend(F.col("dif"), F.col("dea")))
-    return S.exit_score(S.risk_level(S.no_divergence(df))).select(*KEY, "exit_score", r("stop_loss", 2).alias("stop_loss"))
+    return S.exit_score(S.risk_level(S.divergence(df))).select(*KEY, "exit_score", r("stop_loss", 2).alias("stop_loss"))
 
 
-@query("w25_composite_score", sql("sigf", "SELECT symbol, trade_date, score_base, score, level FROM sigf"))
+@query("w25_composite_score", sql("sigf", f"SELECT symbol, trade_date, {R('score_base', 4)} AS score_base, {R('score', 4)} AS score, level FROM sigf"))
 def _(v):
-    return S.signals(v.ind, with_divergence=False).select(*KEY, "score_base", "score", "level")
+    return rounded(S.signals(v.ind).select(*KEY, "score_base", "score", "level"), "score_base", "score", d=4)
 
 
 SIGNAL_COLUMNS = (
@@ -158,22 +198,30 @@ SIGNAL_COLUMNS = (
 ).split()
 
 
-@query("w26_signals")
+@query(
+    "w26_signals",
+    sql(
+        "sigf",
+        f"""SELECT symbol, trade_date, {R('score', 4)} AS score, exit_score, risk_level, {R('atr')} AS atr, macd_trend, golden_score, momentum_score, slope_score, div_type, {R('div_strength')} AS div_strength,
+        volume_price_score, candle_score, {R('stop_loss', 2)} AS stop_loss, level, CASE level WHEN 'D' THEN 'D: top risk' WHEN 'A' THEN 'A: bullish' WHEN 'B' THEN 'B: leaning bullish' ELSE 'C: normal' END AS conclusion, regime FROM sigf""",
+    ),
+)
 def _(v):
-    return rounded(S.signals(v.ind).select(*KEY, *SIGNAL_COLUMNS), "score", "atr", "div_strength")
+    df = rounded(S.signals(v.ind).select(*KEY, *SIGNAL_COLUMNS), "atr", "div_strength")
+    return rounded(rounded(df, "score", d=4), "stop_loss", d=2)
 
 
 @query(
     "w27_parameter_grid",
     sql(
         "sig",
-        """SELECT params, level, count(*) AS n FROM (SELECT p.params, CASE WHEN macd_trend='SUPER_WEAK' THEN 'D' WHEN score_base>=p.fb THEN 'A'
+        """SELECT params, level, count(*) AS n FROM (SELECT p.params, CASE WHEN macd_trend='SUPER_WEAK' OR (div_type='top' AND div_strength>0.3) THEN 'D' WHEN score_base>=p.fb THEN 'A'
         WHEN score_base>=p.b THEN 'B' ELSE 'C' END AS level FROM sig CROSS JOIN (VALUES ('loose',60,40),('strict',80,60)) p(params,fb,b)) GROUP BY 1,2""",
     ),
 )
 def _(v):
     sets = {"strict": S.SignalParams(), "loose": S.SignalParams(fully_bull=60, bullish=40)}
-    return S.grid(v.ind, sets, with_divergence=False).groupBy("params", "level").agg(F.count(F.lit(1)).alias("n"))
+    return S.grid(v.ind, sets).groupBy("params", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 cte(
