@@ -11,8 +11,8 @@ from barloom.plans.registry import R, avgrank, cte, full as sfull, query, r, rou
 COLS = ("mom5", "mom20", "vol20", "turn", "rev1")
 
 
-def factor_panel(v):
-    """Wide daily factors per (symbol, trade_date)."""
+def factor_panel(v, *horizons: int):
+    """Wide daily factors per (symbol, trade_date), with a volatility for each further horizon."""
     lag = lambda n: F.lag("close", n).over(by_symbol())
     df = v.adj.withColumn("_r", F.col("close") / lag(1) - 1)
     return df.select(
@@ -23,6 +23,7 @@ def factor_panel(v):
         (-full(F.stddev_samp("_r"), 20, src="_r")).alias("vol20"),
         (F.col("volume") / full(F.avg("volume"), 20, src="volume")).alias("turn"),
         (-F.col("_r")).alias("rev1"),
+        *[(-full(F.stddev_samp("_r"), n, src="_r")).alias(f"vol{n}") for n in horizons],
     )
 
 
@@ -176,10 +177,26 @@ def _(v):
     return df.select("factor", F.when(h == float("inf"), -1.0).otherwise(r(h, 4)).alias("half_life"), "horizon")
 
 
-@query("x26_correlation_pruning", None)
+# Two horizons of one volatility are all but the same factor; of such a pair the weaker one goes.
+PRUNED = ("mom5", "vol20", "vol22", "turn")
+cte("fq", f"SELECT symbol, trade_date, -({sfull('stddev_samp(rr)', 20, 'rr')}) AS vol20, -({sfull('stddev_samp(rr)', 22, 'rr')}) AS vol22, lead(close,1) {_W}/close-1 AS fwd FROM fp0", "fp0")
+cte("fqp", "SELECT trade_date, 'vol20' AS factor, vol20 AS value, fwd FROM fq WHERE vol20 IS NOT NULL AND fwd IS NOT NULL UNION ALL SELECT trade_date, 'vol22', vol22, fwd FROM fq WHERE vol22 IS NOT NULL AND fwd IS NOT NULL", "fq")
+cte(
+    "fqi",
+    f"""SELECT factor, abs(avg(ic)) AS ic FROM (SELECT trade_date, factor, CASE WHEN count(*)>=5 THEN coalesce(corr(a,b),0) ELSE 0 END AS ic
+    FROM (SELECT *, {avgrank('value', 'trade_date, factor')} AS a, {avgrank('fwd', 'trade_date, factor')} AS b FROM fqp) GROUP BY ALL) GROUP BY factor""",
+    "fqp",
+)
+
+
+@query(
+    "x26_correlation_pruning",
+    sql("fqi", "SELECT CASE WHEN a.ic<=b.ic THEN 'vol20' ELSE 'vol22' END AS factor FROM fqi a, fqi b WHERE a.factor='vol20' AND b.factor='vol22' AND (SELECT corr(vol20, vol22) FROM fq)>0.8"),
+)
 def _(v):
-    ic = Q.rank_ic(pairs(v, (1,)), ["trade_date", "factor"]).groupBy("factor").agg(F.abs(F.avg("ic")).alias("ic"))
-    return Q.prune_correlated(Q.correlations(factor_panel(v), COLS), ic, 0.3)
+    panel = factor_panel(v, 22)
+    ic = Q.rank_ic(Q.with_forward(X.unpivot(panel, ["symbol", "trade_date"], PRUNED), v.adj, (1,)), ["trade_date", "factor"]).groupBy("factor").agg(F.abs(F.avg("ic")).alias("ic"))
+    return Q.prune_correlated(Q.correlations(panel, PRUNED), ic, 0.8)
 
 
 _PAIRS = [(a, b) for i, a in enumerate(COLS) for b in COLS[i:]]
