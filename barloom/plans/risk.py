@@ -302,10 +302,13 @@ def _(v):
     return df.select("strategy", r("sharpe").alias("sharpe"), r("skew", 5).alias("skew"), r("kurt", 4).alias("kurt"), r("psr_z", 5).alias("psr_z"))
 
 
-@query("c31_deflated_sharpe")
+_BEST = K.deflated_target(20, 0.01)
+
+
+@query("c31_deflated_sharpe", sql("mom", f"SELECT strategy, {R('s')} AS sharpe, {R(f'(s-{_BEST!r}e0)*sqrt(n-1)/sqrt(1-sk*s+(ku+2)/4*s*s)', 5)} AS psr_z FROM mom"))
 def _(v):
-    df = K.probabilistic_sharpe(K.moments(strategies(v), ["strategy"]), K.deflated_target(20, 0.01))
-    return rounded(df.select("strategy", "sharpe", "psr"), "sharpe", "psr")
+    df = K.probabilistic_sharpe(K.moments(strategies(v), ["strategy"]), _BEST)
+    return df.select("strategy", r("sharpe").alias("sharpe"), r("psr_z", 5).alias("psr_z"))
 
 
 _L = 3
