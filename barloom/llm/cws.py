@@ -18,23 +18,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS, WIDTH = 128, 5
-#: Rank values go into the upper bits of a long, the 16 bits of the sample's name into the lower.
-_SHIFT, _SCALE, _NAME = 200.0, float(1 << 38), 16
+#: A long holds the bin from bit 56 (at most 128 bins), the rank value in 40 bits, the name in 16.
+_SHIFT, _SCALE, _NAME, _BIN = 200.0, float(1 << 32), 16, 56
 _LOWEST = -(1 << 63)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingles(text: Column, width: int = WIDTH) -> Column:
     """Hashes of the word shingles, repeats included; fewer words than width are one shingle, and no
     words (or null) one empty shingle. Case counts."""
     found = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = F.transform(found, lambda w: F.xxhash64(w))
 
     def over(h: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(width)]))
+        many = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
         return F.when(F.size(h) >= width, many).otherwise(F.array(F.xxhash64(h)))
 
-    # one-element transform: names the array once, so that it isn't built again for each use
-    return F.element_at(F.transform(F.array(hashed), over), 1)
+    return _let(F.transform(found, lambda w: F.xxhash64(w)), over)
 
 
 def _uniform(term: Column, k: int) -> Column:
@@ -47,25 +50,37 @@ def _gamma2(term: Column, k: int) -> Column:
     return -F.log(_uniform(term, k) * _uniform(term, k + 1))
 
 
-def _sample(term: Column, weight: Column, seed: int) -> Column:
-    """The rank value of a weighted term above the name of (term, t), as one long to be minimised."""
+def _sample(term: Column, weight: Column, bins: int, seed: int) -> Column:
+    """The term's bin, the rank value of the weighted term and the name of (term, t), in one long that
+    sorts by bin, then rank value."""
     r, c, b = _gamma2(term, seed), _gamma2(term, seed + 2), _uniform(term, seed + 4)
-    t = F.floor(F.log(weight.cast("double")) / r + b)
+    # ln 1 = 0, so t is 0 for a single occurrence
+    t = F.when(weight == 1, F.lit(0).cast("long")).otherwise(F.floor(F.log(weight.cast("double")) / r + b))
     rank = F.log(c) - r * (t - b + 1)
     name = F.pmod(F.xxhash64(term, t, F.lit(seed + 5)), F.lit(1 << _NAME))
-    return F.shiftleft(F.floor((F.greatest(rank, F.lit(-_SHIFT + 1)) + _SHIFT) * _SCALE), _NAME).bitwiseOR(name)
+    place = F.pmod(F.xxhash64(term, F.lit(seed - 1)), F.lit(bins))
+    high = F.floor((F.greatest(rank, F.lit(-_SHIFT)) + _SHIFT) * _SCALE)
+    return F.shiftleft(place, _BIN).bitwiseOR(F.shiftleft(high, _NAME)).bitwiseOR(name)
+
+
+def signature(terms: Column, bins: int = BINS, seed: int = 7) -> Column:
+    """For each bin that a row's terms fill, its number above 16 bits that name its sample; ascending.
+
+    terms: an array of term hashes in which repeats add weight. The column is a function of the row
+    alone: sorted hashes give terms and weights, sorted samples the least of each bin."""
+
+    def weighed(s: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda at, k: _sample(F.get(s, at), F.coalesce(F.get(starts, k + 1), F.size(s)) - at, bins, seed))
 
+    def samples(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.sort_array(_let(starts, lambda found: weighed(s, found)))
 
-def signatures(sets: DataFrame, keys: list[str], terms: str, bins: int = BINS, seed: int = 7) -> DataFrame:
-    """(keys, signature array<long>): for each bin that the set fills, its number above 16 bits that
-    name its sample; ascending. terms: a column of arrays of term hashes, repeats adding weight.
+    def least(z: Column) -> Column:
+        first = F.filter(z, lambda x, i: (i == 0) | (F.shiftright(x, _BIN) != F.shiftright(F.get(z, i - 1), _BIN)))
+        return F.transform(first, lambda x: F.shiftleft(F.shiftright(x, _BIN), _NAME).bitwiseOR(x.bitwiseAND(F.lit((1 << _NAME) - 1))))
 
-    If sets are partitioned by one of the keys, nothing is shuffled."""
-    weighed = sets.select(*keys, F.explode_outer(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("weight"))
-    best = weighed.select(*keys, F.pmod(F.xxhash64("term", F.lit(seed - 1)), F.lit(bins)).alias("bin"), _sample(F.col("term"), F.col("weight"), seed).alias("s"))
-    best = best.groupBy(*keys, "bin").agg(F.min("s").alias("s"))
-    mark = F.shiftleft("bin", _NAME).bitwiseOR(F.col("s").bitwiseAND(F.lit((1 << _NAME) - 1)))
-    return best.groupBy(*keys).agg(F.sort_array(F.collect_list(mark)).alias("signature"))
+    return _let(_let(F.sort_array(terms), samples), least)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,12 +145,8 @@ def fingerprints(docs: DataFrame, bins: int = BINS, width: int = WIDTH, show: Ca
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    rows = followed(docs).withColumn("edited", edited)
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
-    sets = rows.select("block", "at", F.explode(F.when(F.col("guest"), F.slice(kinds, 1, 1)).otherwise(kinds)).alias("v"))
-    signed = signatures(sets.select("block", "at", "v.kind", shingles(F.col("v.t"), width).alias("terms")), ["block", "at", "kind"], "terms", bins)
-    both = signed.groupBy("block", "at").agg(*[F.max(F.when(F.col("kind") == k, F.col("signature"))).alias(name) for k, name in ((0, "signature"), (1, "edited_signature"))])
-    both = both.withColumn("next_signature", F.lead("signature").over(Window.partitionBy("block").orderBy("at")))
+    rows = followed(docs).withColumn("signature", signature(shingles(F.col("text"), width), bins)).withColumn("edited", edited)
+    rows = rows.select("block", "at", "guest", "order", n.cast("long").alias("n_chars"), show(F.col("edited")).alias("edited"), "signature", signature(shingles(F.col("edited"), width), bins).alias("edited_signature"))
+    rows = rows.withColumn("next_signature", F.lead("signature").over(Window.partitionBy("block").orderBy("at"))).where(~F.col("guest"))
     doc_id = F.when(F.col("order") != _LOWEST, F.col("order")).cast(docs.schema["doc_id"].dataType)
-    shown = rows.where(~F.col("guest")).select("block", "at", doc_id.alias("doc_id"), n.cast("long").alias("n_chars"), show(F.col("edited")).alias("edited"))
-    return shown.join(both, ["block", "at"]).drop("block", "at")
+    return rows.select(doc_id.alias("doc_id"), "n_chars", "edited", "signature", "edited_signature", "next_signature")
