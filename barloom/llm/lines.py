@@ -43,13 +43,9 @@ def _keys(text: Column) -> Column:
 def boilerplate(pages: DataFrame, host: Column, text_col: str, ratio: float, min_pages: int) -> DataFrame:
     """(host, keys): the lines on more than ratio of a host's pages, of at least min_pages pages."""
     keyed = pages.select(F.coalesce(host, F.lit("")).alias("_host"), F.array_distinct(F.filter(_keys(F.col(text_col)), lambda k: k.isNotNull())).alias("keys"))
-    # the empty key counts the pages of the host in the same aggregate
-    page = F.struct(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))
-    per_line = keyed.select("_host", F.explode(F.concat("keys", F.array(page))).alias("k")).groupBy("_host", "k.a", "k.b").agg(F.count("*").alias("n"))
-    # lines on one page only can't pass min_pages; the page totals stay
-    seen = per_line.where((F.col("n") >= min_pages) | F.col("a").isNull())
-    totals = seen.where(F.col("a").isNull()).select("_host", F.col("n").alias("pages"))
-    often = seen.where(F.col("a").isNotNull()).join(totals, "_host").where((F.col("pages") >= min_pages) & (F.col("n") > ratio * F.col("pages")))
+    per_line = keyed.select("_host", F.explode("keys").alias("k")).groupBy("_host", "k.a", "k.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = pages.groupBy(F.coalesce(host, F.lit("")).alias("_host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    often = per_line.join(totals, "_host").where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("_host").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
 
 
@@ -60,9 +56,13 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", rat
     order of what stays is kept. Each page counts once for a line, however often it repeats it.
     A null host is the host ''; a null text stays null, with no lines. Hosts of fewer than
     min_pages pages keep all lines, for their shares say little. Rows that repeat are pages of
-    their own. Columns named n_lines or n_dropped in the input are replaced."""
+    their own. Columns named n_lines or n_dropped in the input are replaced; _host, _drop and _kept are
+    names of this function and do not come back."""
     drop = boilerplate(pages, host, text_col, ratio, min_pages)
-    kept = pages.drop("n_lines", "n_dropped").withColumn("_host", F.coalesce(host, F.lit(""))).join(drop, "_host", "left")
+    # a key of its own: both sides are then dealt out for the join alone, and Spark splits hot hosts
+    key = lambda h: F.concat(F.lit("host "), h)
+    rows = pages.drop("n_lines", "n_dropped", "_drop", "_kept").withColumn("_host", key(F.coalesce(host, F.lit(""))))
+    kept = rows.join(drop.withColumn("_host", key(F.col("_host"))), "_host", "left")
     text, lines = F.col(text_col), _lines(F.col(text_col))
     keep = F.filter(
         F.arrays_zip(lines.alias("line"), _keys(text).alias("key")),
