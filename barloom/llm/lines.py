@@ -43,7 +43,9 @@ def _keys(text: Column) -> Column:
 def boilerplate(pages: DataFrame, host: Column, text_col: str, ratio: float, min_pages: int) -> DataFrame:
     """(host, keys): the lines on more than ratio of a host's pages, of at least min_pages pages."""
     keyed = pages.select(F.coalesce(host, F.lit("")).alias("_host"), F.array_distinct(F.filter(_keys(F.col(text_col)), lambda k: k.isNotNull())).alias("keys"))
-    per_line = keyed.select("_host", F.explode("keys").alias("k")).groupBy("_host", "k.a", "k.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    # outer: a plain explode would add a filter that makes the keys twice
+    listed = keyed.select("_host", F.explode_outer("keys").alias("k")).where(F.col("k").isNotNull())
+    per_line = listed.groupBy("_host", "k.a", "k.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy(F.coalesce(host, F.lit("")).alias("_host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     often = per_line.join(totals, "_host").where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("_host").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
