@@ -18,6 +18,9 @@ HEADLINE = (
     "x01_daily_industry_zscore",
     "x02_percent_rank",
     "x18_rank_ic",
+    "j18_trade_to_bars",
+    "w26_signals",
+    "w52_rule_engine",
     "j05_as_of_each_row",
     "a15_fifo_lots",
     "a19_var_es",
