@@ -28,7 +28,7 @@ from barloom.session import cut_lineage
 STATES, ROUNDS = 8, 2
 COMMON, SUFFIXES, SUFFIX_BYTES = 1 << 19, 1 << 14, 4
 #: Tokens of texts that are held at once, and words that a worker remembers the class of.
-BATCH_TOKENS, REMEMBERED = 1_000_000, 500_000
+BATCH_TOKENS, REMEMBERED = 600_000, 500_000
 #: Clusters of classes whose neighbour counts start the states, half of them the commonest words.
 CLUSTERS = 256
 #: Pseudo-tokens with which a state's emissions lean on those of the corpus.
