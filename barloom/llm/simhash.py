@@ -38,15 +38,30 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     found = lower_words(text)
     if not found:
         return 0
-    counts, total = np.zeros(64, np.int64), max(1, len(found) - width + 1)
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in _hashes(found, width, seed):
+        counts += _bits(hashes)
+        total += len(hashes)
+    return _majority(counts, total)
+
+
+def _hashes(found: list[bytes], width: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles, in pieces."""
+    total = max(1, len(found) - width + 1)
     for at in range(0, total, 1 << 15):
         part = found[at : at + (1 << 15) + width - 1]
         ends = np.cumsum([len(w) + 1 for w in part])
         joined, last = b" ".join(part), min(total - at, 1 << 15)
         starts = [0, *ends[: last - 1].tolist()]
         stops = (ends[min(width, len(part)) - 1 :][:last] - 1).tolist()
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], "<u8")
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, total: int) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
