@@ -5,10 +5,12 @@ hashes of the term give r and c from Gamma(2, 1) and b from [0, 1); with t = flo
 rank value is ln c - r (t - b + 1), and the least in a set, with its t, is the sample of the set. Two
 sets have the same sample with a probability equal to their generalised Jaccard similarity.
 
-Each term competes in one bin, chosen by its hash, so a document costs one evaluation per term
-rather than one per term and sample: the part of a set in a bin is an independent subset of it, and
-the share of equal samples among the bins that either set fills estimates the similarity of the
-whole. With bins=1 the single sample has exactly the collision rate above."""
+The weight of a term is dealt out over the bins: its n-th occurrence goes to the bin that a hash of
+term and n names, and in each bin the term competes with the weight it has there, by r, c and b of
+its own. So the sum of the lesser weights over all bins is that of the whole, a bin is a random part
+of the weight of both sets, and the share of equal samples among the bins that either set fills has
+their generalised Jaccard similarity as its mean, however skewed the weights are. A document costs
+one evaluation per term and bin it has weight in, at most one per occurrence."""
 
 from __future__ import annotations
 
@@ -50,17 +52,42 @@ def _gamma2(term: Column, k: int) -> Column:
     return -F.log(_uniform(term, k) * _uniform(term, k + 1))
 
 
-def _sample(term: Column, weight: Column, bins: int, seed: int) -> Column:
-    """The term's bin, the rank value of the weighted term and the name of (term, t), in one long that
-    sorts by bin, then rank value."""
-    r, c, b = _gamma2(term, seed), _gamma2(term, seed + 2), _uniform(term, seed + 4)
-    # ln 1 = 0, so t is 0 for a single occurrence
-    t = F.when(weight == 1, F.lit(0).cast("long")).otherwise(F.floor(F.log(weight.cast("double")) / r + b))
-    rank = F.log(c) - r * (t - b + 1)
-    name = F.pmod(F.xxhash64(term, t, F.lit(seed + 5)), F.lit(1 << _NAME))
-    place = F.pmod(F.xxhash64(term, F.lit(seed - 1)), F.lit(bins))
-    high = F.floor((F.greatest(rank, F.lit(-_SHIFT)) + _SHIFT) * _SCALE)
-    return F.shiftleft(place, _BIN).bitwiseOR(F.shiftleft(high, _NAME)).bitwiseOR(name)
+def _place(term: Column, occurrence: Column, bins: int, seed: int) -> Column:
+    """The bin of an occurrence of the term, counted from 0."""
+    return F.pmod(F.xxhash64(term, occurrence.cast("int"), F.lit(seed - 1)), F.lit(bins))
+
+
+def _sample(term: Column, place: Column, weight: Column | None, seed: int) -> Column:
+    """The bin, the rank value of the term with its weight in the bin and the name of (term, t), in one
+    long that sorts by bin, then rank value. No weight is a weight of 1."""
+
+    def ranked(own: Column) -> Column:
+        r, c, b = _gamma2(own, seed), _gamma2(own, seed + 2), _uniform(own, seed + 4)
+        # ln 1 = 0, so t is 0 for a single occurrence
+        one = F.lit(0).cast("long")
+        t = one if weight is None else F.when(weight == 1, one).otherwise(F.floor(F.log(weight.cast("double")) / r + b))
+        rank = F.log(c) - r * (t - b + 1)
+        name = F.pmod(F.xxhash64(own, t, F.lit(seed + 5)), F.lit(1 << _NAME))
+        high = F.floor((F.greatest(rank, F.lit(-_SHIFT)) + _SHIFT) * _SCALE)
+        return F.shiftleft(high, _NAME).bitwiseOR(name)
+
+    return F.shiftleft(place.cast("long"), _BIN).bitwiseOR(_let(F.xxhash64(term, place.cast("int")), ranked))
+
+
+def _runs(s: Column) -> Column:
+    """Where the runs of equal values of a sorted array start."""
+    return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+
+def _samples(term: Column, weight: Column, bins: int, seed: int) -> Column:
+    """The samples of a term in all bins in which it has weight."""
+
+    def over(places: Column) -> Column:
+        return _let(_runs(places), lambda starts: F.transform(starts, lambda at, k: _sample(term, F.get(places, at), F.coalesce(F.get(starts, k + 1), F.size(places)) - at, seed)))
+
+    once = _let(_place(term, F.lit(0), bins, seed), lambda place: _sample(term, place, None, seed))
+    many = F.sort_array(F.transform(F.sequence(F.lit(0), weight - 1), lambda n: _place(term, n, bins, seed)))
+    return F.when(weight == 1, F.array(once)).otherwise(_let(many, over))
 
 
 def signature(terms: Column, bins: int = BINS, seed: int = 7) -> Column:
@@ -70,11 +97,10 @@ def signature(terms: Column, bins: int = BINS, seed: int = 7) -> Column:
     alone: sorted hashes give terms and weights, sorted samples the least of each bin."""
 
     def weighed(s: Column, starts: Column) -> Column:
-        return F.transform(starts, lambda at, k: _sample(F.get(s, at), F.coalesce(F.get(starts, k + 1), F.size(s)) - at, bins, seed))
+        return F.flatten(F.transform(starts, lambda at, k: _samples(F.get(s, at), F.coalesce(F.get(starts, k + 1), F.size(s)) - at, bins, seed)))
 
     def samples(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.sort_array(_let(starts, lambda found: weighed(s, found)))
+        return F.sort_array(_let(_runs(s), lambda found: weighed(s, found)))
 
     def least(z: Column) -> Column:
         first = F.filter(z, lambda x, i: (i == 0) | (F.shiftright(x, _BIN) != F.shiftright(F.get(z, i - 1), _BIN)))
