@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import bpe, cws, hmm, language, lines, mixing, simhash, suffixes, supervision, toxicity
+from barloom.llm import bpe, clustering, cws, hmm, language, lines, mixing, private, ranked, simhash, suffixes, supervision, toxicity
 from barloom.llm.text import fold, table, written
 
 
@@ -94,6 +94,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("page_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), "text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    index = ranked.build(table(spark, sf_dir, "documents"))
+    return ranked.search(index, table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: the counts and base_sha256 are of what stands plainly, spans has the disguised as well."""
+    found = private.find(table(spark, sf_dir, "documents"))
+    text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kind_no = lambda s: F.array_position(F.array(*map(F.lit, private.KINDS)), s["kind"])
+    ordered = F.array_sort(F.transform(F.concat("plain", "added"), lambda s: F.struct(s["start"].alias("start"), kind_no(s).alias("no"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    count = lambda kind: F.size(F.filter("plain", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, private.KINDS), F.sha2(text_of(F.col("plain")).cast("binary"), 256).alias("base_sha256"), text_of(ordered).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding after five rounds from forty first centroids."""
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"), n_clusters=40, rounds=5)
+    totals = found.totals()  # forty rows at most
+    inertia = totals.agg(F.sum("cluster_inertia").alias("inertia"))
+    rows = found.assigned.join(F.broadcast(totals), "cluster").join(F.broadcast(inertia), F.lit(True))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def _sql_text(html: str) -> str:
     text = f"regexp_replace({html}, '{lines.HIDDEN}', chr(10), 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{lines.BREAKS}', chr(10), 'g'), '{lines.TAGS}', '', 'g')"
@@ -124,10 +149,56 @@ SELECT page_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dro
 FROM page LEFT JOIN kept USING (r)"""
 
 
+_OP11 = """
+WITH word AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+posting AS (SELECT r, doc_id, term, count(*) AS tf FROM word GROUP BY ALL),
+doc AS (SELECT r, sum(tf)::BIGINT AS n FROM posting GROUP BY r),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM doc),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM posting, total GROUP BY term),
+asked AS (
+  SELECT DISTINCT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+scored AS (
+  SELECT q, item_id, p.r, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN posting p USING (term) JOIN weight USING (term) JOIN doc USING (r), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 50"""
+
+
+def _sql_rounds(rounds: int) -> str:
+    """Centroids c0, c1, ... and the assignments a1, a2, ... between them; all whole numbers."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""d{k} AS (SELECT vec_id, cluster, sum((x - c) * (x - c))::BIGINT AS distance FROM v JOIN c{k} USING (d) GROUP BY vec_id, cluster),
+a{k} AS (SELECT vec_id, cluster, distance FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)""")
+        if k < rounds:
+            out.append(f"""m{k} AS (SELECT cluster, d, sum(x)::BIGINT AS s, count(*) AS n FROM a{k} JOIN v USING (vec_id) GROUP BY cluster, d),
+c{k + 1} AS (SELECT cluster, d, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster, d))""")
+    return ",\n".join(out)
+
+
+_OP13 = f"""
+WITH kept AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS d, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM kept),
+c0 AS (
+  SELECT cluster, d, x AS c
+  FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster FROM kept QUALIFY cluster < 40) JOIN v USING (vec_id)),
+{_sql_rounds(5)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance,
+       (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a5 JOIN (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c5 GROUP BY cluster) USING (cluster)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_hmm_scoring, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup)}
+    found = {f.__name__: f for f in (op1_hmm_scoring, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_quality_rules, op6_toxicity, op7_weighted_sampling, op8_mix_sources, op9_language, op10_line_dedup, op11_ranked_search, op12_personal_data, op13_clustering)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": _OP10} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op10_line_dedup": _OP10, "op11_ranked_search": _OP11, "op13_clustering": _OP13} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
