@@ -11,10 +11,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from barloom.llm.text import sliced
+
 #: The characters that \s matches in the split pattern (Unicode White_Space). Fixed values.
 _S = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Where a match always ends: after anything else before white space, and before the last of
@@ -44,22 +47,23 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     path: the rank file, at the same place on every executor (it belongs to an installed package).
     A null text is empty: no ids, no bytes. Rows with equal or null ids stay rows of their own;
-    other columns are not read. An empty table gives an empty table."""
+    other columns are not read. Very long texts are encoded whole, in pieces; a batch goes through in slices of a
+    few MB of text. An empty table gives an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches, 1):  # ids and bytes of one slice at a time
             offsets, parts, decoded = [0], [], []
             for text in batch.column(1):
-                text, n, raw = text.as_py() or "", offsets[-1], []
-                for piece in pieces(text):
+                n, raw = offsets[-1], []
+                for piece in pieces(text.as_py() or ""):
                     ids = enc.encode_to_numpy(piece, disallowed_special=())
                     raw.append(enc.decode_bytes(ids.tolist()))
-                    parts.append(ids)
+                    parts.append(ids.astype(np.int32))
                     n += len(ids)
                 offsets.append(n)
                 decoded.append(b"".join(raw))
-            flat = pa.concat_arrays([pa.array(x.astype("int32")) for x in parts]) if parts else pa.array([], pa.int32())
+            flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.binary())], names=[id_col, "ids", "decoded"])
 

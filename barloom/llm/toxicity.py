@@ -16,13 +16,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.text import fold, lower_words
+from barloom.llm.text import fold, lower_words, sliced
 
 WINDOW, LEVEL, CODE = 16, 3, 16
 #: Bounds of the labelled sample that the dictionaries and the threshold are fitted on.
@@ -149,13 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None) -> Mo
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1). A null text is empty and gets the score of no saving; without a
-    model every score is 0. Every text is compressed whole, whatever its length."""
+    model every score is 0. Every text is compressed whole, whatever its length. A column named toxicity is
+    replaced; rows that repeat are scored alike; an empty table gives an empty table."""
+    rows = docs.drop("toxicity")
     if model is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return rows.withColumn("toxicity", F.lit(0.0))
+    at = rows.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(model.score(model.savings(texts)), dtype="float64")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, at):
+            found = model.score(model.savings(t.as_py() for t in batch.column(at)))
+            yield batch.append_column("toxicity", pa.array(found, pa.float64()))
 
-    return docs.withColumn("toxicity", score(F.col(text_col)))
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("toxicity", T.DoubleType())]))
