@@ -40,27 +40,27 @@ def _keys(text: Column) -> Column:
     return F.transform(_lines(text), lambda x: F.when(F.length(F.trim(x)) > 0, F.struct(F.xxhash64(F.trim(x)).alias("a"), F.xxhash64(F.reverse(F.trim(x))).alias("b"))))
 
 
-def boilerplate(pages: DataFrame, host: Column, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """(host, keys): the lines on more than ratio of a host's pages, of at least min_pages pages."""
+def boilerplate(pages: DataFrame, host: Column, text_col: str, ratio: float) -> DataFrame:
+    """(host, keys): the lines on more than ratio of a host's pages. A line on one page alone repeats nowhere and is none."""
     keyed = pages.select(F.coalesce(host, F.lit("")).alias("_host"), F.array_distinct(F.filter(_keys(F.col(text_col)), lambda k: k.isNotNull())).alias("keys"))
     # outer: a plain explode would add a filter that makes the keys twice
     listed = keyed.select("_host", F.explode_outer("keys").alias("k")).where(F.col("k").isNotNull())
-    per_line = listed.groupBy("_host", "k.a", "k.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.groupBy(F.coalesce(host, F.lit("")).alias("_host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    per_line = listed.groupBy("_host", "k.a", "k.b").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    totals = pages.groupBy(F.coalesce(host, F.lit("")).alias("_host")).agg(F.count("*").alias("pages"))
     often = per_line.join(totals, "_host").where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("_host").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = 0.1) -> DataFrame:
     """Every row of pages, with text_col without its boilerplate lines, plus n_lines and n_dropped.
 
     Lines are compared without outer spaces; blank lines are neither counted nor dropped, and the
     order of what stays is kept. Each page counts once for a line, however often it repeats it.
-    A null host is the host ''; a null text stays null, with no lines. Hosts of fewer than
-    min_pages pages keep all lines, for their shares say little. Rows that repeat are pages of
-    their own. Columns named n_lines or n_dropped in the input are replaced; _host, _drop and _kept are
+    A null host is the host ''; a null text stays null, with no lines. The ratio decides at every
+    size: on a host of fewer than 1 / ratio pages, two that repeat a line are enough. Rows that repeat are
+    pages of their own. Columns named n_lines or n_dropped in the input are replaced; _host, _drop and _kept are
     names of this function and do not come back."""
-    drop = boilerplate(pages, host, text_col, ratio, min_pages)
+    drop = boilerplate(pages, host, text_col, ratio)
     # a key of its own: both sides are then dealt out for the join alone, and Spark splits hot hosts
     key = lambda h: F.concat(F.lit("host "), h)
     rows = pages.drop("n_lines", "n_dropped", "_drop", "_kept").withColumn("_host", key(F.coalesce(host, F.lit(""))))

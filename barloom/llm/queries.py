@@ -90,7 +90,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of every page without those on more than a tenth of the host's pages."""
     # written once: the patterns that find the lines cost more than all that follows, which reads them twice
     pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.visible_lines(F.col("html")).alias("text"))
-    kept = lines.drop_boilerplate(written(pages, "pages"), F.col("host"), ratio=0.1, min_pages=5)
+    kept = lines.drop_boilerplate(written(pages, "pages"), F.col("host"), ratio=0.1)
     return kept.select("page_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), "text")
 
 
@@ -140,7 +140,7 @@ line AS (
 total AS (SELECT host, count(*) AS n_pages FROM page GROUP BY host),
 often AS (
   SELECT host, trim(line) AS line FROM line JOIN total USING (host) WHERE trim(line) <> ''
-  GROUP BY host, trim(line), n_pages HAVING count(DISTINCT r) > 0.1::DOUBLE * n_pages AND count(DISTINCT r) >= 5 AND n_pages >= 5),
+  GROUP BY host, trim(line), n_pages HAVING count(DISTINCT r) > 0.1::DOUBLE * n_pages AND count(DISTINCT r) > 1),
 kept AS (
   SELECT l.r, count(*) AS n_lines, count(o.line) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (o.line IS NULL) AS text
   FROM line l LEFT JOIN often o ON o.host = l.host AND o.line = trim(l.line) GROUP BY l.r)

@@ -74,11 +74,11 @@ def test_rules_learn_their_accuracy():
     assert (kept == good).mean() > 0.97
 
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio):
     host_pages, seen = Counter(h or "" for h, _ in rows), Counter()
     for h, t in rows:
         seen.update({(h or "", x.strip(" ")) for x in (t or "").split("\n") if x.strip(" ")})
-    often = {k for k, n in seen.items() if n >= least and host_pages[k[0]] >= least and n > ratio * host_pages[k[0]]}
+    often = {k for k, n in seen.items() if n > 1 and n > ratio * host_pages[k[0]]}
     return [None if t is None else "\n".join(x for x in t.split("\n") if (h or "", x.strip(" ")) not in often) for h, t in rows]
 
 
@@ -90,8 +90,8 @@ def test_lines_of_a_site(make, none):
         text = "\n".join(rng.choice(["menu", " menu ", "", "imprint", f"own {i}", f"line {rng.randrange(60)}", "é"]) for _ in range(rng.randint(0, 8)))
         rows.append((host, None if i % 50 == 0 else text))
     docs = make([(i, t, None, h) for i, (h, t) in enumerate(rows)]).withColumn("_drop", F.lit(1)).withColumn("n_lines", F.lit("x"))
-    got = {r["doc_id"]: r for r in lines.drop_boilerplate(docs, F.col("source"), ratio=0.2, min_pages=5).collect()}
-    want = brute_lines(rows, 0.2, 5)
+    got = {r["doc_id"]: r for r in lines.drop_boilerplate(docs, F.col("source"), ratio=0.2).collect()}
+    want = brute_lines(rows, 0.2)
     assert [got[i]["text"] for i in range(len(rows))] == want
     for i, (_, t) in enumerate(rows):
         n = 0 if t is None else len(t.split("\n"))
