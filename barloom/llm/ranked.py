@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -57,22 +58,43 @@ class Index:
     n_terms: int
 
 
-def _segment_batch(segment: str, schema: pa.Schema, ids: list, lengths: list[int], found: list[bytes], counts: list[int], sizes: list[int]) -> pa.RecordBatch:
-    """The rows of one segment. found and counts: the terms of each document, one document after another."""
-    order = np.argsort(np.array(lengths), kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    coded = pa.array(found, pa.binary()).dictionary_encode()
-    code, at = coded.indices.to_numpy(zero_copy_only=False), np.repeat(place, sizes)
-    listed = np.lexsort((at, code))
-    n = np.bincount(code, minlength=len(coded.dictionary))
-    offsets = np.concatenate([[0], np.cumsum(n), [len(code) + len(ids)]]).astype(np.int32)
-    places = pa.ListArray.from_arrays(pa.array(np.minimum(offsets, len(code))), pa.array(at[listed]))
-    amounts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array(counts, np.int32)[listed], np.array(lengths, np.int32)[order]])))
-    lists, docs = len(n), pa.array([ids[i] for i in order], schema.field("ids").type.value_type)
-    names = pa.ListArray.from_arrays(pa.array([0] * (lists + 1) + [len(ids)], pa.int32()), docs)
-    all_terms = pa.concat_arrays([coded.dictionary, pa.array([None], pa.binary())])
-    return pa.RecordBatch.from_arrays([pa.array([segment] * (lists + 1)), all_terms, places, amounts, names], schema=schema)
+class _Segment:
+    """Documents gathered so far. Terms are numbered as they come, so each is held once."""
+
+    def __init__(self) -> None:
+        self.ids, self.number = [], {}
+        self.lengths, self.sizes, self.codes, self.counts = array("i"), array("i"), array("i"), array("i")
+
+    def add(self, doc: object, found: list[bytes]) -> None:
+        counted, number = Counter(found), self.number
+        self.ids.append(doc)
+        self.lengths.append(len(found))
+        self.sizes.append(len(counted))
+        self.codes.extend([number.setdefault(t, len(number)) for t in counted])
+        self.counts.extend(counted.values())
+
+    def full(self) -> bool:
+        return len(self.ids) >= SEGMENT_DOCS or len(self.codes) >= SEGMENT_POSTINGS
+
+    def rows(self, name: str, schema: pa.Schema) -> pa.RecordBatch:
+        """A row for each list, documents in the order of their lengths, and the row of the documents."""
+        lengths, code, counts = (np.frombuffer(x, np.int32) for x in (self.lengths, self.codes, self.counts))
+        order = np.argsort(lengths, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        at = np.repeat(place, np.frombuffer(self.sizes, np.int32))
+        listed = np.argsort(code.astype(np.int64) * len(order) + at)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(code)), [len(code) + len(order)]]).astype(np.int32)
+        lists = len(self.number)
+        docs = pa.array([self.ids[i] for i in order], schema.field("ids").type.value_type)
+        columns = [
+            pa.array([name] * (lists + 1)),
+            pa.array([*self.number, None], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(np.minimum(offsets, len(code))), pa.array(at[listed])),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([counts[listed], lengths[order]]))),
+            pa.ListArray.from_arrays(pa.array([0] * (lists + 1) + [len(docs)], pa.int32()), docs),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -84,21 +106,17 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     path = f"{ensure_checkpoint_dir(docs.sparkSession)}/segments-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done, held, schema = TaskContext.get().partitionId(), 0, ([], [], [], [], []), None
+        task, done, held, schema = TaskContext.get().partitionId(), 0, _Segment(), None
         for batch in sliced(batches, 1):
             schema = schema or pa.schema([("segment", pa.string()), ("term", pa.binary()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ids", pa.list_(batch.schema.field(0).type))])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = terms(text.as_py())
-                if not found:
-                    continue
-                counted = Counter(found)
-                for own, new in zip(held, ([doc], [len(found)], counted.keys(), counted.values(), [len(counted)]), strict=True):
-                    own.extend(new)
-                if len(held[0]) >= SEGMENT_DOCS or len(held[2]) >= SEGMENT_POSTINGS:
-                    yield _segment_batch(f"{task}-{done}", schema, *held)
-                    done, held = done + 1, ([], [], [], [], [])
-        if held[0]:
-            yield _segment_batch(f"{task}-{done}", schema, *held)
+                if found := terms(text.as_py()):
+                    held.add(doc, found)
+                if held.full():
+                    yield held.rows(f"{task}-{done}", schema)
+                    done, held = done + 1, _Segment()
+        if held.ids:
+            yield held.rows(f"{task}-{done}", schema)
 
     made = docs.select(id_col, text_col).mapInArrow(run, f"segment string, term binary, places array<int>, counts array<int>, ids array<{kind.simpleString()}>")
     made.write.parquet(path)
