@@ -160,3 +160,26 @@ def _(v):
 def _(v):
     missing = Q.required_columns(v.bars, [*Q.OHLCV, "suspended", "vwap"])
     return v.bars.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*[F.lit(m) for m in missing])).alias("missing"), "n_rows")
+
+
+@query(
+    "e01_event_time_bars",
+    sql("ticks", "SELECT symbol, trade_date, arg_min(px, seq) AS open, max(px) AS high, min(px) AS low, arg_max(px, seq) AS close, CAST(sum(CAST(qty AS BIGINT)) AS BIGINT) AS volume, CAST(sum(CAST(amt AS DECIMAL(18,2))) AS DOUBLE) AS amount, count(*) AS n_ticks FROM ticks GROUP BY symbol, trade_date"),
+)
+def _(v):
+    """All ticks in three deliveries; a fifth of the ticks of a delivery's last ten days comes with the next one."""
+    from barloom.streaming import bars as S
+
+    raw, out, checkpoint = (_folder(v, name) for name in ("ticks", "event-bars", "event-state"))
+    t = v.ticks.withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = [F.lit(d).cast("timestamp") for d in ("1997-07-01", "2000-01-01")]
+    due = sum((F.col("ts") >= c).cast("int") for c in cuts)
+    held = [(F.col("ts") >= c - F.expr("interval 10 days")) & (F.col("ts") < c) for c in cuts]
+    t = t.withColumn("delivery", due + ((F.col("seq") % 5 == 0) & (held[0] | held[1])).cast("int"))
+    end = v.ticks.agg(F.lit(-1).cast("bigint").alias("symbol"), (F.max("ts").cast("timestamp") + F.expr("interval 60 days")).alias("ts"), F.lit(0).cast("bigint").alias("seq"))
+    deliveries = [t.where(F.col("delivery") == k).drop("delivery") for k in range(3)]
+    for part in [*deliveries, end.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in t.dtypes[3:-1]])]:
+        part.select("symbol", "ts", "seq", "px", "qty", "amt").write.mode("append").parquet(raw)
+        stream = v.spark.readStream.schema(v.spark.read.parquet(raw).schema).parquet(raw)
+        S.drain(S.bars_on_event_time(stream, "15 days", price="px", volume="qty", amount="amt"), out, checkpoint)
+    return v.spark.read.parquet(out)
