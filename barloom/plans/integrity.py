@@ -112,7 +112,7 @@ def _(v):
     return I.check_anchor(t, t, v.adj.where("trade_date >= '1999-02-01'"), v.adj, "1999-01-03", 5)
 
 
-AUDIT = ("ret_1d", "ret_20d", "volume_shock", "price_pos_ma20")
+AUDIT = L.FEATURES
 
 
 def closed(panel):
