@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.panel import by_symbol
@@ -92,25 +91,20 @@ def daily_counts(classified: DataFrame) -> DataFrame:
 
 
 def stress_windows(counts: DataFrame, kind: str, days: int = 5, top: int = 3) -> DataFrame:
-    """Busiest non-overlapping windows of `days` rows, highest count first.
+    """Busiest non-overlapping windows of `days` rows, highest count first, then the earlier one.
 
-    Works on one row per trading day of the whole market, so a single small group is fine."""
-    w = W.partitionBy(F.lit(0)).orderBy("trade_date")
+    The pick is a fold over one sorted array with an element for each trading day of the market: a window
+    is taken if it is `days` rows away from all that are taken already."""
+    w = W.partitionBy(F.lit(0)).orderBy("trade_date")  # one row per trading day
     span = w.rowsBetween(-(days - 1), 0)
-    c = counts.select("trade_date", kind, F.row_number().over(w).alias("i"), F.sum(kind).over(span).alias("total"), F.min("trade_date").over(span).alias("start"))
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        rows = []
-        for x in g[(g["i"] >= days) & (g["total"] > 0)].sort_values(["total", "i"], ascending=[False, True]).itertuples():
-            if len(rows) == top:
-                break
-            if all(abs(x.i - t) >= days for t in taken):
-                taken.append(x.i)
-                rows.append((x.start, x.trade_date, int(x.total), x.total / days))
-        return pd.DataFrame(rows, columns=["start", "end", "count", "mean_per_day"])
-
-    return c.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(pick, "start date, end date, count long, mean_per_day double")
+    c = counts.select(F.row_number().over(w).alias("i"), F.sum(kind).over(span).alias("count"), F.min("trade_date").over(span).alias("start"), F.col("trade_date").alias("end"))
+    busy = c.where((F.col("i") >= days) & (F.col("count") > 0)).select(F.struct(-F.col("count"), "i", "start", "end", "count").alias("x"))
+    listed = busy.agg(F.array_sort(F.collect_list("x")).alias("all"))
+    kind_of = listed.schema["all"].dataType.simpleString()
+    free = lambda taken, x: F.forall(taken, lambda t: F.abs(t["i"] - x["i"]) >= days)
+    picked = F.aggregate("all", F.array().cast(kind_of), lambda taken, x: F.when((F.size(taken) < top) & free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    out = listed.select(F.explode(picked).alias("x"))
+    return out.select("x.start", "x.end", F.col("x.count").cast("bigint").alias("count"), (F.col("x.count") / days).alias("mean_per_day"))
 
 
 def market_state(bars: DataFrame, full_at: float = 0.02, half_at: float = -0.02, vol_max: float = 0.8) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.scaling import avg_rank, quantiles, reuse, with_rank, with_ranks
@@ -134,23 +133,31 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.explode(arr).alias("s")).select("s.*")
 
 
-def orthogonalise(df: DataFrame, cols: Sequence[str], jitter: float = 1e-8, suffix: str = "_orth") -> DataFrame:
+def orthogonalise(df: DataFrame, cols: Sequence[str], jitter: float = 1e-8, suffix: str = "_orth", gone: Column | None = None) -> DataFrame:
     """Standardise, factor C = X'X/N + jitter*I = L*L' and rotate Z = X*inv(L').
 
-    One aggregation yields the K means, deviations and correlations; L is K*(K+1)/2 columns
-    of that single row, so the plan stays lazy and nothing is collected."""
+    gone: names of factors to leave out, as one array that the data decide.  Such a factor asks nothing of a
+    row, correlates with none and is null in the result, so what is left is rotated as if it were all there
+    is, and the plan needs no look at the data.  One aggregation yields the means, deviations and
+    correlations; L is K*(K+1)/2 columns of that single row."""
     k = len(cols)
-    ok = df.dropna(subset=list(cols))
-    n = F.count(F.lit(1))
-    aggs = [n.cast("double").alias("n")]
-    for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
-        aggs += [F.covar_samp(c, cols[j]).alias(f"c{i}_{j}") for j in range(i)]
+    inside = [F.lit(True) if gone is None else ~F.array_contains("_gone", c) for c in cols]
+    if gone is not None:
+        df = df.withColumn("_gone", gone)
+    use = [F.when(here, F.col(c)) for c, here in zip(cols, inside)]
+    whole = F.lit(True)
+    for c, here in zip(cols, inside):
+        whole = whole & (~here | F.col(c).isNotNull())
+    ok = df.where(whole)
+    aggs = [F.count(F.lit(1)).cast("double").alias("n")]
+    for i in range(k):
+        aggs += [F.avg(use[i]).alias(f"m{i}"), F.stddev_samp(use[i]).alias(f"s{i}")]
+        aggs += [F.covar_samp(use[i], use[j]).alias(f"c{i}_{j}") for j in range(i)]
     one = ok.agg(*aggs)
     shrink = (F.col("n") - 1) / F.col("n")
     for i in range(k):
         for j in range(i + 1):
-            cij = shrink * (1.0 if i == j else F.col(f"c{i}_{j}") / (F.col(f"s{i}") * F.col(f"s{j}")))
+            cij = shrink * (1.0 if i == j else F.coalesce(F.col(f"c{i}_{j}") / (F.col(f"s{i}") * F.col(f"s{j}")), F.lit(0.0)))
             acc = cij + (jitter if i == j else 0.0)
             for q in range(j):
                 acc = acc - F.col(f"l{i}_{q}") * F.col(f"l{j}_{q}")
@@ -159,11 +166,11 @@ def orthogonalise(df: DataFrame, cols: Sequence[str], jitter: float = 1e-8, suff
     t = one.select(F.struct(*names).alias("t")).scalar()
     out = ok.withColumn("_t", t)
     for i, c in enumerate(cols):
-        z = (F.col(c) - F.col(f"_t.m{i}")) / F.col(f"_t.s{i}")
+        z = (use[i] - F.col(f"_t.m{i}")) / F.col(f"_t.s{i}")
         for j in range(i):
-            z = z - F.col(f"_t.l{i}_{j}") * F.col(f"{cols[j]}{suffix}")
+            z = z - F.col(f"_t.l{i}_{j}") * F.coalesce(F.col(f"{cols[j]}{suffix}"), F.lit(0.0))
         out = out.withColumn(f"{c}{suffix}", z / F.col(f"_t.l{i}_{i}"))
-    return out.drop("_t")
+    return out.drop("_t", "_gone")
 
 
 def half_life(curve: DataFrame) -> DataFrame:
@@ -183,22 +190,21 @@ def horizon_class(hl: Column, noise: float = 3.0, short: float = 5.0, long: floa
 
 
 def prune_correlated(pairs: DataFrame, strength: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Factors to drop: pairs over the threshold, strongest first, losing the lower IC.
+    """Factors to drop, one row each: pairs over the threshold, strongest first, losing the lower IC; a pair
+    of which one is gone already costs nothing.  An ordered fold over at most K*(K-1)/2 pairs in one array."""
+    return pruned(pairs, strength, threshold).select(F.explode("gone").alias("factor"))
+
 
-    The order matters, and there are at most K*(K-1)/2 pairs, so they form one tiny group."""
+def pruned(pairs: DataFrame, strength: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """As `prune_correlated`, the names as one sorted array `gone` in one row."""
     p = pairs.where((F.col("f") != F.col("g")) & (F.abs("corr") > threshold))
     p = p.join(strength.select(F.col("factor").alias("f"), F.col("ic").alias("ic_f")), "f", "left")
     p = p.join(strength.select(F.col("factor").alias("g"), F.col("ic").alias("ic_g")), "g", "left").na.fill(0.0)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        gone: set[str] = set()
-        g = g.assign(a=g["corr"].abs()).sort_values(["a", "f", "g"], ascending=[False, True, True])
-        for row in g.itertuples():
-            if row.f not in gone and row.g not in gone:
-                gone.add(row.f if row.ic_f <= row.ic_g else row.g)
-        return pd.DataFrame({"factor": sorted(gone)})
-
-    return p.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "factor string")
+    walk = p.agg(F.array_sort(F.collect_list(F.struct((-F.abs("corr")).alias("a"), "f", "g", "ic_f", "ic_g"))).alias("p"))
+    lost = lambda x: F.when(x["ic_f"] <= x["ic_g"], x["f"]).otherwise(x["g"])
+    live = lambda gone, x: ~F.array_contains(gone, x["f"]) & ~F.array_contains(gone, x["g"])
+    gone = F.aggregate("p", F.array().cast("array<string>"), lambda gone, x: F.when(live(gone, x), F.concat(gone, F.array(lost(x)))).otherwise(gone))
+    return walk.select(F.array_sort(gone).alias("gone"))
 
 
 def ir_weights(df: DataFrame, icir_col: str = "icir", by: Sequence[str] = ()) -> DataFrame:
@@ -214,13 +220,12 @@ def factor_pipeline(factors: DataFrame, cols: Sequence[str], bars: DataFrame, la
     `factors` is wide (symbol, trade_date, *cols)."""
     from barloom.operators.cross_section import unpivot
 
+    factors = reuse(factors.select("symbol", "trade_date", *cols))
     long = unpivot(factors, ["symbol", "trade_date"], cols)
     ic1 = rank_ic(with_forward(long, bars, (1,)), ["trade_date", "factor"], min_obs).groupBy("factor").agg(F.abs(F.avg("ic")).alias("ic"))
-    drop = prune_correlated(correlations(factors, cols), ic1, threshold)
-    gone = {r.factor for r in drop.collect()}  # at most K names; they decide the plan's columns
-    kept = [c for c in cols if c not in gone]
-    orth = orthogonalise(factors, kept, suffix="_orth").select("symbol", "trade_date", *[F.col(f"{c}_orth").alias(c) for c in kept])
-    pairs = with_forward(unpivot(orth, ["symbol", "trade_date"], kept), bars, lags)
+    gone = reuse(pruned(correlations(factors, cols), ic1, threshold))  # one row
+    orth = orthogonalise(factors, cols, gone=gone.scalar()).select("symbol", "trade_date", *[F.col(f"{c}_orth").alias(c) for c in cols])
+    pairs = with_forward(unpivot(orth, ["symbol", "trade_date"], cols), bars, lags)  # a factor that is gone has no value, so no pair
     stats = icir(rank_ic(pairs, ["trade_date", "factor", "lag"], min_obs), ["factor", "lag"])
     life = half_life(stats)
     at = lambda h: F.max(F.when(F.col("lag") == h, F.col("icir")))

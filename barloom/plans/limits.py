@@ -43,7 +43,13 @@ def _(v):
     return L.daily_counts(L.classify(v.raw))
 
 
-@query("w47_stress_windows")
+cte("sw", "SELECT row_number() OVER w AS i, sum(auction_touch) OVER s AS n, min(trade_date) OVER s AS b, trade_date AS e FROM (SELECT trade_date, count(*) FILTER (auction_type<>'') AS auction_touch FROM lim GROUP BY 1) WINDOW w AS (ORDER BY trade_date), s AS (ORDER BY trade_date ROWS 4 PRECEDING)", "lim")
+cte("sw1", "SELECT * FROM sw WHERE i>=5 AND n>0 ORDER BY n DESC, i LIMIT 1", "sw")
+cte("sw2", "SELECT sw.* FROM sw, sw1 p WHERE sw.i>=5 AND sw.n>0 AND abs(sw.i-p.i)>=5 ORDER BY sw.n DESC, sw.i LIMIT 1", "sw1")
+cte("sw3", "SELECT sw.* FROM sw, sw1 p, sw2 q WHERE sw.i>=5 AND sw.n>0 AND abs(sw.i-p.i)>=5 AND abs(sw.i-q.i)>=5 ORDER BY sw.n DESC, sw.i LIMIT 1", "sw2")
+
+
+@query("w47_stress_windows", sql("sw3", """SELECT b AS start, e AS "end", CAST(n AS BIGINT) AS count, n/5e0 AS mean_per_day FROM (SELECT * FROM sw1 UNION ALL SELECT * FROM sw2 UNION ALL SELECT * FROM sw3)"""))
 def _(v):
     return L.stress_windows(L.daily_counts(L.classify(v.raw)), "auction_touch")
 

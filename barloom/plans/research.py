@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import cross_section as X, research as Q
 from barloom.operators.panel import by_symbol, full
+from barloom.operators.scaling import reuse
 from barloom.plans.registry import R, avgrank, cte, full as sfull, query, r, rounded, sql
 
 COLS = ("mom5", "mom20", "vol20", "turn", "rev1")
@@ -134,28 +135,35 @@ def _(v):
     return rounded(df.select("factor", "ic_mean", "icir", "rolling_ic", "recent_ic", "decayed"), "ic_mean", "icir", "rolling_ic", "recent_ic")
 
 
-cte("fp3", "SELECT symbol, trade_date, mom5, mom20, turn FROM fp WHERE mom5 IS NOT NULL AND mom20 IS NOT NULL AND turn IS NOT NULL", "fp")
-cte(
-    "cov3",
-    """SELECT *, sqrt(sh-cast(0 as double)+1e-8) AS l11 FROM (SELECT (count(*)-1)/count(*) AS sh, avg(mom5) AS m1, avg(mom20) AS m2, avg(turn) AS m3,
-    stddev_samp(mom5) AS s1, stddev_samp(mom20) AS s2, stddev_samp(turn) AS s3, corr(mom5,mom20) AS c21, corr(mom5,turn) AS c31, corr(mom20,turn) AS c32 FROM fp3)""",
-    "fp3",
-)
-cte("l2", "SELECT *, sh*c21/l11 AS l21, sqrt(sh+1e-8-(sh*c21/l11)**2) AS l22, sh*c31/l11 AS l31 FROM cov3", "cov3")
-cte("l3", "SELECT *, (sh*c32-l31*l21)/l22 AS l32, sqrt(sh+1e-8-l31**2-((sh*c32-l31*l21)/l22)**2) AS l33 FROM l2", "l2")
-cte(
-    "orth",
-    """SELECT symbol, trade_date, z1, z2, ((turn-m3)/s3-l31*z1-l32*z2)/l33 AS z3 FROM (SELECT *, ((mom20-m2)/s2-l21*z1)/l22 AS z2 FROM (
-    SELECT *, (mom5-m1)/s1/l11 AS z1 FROM fp3 CROSS JOIN l3))""",
-    "l3",
-)
-THREE = ("mom5", "mom20", "turn")
-
-
-@query("x24_orthogonalise", sql("orth", f"SELECT symbol, trade_date, {R('z1', 5)} AS mom5, {R('z2', 5)} AS mom20, {R('z3', 5)} AS turn FROM orth"))
+def _cholesky(tag: str, src: str, cols: tuple[str, ...], gone: str | None = None) -> None:
+    """Views `<tag>` with the rotated columns of src: rows complete in what is kept, one row of moments, one
+    view for each entry of L and one for each rotated column.  gone: a view with one list of names `gone`."""
+    keep = {c: f"(NOT list_contains((SELECT gone FROM {gone}), '{c}'))" if gone else "true" for c in cols}
+    cte(f"{tag}_ok", "SELECT symbol, trade_date, " + ", ".join(f"CASE WHEN {keep[c]} THEN {c} END AS {c}" for c in cols) + f" FROM {src} WHERE " + " AND ".join(f"(NOT {keep[c]} OR {c} IS NOT NULL)" for c in cols), src, *([gone] if gone else []))
+    k = range(len(cols))
+    moments = ["count(*) AS n", *[f"avg({cols[i]}) AS m{i}, stddev_samp({cols[i]}) AS s{i}" for i in k], *[f"coalesce(corr({cols[i]},{cols[j]}),0) AS c{i}_{j}" for i in k for j in range(i)]]
+    cte(f"{tag}_m", f"SELECT *, (n-1)/n AS sh FROM (SELECT {', '.join(moments)} FROM {tag}_ok)", f"{tag}_ok")
+    last = f"{tag}_m"
+    for i in k:
+        for j in range(i + 1):
+            acc = ("sh+1e-8" if i == j else f"sh*c{i}_{j}") + "".join(f"-l{i}_{q}*l{j}_{q}" for q in range(j))
+            cte(f"{tag}_l{i}_{j}", f"SELECT *, {f'sqrt({acc})' if i == j else f'({acc})/l{j}_{j}'} AS l{i}_{j} FROM {last}", last)
+            last = f"{tag}_l{i}_{j}"
+    cte(f"{tag}_z", f"SELECT o.*, " + ", ".join(f"m{i}, s{i}" for i in k) + ", " + ", ".join(f"l{i}_{j}" for i in k for j in range(i + 1)) + f" FROM {tag}_ok o CROSS JOIN {last}", last)
+    last = f"{tag}_z"
+    for i in k:
+        cte(f"{tag}_z{i}", f"SELECT *, (({cols[i]}-m{i})/s{i}" + "".join(f"-l{i}_{j}*coalesce(z{j},0)" for j in range(i)) + f")/l{i}_{i} AS z{i} FROM {last}", last)
+        last = f"{tag}_z{i}"
+    cte(tag, "SELECT symbol, trade_date, " + ", ".join(f"z{i} AS {cols[i]}" for i in k) + f" FROM {last}", last)
+
+
+_cholesky("orth", "fp", COLS)
+
+
+@query("x24_orthogonalise", sql("orth", f"SELECT symbol, trade_date, {', '.join(f'{R(c, 5)} AS {c}' for c in COLS)} FROM orth"))
 def _(v):
-    df = Q.orthogonalise(factor_panel(v), THREE)
-    return df.select("symbol", "trade_date", *[r(f"{c}_orth", 5).alias(c) for c in THREE])
+    df = Q.orthogonalise(factor_panel(v), COLS)
+    return df.select("symbol", "trade_date", *[r(f"{c}_orth", 5).alias(c) for c in COLS])
 
 
 cte("crv", "SELECT factor, lag, avg(ic) AS m FROM ics GROUP BY 1,2", "ics")
@@ -177,24 +185,39 @@ def _(v):
     return df.select("factor", F.when(h == float("inf"), -1.0).otherwise(r(h, 4)).alias("half_life"), "horizon")
 
 
-# Two horizons of one volatility are all but the same factor; of such a pair the weaker one goes.
-PRUNED = ("mom5", "vol20", "vol22", "turn")
-cte("fq", f"SELECT symbol, trade_date, -({sfull('stddev_samp(rr)', 20, 'rr')}) AS vol20, -({sfull('stddev_samp(rr)', 22, 'rr')}) AS vol22, lead(close,1) {_W}/close-1 AS fwd FROM fp0", "fp0")
-cte("fqp", "SELECT trade_date, 'vol20' AS factor, vol20 AS value, fwd FROM fq WHERE vol20 IS NOT NULL AND fwd IS NOT NULL UNION ALL SELECT trade_date, 'vol22', vol22, fwd FROM fq WHERE vol22 IS NOT NULL AND fwd IS NOT NULL", "fq")
-cte(
-    "fqi",
-    f"""SELECT factor, abs(avg(ic)) AS ic FROM (SELECT trade_date, factor, CASE WHEN count(*)>=5 THEN coalesce(corr(a,b),0) ELSE 0 END AS ic
-    FROM (SELECT *, {avgrank('value', 'trade_date, factor')} AS a, {avgrank('fwd', 'trade_date, factor')} AS b FROM fqp) GROUP BY ALL) GROUP BY factor""",
-    "fqp",
-)
+# Further horizons of one volatility are all but the same factor: of the pairs of four, each outcome changes the next.
+HORIZONS = (18, 22, 25)
+PRUNED = (*COLS, *[f"vol{n}" for n in HORIZONS])
+cte("fq0", "SELECT *, " + ", ".join(f"-({sfull('stddev_samp(rr)', n, 'rr')}) AS vol{n}" for n in HORIZONS) + " FROM fp0", "fp0")
+cte("fq", "SELECT p.*, " + ", ".join(f"vol{n}" for n in HORIZONS) + " FROM fp p JOIN fq0 USING (symbol, trade_date)", "fp", "fq0")
+cte("fqp", " UNION ALL ".join(f"SELECT trade_date, '{f}' AS factor, {f} AS value, fwd_1 AS fwd FROM fq WHERE {f} IS NOT NULL AND fwd_1 IS NOT NULL" for f in PRUNED), "fq")
 
 
-@query(
-    "x26_correlation_pruning",
-    sql("fqi", "SELECT CASE WHEN a.ic<=b.ic THEN 'vol20' ELSE 'vol22' END AS factor FROM fqi a, fqi b WHERE a.factor='vol20' AND b.factor='vol22' AND (SELECT corr(vol20, vol22) FROM fq)>0.8"),
-)
+def _ic_sql(src: str, by: str, least: int) -> str:
+    return f"SELECT {by}, count(*) AS n, CASE WHEN count(*)>={least} THEN coalesce(corr(a,b),0) ELSE 0 END AS ic FROM (SELECT *, {avgrank('value', by)} AS a, {avgrank('fwd', by)} AS b FROM {src}) GROUP BY {by}"
+
+
+def _prune_sql(tag: str, least: int) -> None:
+    """Views `<tag>`: the names that go, as one list `gone`, by a walk over the pairs in order."""
+    cte(f"{tag}_ic", f"SELECT factor, abs(avg(ic)) AS ic FROM ({_ic_sql('fqp', 'trade_date, factor', least)}) GROUP BY factor", "fqp")
+    cte(f"{tag}_c", " UNION ALL ".join(f"SELECT '{a}' AS f, '{b}' AS g, corr({a},{b}) AS c FROM fq" for i, a in enumerate(PRUNED) for b in PRUNED[i + 1 :]), "fq")
+    cte(f"{tag}_p", f"SELECT row_number() OVER (ORDER BY abs(c) DESC, f, g) AS k, f, g, x.ic AS icf, y.ic AS icg FROM {tag}_c JOIN {tag}_ic x ON x.factor=f JOIN {tag}_ic y ON y.factor=g WHERE abs(c)>0.8", f"{tag}_c", f"{tag}_ic")
+    cte(
+        tag,
+        f"""WITH RECURSIVE walk AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS gone UNION ALL
+        SELECT p.k, CASE WHEN list_contains(gone, f) OR list_contains(gone, g) THEN gone ELSE list_append(gone, CASE WHEN icf<=icg THEN f ELSE g END) END FROM walk JOIN {tag}_p p ON p.k=walk.k+1)
+        SELECT arg_max(gone, k) AS gone FROM walk""",
+        f"{tag}_p",
+    )
+
+
+_prune_sql("gone5", 5)
+_prune_sql("gone10", 10)
+
+
+@query("x26_correlation_pruning", sql("gone5", "SELECT unnest(gone) AS factor FROM gone5"))
 def _(v):
-    panel = factor_panel(v, 22)
+    panel = reuse(factor_panel(v, *HORIZONS))
     ic = Q.rank_ic(Q.with_forward(X.unpivot(panel, ["symbol", "trade_date"], PRUNED), v.adj, (1,)), ["trade_date", "factor"]).groupBy("factor").agg(F.abs(F.avg("ic")).alias("ic"))
     return Q.prune_correlated(Q.correlations(panel, PRUNED), ic, 0.8)
 
@@ -216,9 +239,38 @@ def _(v):
     return rounded(df.select("factor", "lag", "weight"), "weight")
 
 
-@query("x28_factor_pipeline")
+_cholesky("ort", "fq", PRUNED, "gone10")
+cte(
+    "ortl",
+    "SELECT trade_date, factor, value, lag, fwd FROM (" + " UNION ALL ".join(f"SELECT o.trade_date, '{f}' AS factor, o.{f} AS value, {h} AS lag, fwd_{h} AS fwd FROM ort o JOIN fp USING (symbol, trade_date)" for f in PRUNED for h in Q.LAGS) + ") WHERE value IS NOT NULL AND fwd IS NOT NULL",
+    "ort",
+    "fp",
+)
+cte("orts", f"SELECT factor, lag, avg(ic) AS m, CASE WHEN stddev_pop(ic)>1e-12 AND count(*)>1 THEN avg(ic)/stddev_pop(ic) ELSE 0 END AS icir FROM ({_ic_sql('ortl', _B, 10)}) GROUP BY 1,2", "ortl")
+cte(
+    "orth_l",
+    """SELECT factor, CASE WHEN max(abs(f))<1e-6 THEN 0e0 WHEN coalesce(regr_slope(y, lag),0)>=0 THEN 'inf'::DOUBLE ELSE -1/regr_slope(y, lag) END AS h FROM (
+    SELECT factor, lag, f, log2(greatest(abs(m)/abs(f),1e-8)) AS y FROM (SELECT *, first_value(m) OVER (PARTITION BY factor ORDER BY lag) AS f FROM orts)) GROUP BY 1""",
+    "orts",
+)
+cte(
+    "ortr",
+    f"""SELECT *, CASE WHEN h<3 THEN 'noise' WHEN h>15 THEN 'long' WHEN h<5 THEN 'short' ELSE 'mid' END AS horizon FROM orth_l JOIN (
+    SELECT factor, max(icir) FILTER (lag={Q.LAGS[1]}) AS icir_short, max(icir) FILTER (lag={Q.LAGS[-1]}) AS icir_long, avg(icir) AS icir_all, avg(abs(m)) AS mean_abs_ic FROM orts GROUP BY 1) USING (factor)""",
+    "orth_l",
+)
+_USE = {"short": "'short','mid'", "long": "'long','mid'", "all": "'short','mid','long'"}
+cte("ortw", "SELECT *, " + ", ".join(f"CASE WHEN horizon IN ({c}) THEN greatest(icir_{n},0) ELSE 0 END AS p_{n}" for n, c in _USE.items()) + " FROM ortr", "ortr")
+_REP = ("icir_short", "icir_long", "icir_all", "mean_abs_ic")
+
+
+@query(
+    "x28_factor_pipeline",
+    sql("ortw", f"SELECT factor, horizon, {', '.join(f'{R(c, 4)} AS {c}' for c in _REP)}, {', '.join(f'{R(f"coalesce(p_{n}/nullif(sum(p_{n}) OVER (),0),0)", 4)} AS weight_{n}' for n in _USE)} FROM ortw"),
+)
 def _(v):
-    return Q.factor_pipeline(factor_panel(v), COLS, v.adj)
+    df = Q.factor_pipeline(factor_panel(v, *HORIZONS), PRUNED, v.adj)
+    return rounded(df.select("factor", "horizon", *_REP, *[f"weight_{n}" for n in _USE]), *_REP, *[f"weight_{n}" for n in _USE], d=4)
 
 
 cte("rot", "SELECT factor, CASE WHEN count(*) FILTER (rn<=20)>=20 THEN avg(ic) FILTER (rn<=20) ELSE 0 END AS s, CASE WHEN count(*)>=60 THEN avg(ic) ELSE 0 END AS l FROM ic5r WHERE rn<=60 GROUP BY 1", "ic5r")
