@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.panel import by_symbol
+from barloom.operators.scaling import reuse
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -219,23 +220,24 @@ def consume_confidence(df: DataFrame, flag: Column, scores: Sequence[str], actio
 def degraded_means(df: DataFrame, periods: Sequence[int], mode: str = "RELAX", min_periods: int = 3) -> DataFrame:
     """Moving averages whose window shrinks when a symbol is too short for the period.
 
-    The window length depends on the symbol, so the last `period` closes are taken as an
-    array (bounded by the period) and cut to the length in use."""
+    The length of a window is data, so its sum is the difference of two running sums: the row's own, and
+    that of the row where the window begins, found by an equi-join on the row's number.  Every row is read
+    once a period, whatever the period.  Missing closes count neither in sums nor in lengths."""
     n = F.count(F.lit(1)).over(W.partitionBy("symbol"))  # bounded by the calendar
-    df = df.withColumn("_n", n)
+    far = by_symbol().rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumns({"_n": n, "_i": F.row_number().over(by_symbol()), "_s": F.coalesce(F.sum("close").over(far), F.lit(0.0)), "_c": F.count("close").over(far)})
+    df = reuse(df)
+    start = df.select("symbol", F.col("_i").alias("_b"), F.col("_s").alias("_s0"), F.col("_c").alias("_c0"))
     low = F.lit(False)
     for p in periods:
-        reduced = F.greatest(F.lit(1), F.least(F.lit(p), F.greatest(F.lit(min_periods), F.floor(F.col("_n") / 2))))
+        reduced = F.greatest(F.lit(1), F.least(F.lit(p), F.greatest(F.lit(min_periods), F.floor(F.col("_n") / 2)))).cast("int")
         short = F.col("_n") < p
         used = F.when(short & F.lit(mode == "RELAX"), reduced).otherwise(p).cast("int")
-        arr = F.collect_list("close").over(by_symbol().rowsBetween(-(p - 1), 0))
-        df = df.withColumn("_u", used).withColumn("_a", arr)
-        part = F.slice("_a", F.greatest(F.size("_a") - F.col("_u") + 1, F.lit(1)), F.col("_u"))
-        mean = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.size(part)
-        df = df.withColumn(f"ma_{p}", F.when(F.size("_a") >= F.col("_u"), mean)).drop("_a")
-        rn = F.row_number().over(by_symbol())
+        df = df.withColumn("_b", F.col("_i") - used).join(start, ["symbol", "_b"], "left")
+        mean = F.try_divide(F.col("_s") - F.coalesce("_s0", F.lit(0.0)), F.col("_c") - F.coalesce("_c0", F.lit(0)))
+        df = df.withColumn(f"ma_{p}", F.when(F.col("_b") >= 0, mean)).drop("_b", "_s0", "_c0")
         if mode == "RELAX":
-            low = low | (short & (rn >= F.col("_n") * 0 + reduced))
+            low = low | (short & (F.col("_i") >= reduced))
         elif mode == "SKIP":
             low = low | short
-    return df.withColumn("low_confidence", low).drop("_n", "_u")
+    return df.withColumn("low_confidence", low).drop("_n", "_i", "_s", "_c")
