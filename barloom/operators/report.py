@@ -40,6 +40,19 @@ def fill_missing(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return out.na.fill({c: v for c, v in defaults.items() if c in df.columns})
 
 
+def projected(df: DataFrame, names: dict[str, str], money: Sequence[str], whole: Sequence[str], key: str, order: Column) -> DataFrame:
+    """Report columns under their stored names, amounts parsed from text, counts as whole numbers (none is 0),
+    and of rows with one key the last by `order`; rows without a key stay, for the gate to name."""
+    from barloom.functions.text import money as parsed
+
+    out = df.select(*[F.col(a).alias(b) for a, b in names.items() if a in df.columns], order.alias("_order"))
+    out = out.withColumns({c: parsed(F.col(c).cast("string")) for c in money if c in out.columns})
+    out = out.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).cast("bigint") for c in whole if c in out.columns})
+    rest = [c for c in out.columns if c not in (key, "_order")]
+    last = out.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_order", *rest)).alias("_r")).select(key, "_r.*")
+    return last.unionByName(out.where(F.col(key).isNull()).select(key, *rest))
+
+
 def sort_report(df: DataFrame) -> DataFrame:
     link = F.concat(F.lit("https://quote.example.com/"), F.col("symbol").cast("string"))
     return df.withColumn("link", link).orderBy(F.desc("rise_days"), F.desc("volume_days"), "symbol")

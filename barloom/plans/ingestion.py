@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import quality as Q
 from barloom.plans.registry import R, cte, query, rounded, sql
-from barloom.sources import bars as B
+from barloom.sources import bars as B, publish as P
 
 KEY = ("symbol", "trade_date")
 
@@ -80,10 +80,58 @@ def _(v):
     return B.archive_lists({"returned": t.where("l_returnflag = 'R'"), "kept": t.where("l_returnflag <> 'R'")}, "2001-11-05")
 
 
-@query("s12_report_gate", sql("industry", "SELECT CAST(symbol AS VARCHAR) AS key, 'link' AS \"column\", 'missing column' AS problem FROM industry WHERE false UNION ALL SELECT NULL, unnest(['industry_signal','last_price','strong','price_volume','rise_days','volume_days','trend','link']), 'missing column'"))
+# A report with real faults: every seventh code is lost, prices of one region are text, one region has no name.
+cte(
+    "rep",
+    """SELECT CASE WHEN symbol%7<>0 THEN CAST(symbol AS VARCHAR) END AS code, CASE WHEN l1<>'ASIA' THEN name END AS name, l1 AS industry,
+    CASE WHEN l1='EUROPE' THEN '--' ELSE CAST(acctbal AS VARCHAR) END AS last_price, CAST(symbol%5 AS VARCHAR) AS rise_days, acctbal FROM industry""",
+    "industry",
+)
+
+
+def report(v):
+    i = v.industry
+    return i.select(
+        F.when(F.col("symbol") % 7 != 0, F.col("symbol").cast("string")).alias("code"),
+        F.when(F.col("l1") != "ASIA", F.col("name")).alias("name"),
+        F.col("l1").alias("industry"),
+        F.when(F.col("l1") == "EUROPE", "--").otherwise(F.col("acctbal").cast("string")).alias("last_price"),
+        (F.col("symbol") % 5).cast("string").alias("rise_days"),
+        "acctbal",
+    )
+
+
+_ABSENT = "['industry_signal','strong','price_volume','volume_days','trend','link']"
+
+
+@query(
+    "s12_report_gate",
+    sql("rep", f"""SELECT code AS key, 'code' AS "column", 'null' AS problem FROM rep WHERE code IS NULL UNION ALL SELECT code, 'name', 'null' FROM rep WHERE name IS NULL
+    UNION ALL SELECT code, 'last_price', 'not double' FROM rep WHERE last_price='--' UNION ALL SELECT NULL, unnest({_ABSENT}), 'missing column'"""),
+)
 def _(v):
-    rep = v.industry.select(F.col("symbol").cast("string").alias("code"), "name", F.col("l1").alias("industry"))
-    return Q.violations(rep, Q.CONTRACTS["final_report"], "code")
+    return Q.violations(report(v), Q.CONTRACTS["final_report"], "code")
+
+
+@query(
+    "s12_published_report",
+    sql("rep", """SELECT CAST(code AS VARCHAR) AS stock_code, name AS stock_name, industry, CASE WHEN last_price='--' THEN 0e0 ELSE CAST(last_price AS DOUBLE) END AS close_price, CAST(rise_days AS BIGINT) AS consecutive_up_days
+    FROM rep WHERE code IS NOT NULL AND name IS NOT NULL"""),
+)
+def _(v):
+    """The broken report is refused; what is whole of it is projected, published, and read back."""
+    from barloom.operators.report import projected
+
+    root = _folder(v, "report")
+    names = {"code": "stock_code", "name": "stock_name", "industry": "industry", "last_price": "close_price", "rise_days": "consecutive_up_days"}
+    contract = [Q.Rule("stock_code", nullable=False), Q.Rule("stock_name", nullable=False), Q.Rule("close_price", "double", nullable=False)]
+    final = projected(report(v), names, money=("close_price",), whole=("consecutive_up_days",), key="stock_code", order=F.col("acctbal"))
+    try:
+        P.publish(final, root, "day-1", ["stock_code"], "industry", contract)
+    except P.Rejected:
+        whole = final.where("stock_code is not null and stock_name is not null")
+        P.publish(whole, root, "day-1", ["stock_code"], "industry", contract)
+    return P.published(v.spark, root)
 
 
 @query("s13_probes", sql("raw", "SELECT max(trade_date) AS latest, count(DISTINCT symbol) AS n_keys, count(*) AS n_rows FROM raw"))
@@ -113,6 +161,30 @@ def _(v):
     return B.duplicate_keys(v.trades, KEY)
 
 
+def _published_bars(v):
+    """Bars by year in three batches: all, a year restated, and one with repeated keys, which is refused."""
+    root = _folder(v, "bars")
+    b = v.bars.select(*KEY, "close", F.year("trade_date").alias("year"))
+    P.publish(b, root, "first", KEY, "year")
+    P.publish(b.where("year = 1998").withColumn("close", F.col("close") * 2), root, "restated", KEY, "year")
+    broken = b.where("year = 1999")
+    try:
+        P.publish(broken.unionByName(broken.withColumn("close", F.col("close") * 3)), root, "broken", KEY, "year")
+    except P.Rejected:
+        pass
+    return root
+
+
+@query("s16_published_bars", sql("bars", f"SELECT symbol, trade_date, {R('close*CASE WHEN year(trade_date)=1998 THEN 2 ELSE 1 END')} AS close FROM bars"))
+def _(v):
+    return rounded(P.published(v.spark, _published_bars(v)).select(*KEY, "close"), "close")
+
+
+@query("s16_manifest", sql("bars", "SELECT CAST(year(trade_date) AS VARCHAR) AS part, CASE WHEN year(trade_date)=1998 THEN 'restated' ELSE 'first' END AS batch, count(*) AS n_rows FROM bars GROUP BY 1,2"))
+def _(v):
+    return P.manifest(v.spark, _published_bars(v)).select("part", "batch", "n_rows")
+
+
 @query("s16_merge_report", "SELECT year(o_orderdate) AS run, count(*) AS parts, " + R("avg(CASE WHEN o_orderstatus='F' THEN 1e0 ELSE 0e0 END)") + " AS success_rate FROM orders GROUP BY 1")
 def _(v):
     m = v.table("orders").select(F.year("o_orderdate").cast("bigint").alias("run"), F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status"))
