@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from barloom.operators.panel import by_symbol, full, tail, tick as exact_tick
-from barloom.operators.scaling import reuse
 
 
 @dataclass(frozen=True)
@@ -160,41 +161,61 @@ def candle_score(df: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-def expanding_quantile(df: DataFrame, src: str, out: str, q: float, min_periods: int) -> DataFrame:
-    """Causal quantile of everything so far.  A window aggregate would sort the history again
-    for every row, so each symbol (bounded by the calendar) is one Arrow group instead."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+def along_history(df: DataFrame, added: T.StructType, *steps: Callable[[pa.Table], dict[str, pa.Array]]) -> DataFrame:
+    """df with the columns that steps compute from each symbol's rows in order of date.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("trade_date")
-        return g.assign(**{out: g[src].astype(float).expanding(min_periods=min_periods).quantile(q)})
+    A symbol (bounded by the calendar) is one Arrow group that keeps all its columns, so the plan below is
+    run once and nothing is joined back; it is dealt by symbol already where windows came before."""
+    schema = T.StructType([*[f for f in df.schema.fields if f.name not in added.fieldNames()], *added.fields])
 
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(np.argsort(rows["trade_date"].cast("int32").to_numpy(), kind="stable"))
+        found = {k: v for step in steps for k, v in step(rows).items()}
+        kept = {f.name: rows[f.name] for f in schema.fields if f.name not in found}
+        return pa.table({f.name: found.get(f.name, kept.get(f.name)) for f in schema.fields})
+
+    return df.drop(*added.fieldNames()).groupBy("symbol").applyInArrow(run, schema)
+
+
+def _doubles(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].cast("float64").to_numpy()
+
+
+GOLDEN = T.StructType().add("golden_strength", T.DoubleType()).add("golden_norm", T.DoubleType())
+
+
+def golden_rows(rows: pa.Table) -> dict[str, pa.Array]:
+    """|DIF-DEA|/ATR and its causal 75 % quantile, 0.15 until 20 values exist."""
+    atr = _doubles(rows, "atr")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        strength = np.where(atr != 0, np.abs(_doubles(rows, "dif") - _doubles(rows, "dea")) / atr, np.nan)
+    q = pd.Series(strength).expanding(min_periods=20).quantile(0.75).fillna(0.15)
+    return {"golden_strength": pa.array(strength, mask=np.isnan(strength)), "golden_norm": pa.array(np.maximum(q.to_numpy(), 1e-9))}
 
 
 def golden_norm(df: DataFrame) -> DataFrame:
-    """`golden_norm`: expanding 75 % quantile of |DIF-DEA|/ATR, 0.15 until 20 values exist."""
-    key = df.select("symbol", "trade_date", F.try_divide(F.abs(F.col("dif") - F.col("dea")), F.col("atr")).alias("golden_strength"))
-    q = expanding_quantile(key, "golden_strength", "_q", 0.75, 20)
-    q = q.withColumn("_q", F.nanvl("_q", F.lit(None).cast("double"))).withColumn("golden_strength", F.nanvl("golden_strength", F.lit(None).cast("double")))
-    return df.join(q, ["symbol", "trade_date"]).withColumn(
-        "golden_norm", F.greatest(F.coalesce("_q", F.lit(0.15)), F.lit(1e-9))
-    ).drop("_q")
+    """`golden_norm`: expanding 75 % quantile of |DIF-DEA|/ATR.  A window aggregate would sort the history
+    again for every row."""
+    return along_history(df, GOLDEN, golden_rows)
+
+
+def oldest_cross(df: DataFrame, p: SignalParams = P) -> DataFrame:
+    return df.withColumn("_oldest", F.min(F.when(F.col("macd_cross") == 1, F.col("i"))).over(tail(p.cross_decay_days)))
 
 
 def golden_score(df: DataFrame, p: SignalParams = P) -> DataFrame:
     """Golden-cross score with zero-axis weight, bonus and decay from the oldest live cross."""
     st = F.col("golden_strength")
     vf = F.when(no(st > 0), F.least(F.lit(1.0), st / F.col("golden_norm"))).otherwise(1.0)
-    oldest = F.min(F.when(F.col("macd_cross") == 1, F.col("i"))).over(tail(p.cross_decay_days))
-    decay = F.coalesce(F.greatest(F.lit(p.cross_decay_min), 1.0 - (F.col("i") - oldest) / float(p.cross_decay_days)), F.lit(1.0))
+    df = df if "_oldest" in df.columns else oldest_cross(df, p)
+    decay = F.coalesce(F.greatest(F.lit(p.cross_decay_min), 1.0 - (F.col("i") - F.col("_oldest")) / float(p.cross_decay_days)), F.lit(1.0))
     base = (
         F.when(F.col("macd_label") == "golden_above_zero", F.floor(p.w_cross * vf + p.golden_bonus * vf))
         .when(F.col("macd_label") == "golden_below_zero", F.floor(p.w_cross // 2 * vf + p.golden_bonus * vf))
         .when(F.col("dif") > F.col("dea"), F.floor(p.w_cross * 0.75 * vf))
         .otherwise(0)
     )
-    return df.withColumn("golden_score", F.floor(base * decay).cast("int"))
+    return df.withColumn("golden_score", F.floor(base * decay).cast("int")).drop("_oldest")
 
 
 # --- divergence: causal re-detection of extremes, one Arrow group per symbol ---------------
@@ -269,21 +290,29 @@ def divergence_rows(close: np.ndarray, ind: np.ndarray, base: int = P.divergence
     return kind, at, strength
 
 
-def divergence(df: DataFrame, p: SignalParams = P) -> DataFrame:
-    """Add `div_type` (top/bottom/none), `div_bars_ago`, `div_strength`, `div_decay`."""
-    schema = "symbol long, trade_date date, _kind int, div_bars_ago int, div_strength double"
+DIVERGENCE = T.StructType().add("_kind", T.IntegerType()).add("div_bars_ago", T.IntegerType()).add("div_strength", T.DoubleType())
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("trade_date")
-        k, at, s = divergence_rows(g["close"].to_numpy(float), g["dif"].to_numpy(float), p.divergence_distance, p.strength_floor)
-        ago = np.where(at >= 0, np.arange(len(g)) - at, -1)
-        return pd.DataFrame({"symbol": g["symbol"], "trade_date": g["trade_date"], "_kind": k, "div_bars_ago": ago, "div_strength": s})
 
-    df = reuse(df)  # the group step and the join below read it; without this its whole stack runs twice
-    d = df.select("symbol", "trade_date", "close", "dif").groupBy("symbol").applyInPandas(run, schema)
-    d = d.withColumn("div_type", F.when(F.col("_kind") == 1, "top").when(F.col("_kind") == -1, "bottom").otherwise("none"))
-    d = d.withColumn("div_decay", F.when(F.col("div_bars_ago") >= 0, decay(F.col("div_bars_ago"), p.decay_half_life)).otherwise(0.0))
-    return df.join(d.drop("_kind"), ["symbol", "trade_date"])
+def _divergence_step(p: SignalParams) -> Callable[[pa.Table], dict[str, pa.Array]]:
+    base, floor = p.divergence_distance, p.strength_floor
+
+    def step(rows: pa.Table) -> dict[str, pa.Array]:
+        k, at, s = divergence_rows(_doubles(rows, "close"), _doubles(rows, "dif"), base, floor)
+        ago = np.where(at >= 0, np.arange(len(at)) - at, -1)
+        return {"_kind": pa.array(k, pa.int32()), "div_bars_ago": pa.array(ago, pa.int32()), "div_strength": pa.array(s)}
+
+    return step
+
+
+def _divergence_columns(df: DataFrame, p: SignalParams) -> DataFrame:
+    kind = F.when(F.col("_kind") == 1, "top").when(F.col("_kind") == -1, "bottom").otherwise("none")
+    fade = F.when(F.col("div_bars_ago") >= 0, decay(F.col("div_bars_ago"), p.decay_half_life)).otherwise(0.0)
+    return df.withColumn("div_type", kind).withColumn("div_decay", fade).drop("_kind")
+
+
+def divergence(df: DataFrame, p: SignalParams = P) -> DataFrame:
+    """Add `div_type` (top/bottom/none), `div_bars_ago`, `div_strength`, `div_decay`."""
+    return _divergence_columns(along_history(df, DIVERGENCE, _divergence_step(p)), p)
 
 
 def decay(bars_ago: Column, half_life: int = P.decay_half_life) -> Column:
@@ -302,12 +331,16 @@ def risk_level(df: DataFrame) -> DataFrame:
     return df.withColumn("risk_level", F.when(high, "HIGH").otherwise("LOW"))
 
 
+def last_stop(df: DataFrame, p: SignalParams = P) -> DataFrame:
+    return df.withColumn("_stop", tick(lag("close") - lag("atr") * p.atr_stop_mult))
+
+
 def exit_score(df: DataFrame, p: SignalParams = P) -> DataFrame:
-    stop = tick(lag("close") - lag("atr") * p.atr_stop_mult)
-    hit = no((stop > 0) & (F.col("close") < stop))
+    df = df if "_stop" in df.columns else last_stop(df, p)
+    hit = no((F.col("_stop") > 0) & (F.col("close") < F.col("_stop")))
     return df.withColumn(
         "exit_score", F.when(F.col("risk_level") == "HIGH", 100.0).when(hit, 90.0).otherwise(0.0)
-    ).withColumn("stop_loss", F.when(no(F.col("atr") > 0), tick(F.col("close") - F.col("atr") * p.atr_stop_mult)).otherwise(0.0))
+    ).withColumn("stop_loss", F.when(no(F.col("atr") > 0), tick(F.col("close") - F.col("atr") * p.atr_stop_mult)).otherwise(0.0)).drop("_stop")
 
 
 def trend_points(weight: int) -> Column:
@@ -347,15 +380,16 @@ def composite(df: DataFrame, p: SignalParams = P) -> DataFrame:
 
 
 def parameter_free(ind: DataFrame) -> DataFrame:
-    """Scores that no tuned parameter enters: compute once, reuse for each parameter set."""
+    """Scores that no tuned parameter enters and that windows give: compute once, reuse for each parameter set."""
     df = ind.withColumn("macd_trend", macd_trend(F.col("dif"), F.col("dea")))
-    df = volume_price_score(slope_score(momentum_score(regime(df))))
-    return golden_norm(candle_score(df))
+    return candle_score(volume_price_score(slope_score(momentum_score(regime(df)))))
 
 
-def signals(ind: DataFrame, p: SignalParams = P, prepared: bool = False) -> DataFrame:
-    """All signal columns per bar from the indicator panel."""
-    df = divergence(ind if prepared else parameter_free(ind), p)
+def signals(ind: DataFrame, p: SignalParams = P) -> DataFrame:
+    """All signal columns per bar from the indicator panel.  What needs a window comes before the walk over
+    histories, what comes after it needs only the row, so bars are dealt by symbol once."""
+    df = last_stop(oldest_cross(parameter_free(ind), p), p)
+    df = _divergence_columns(along_history(df, T.StructType([*GOLDEN.fields, *DIVERGENCE.fields]), golden_rows, _divergence_step(p)), p)
     return composite(exit_score(risk_level(golden_score(df, p)), p), p)
 
 
@@ -411,10 +445,35 @@ def exit_levels(df: DataFrame, stop: float = 1.5, t1: float = 3.0, t2: float = 5
     return df.withColumn("exit_rrr", F.when(ok, (F.col("t1_target") - c) / risk))
 
 
-def grid(df: DataFrame, params: dict[str, SignalParams]) -> DataFrame:
-    """Score several parameter sets over one materialised parameter-free block."""
-    from functools import reduce
-
-    base = reuse(parameter_free(df))
-    parts = [signals(base, p, prepared=True).withColumn("params", F.lit(k)) for k, p in params.items()]
-    return reduce(DataFrame.unionByName, parts)
+def grid(df: DataFrame, params: dict[str, SignalParams], keep: Sequence[str] = ("symbol", "trade_date")) -> DataFrame:
+    """(keep, params, score_base, score, level, exit_score, stop_loss, risk_level): every parameter set of a
+    table of sets, over one pass of the shared block.
+
+    Windows that depend on a parameter are computed once for each of its values, divergence once for each
+    distinct (distance, floor); the sets are then an array of structs on the bar, from columns of the bar."""
+    base, added, steps = parameter_free(df), list(GOLDEN.fields), [golden_rows]
+    windows = {p.cross_decay_days: p for p in params.values()}
+    stops = {p.atr_stop_mult: p for p in params.values()}
+    shapes = {(p.divergence_distance, p.strength_floor): p for p in params.values()}
+    at = {kind: {v: k for k, v in enumerate(values)} for kind, values in (("oldest", windows), ("stop", stops), ("div", shapes))}
+    for days, p in windows.items():
+        base = oldest_cross(base, p).withColumnRenamed("_oldest", f"_oldest{at['oldest'][days]}")
+    for mult, p in stops.items():
+        base = last_stop(base, p).withColumnRenamed("_stop", f"_stop{at['stop'][mult]}")
+    for shape, p in shapes.items():
+        n = at["div"][shape]
+        added += [T.StructField(f"{f.name}{n}", f.dataType) for f in DIVERGENCE.fields]
+        steps.append(_suffixed(_divergence_step(p), n))
+    df = along_history(base, T.StructType(added), *steps)
+    shared, out = df.columns, ("score_base", "score", "level", "exit_score", "stop_loss", "risk_level")
+    for k, (name, p) in enumerate(params.items()):
+        n = at["div"][(p.divergence_distance, p.strength_floor)]
+        own = {"_oldest": f"_oldest{at['oldest'][p.cross_decay_days]}", "_stop": f"_stop{at['stop'][p.atr_stop_mult]}", **{f.name: f"{f.name}{n}" for f in DIVERGENCE.fields}}
+        one = _divergence_columns(df.withColumns({c: F.col(x) for c, x in own.items()}), p)
+        one = composite(exit_score(risk_level(golden_score(one, p)), p), p)
+        df = one.select(*shared, *[f"_set{i}" for i in range(k)], F.struct(F.lit(name).alias("params"), *out).alias(f"_set{k}"))
+    return df.select(*keep, F.explode(F.array(*[f"_set{i}" for i in range(len(params))])).alias("s")).select(*keep, "s.*")
+
+
+def _suffixed(step: Callable[[pa.Table], dict[str, pa.Array]], n: int) -> Callable[[pa.Table], dict[str, pa.Array]]:
+    return lambda rows: {f"{k}{n}": v for k, v in step(rows).items()}

@@ -224,6 +224,27 @@ def _(v):
     return S.grid(v.ind, sets).groupBy("params", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Sets that differ in weights, thresholds, windows, stops and the distance of divergence.
+TABLE = {
+    "base": S.SignalParams(),
+    "loose": S.SignalParams(fully_bull=60, bullish=40),
+    "trend": S.SignalParams(w_trend=30, w_cross=12),
+    "cross": S.SignalParams(w_cross=25, golden_bonus=5, cross_decay_days=15),
+    "slow_cross": S.SignalParams(cross_decay_days=45, cross_decay_min=0.1),
+    "wide_stop": S.SignalParams(atr_stop_mult=2.5),
+    "tight_stop": S.SignalParams(atr_stop_mult=0.8, fully_bull=70),
+    "far": S.SignalParams(divergence_distance=21, w_divergence=20),
+    "near": S.SignalParams(divergence_distance=7, divergence_penalty=35),
+    "strict_div": S.SignalParams(strength_floor=0.4, decay_half_life=3),
+}
+
+
+@query("w27_parameter_table")
+def _(v):
+    df = S.grid(v.ind, TABLE)
+    return df.groupBy("params").agg(r(F.avg("score"), 4).alias("score"), *[F.count(F.when(F.col("level") == x, 1)).alias(f"n_{x.lower()}") for x in "ABCD"], F.count(F.when(F.col("exit_score") > 0, 1)).alias("n_exit"))
+
+
 cte(
     "zap",
     """SELECT symbol, trade_date, i, dif>0 AND pd<=0 AS u, dif<0 AND pd>=0 AS d, dif>dea AND pd<=pe AND dif<0 AND dea<0 AS g FROM (
