@@ -7,6 +7,7 @@ Everything is exact and deterministic, so a recomputed partition gives the same
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -34,32 +35,42 @@ def beside(df: DataFrame, *singles: DataFrame) -> DataFrame:
     return df
 
 
-def value_bin(df: DataFrame, value: str) -> Column:
+#: Bins for each e-fold of size where the number of rows is not known, and rows of a bin where it is.
+FINE, BIN_ROWS = 4096, 1 << 20
+
+
+def bins_for(n_rows: int) -> int:
+    """Bins for each e-fold of size that leave about BIN_ROWS rows in one, if all rows were a group within one
+    e-fold: few for small tables, where bins cost more than they save, and more as the table grows."""
+    return min(1 << 20, max(4, 1 << math.ceil(math.log2(max(1, n_rows / BIN_ROWS)))))
+
+
+def value_bin(df: DataFrame, value: str, fine: int = FINE) -> Column:
     """A monotone map of values to a bounded set of bins that needs no statistics.
 
-    Java's log is semi-monotonic, so equal or larger values never fall into a lower bin; about
-    2,800 bins cover each doubling, from the least to the largest double, on either side of
-    zero.  Text is binned by its first characters."""
+    Java's log is semi-monotonic, so equal or larger values never fall into a lower bin; `fine` bins
+    cover each e-fold, from the least to the largest double, on either side of zero.  Text is binned by
+    its first characters, more of them as `fine` grows."""
     if dict(df.dtypes)[value] == "string":
-        return F.substring(value, 1, 8)
+        return F.substring(value, 1, 8 if fine < FINE else 32)
     x = F.col(value).cast("double")
     size = F.least(F.log(F.abs(x)), F.lit(710.0)) + 746  # positive for every double but zero
-    return F.coalesce(F.signum(x) * F.floor(size * 4096), F.lit(0)).cast("long")
+    return F.coalesce(F.signum(x) * F.floor(size * fine), F.lit(0)).cast("long")
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def value_counts(df: DataFrame, by: Sequence[str], value: str, fine: int = FINE) -> DataFrame:
     """Distinct non-null values per group with `cnt`, `below` (rows under it) and `total`.
 
     Running counts inside a bin plus the offset of the bin give the exact running count, so
     no task sorts more than one bin of a group, and equal values are one row.  NaN counts as null."""
     by = list(by)
     if not by:
-        return value_counts(df.select(F.lit(1).alias("_all"), value), ["_all"], value).drop("_all")
+        return value_counts(df.select(F.lit(1).alias("_all"), value), ["_all"], value, fine).drop("_all")
     here = F.col(value).isNotNull()
     if dict(df.dtypes)[value] in ("double", "float"):
         here &= ~F.isnan(value)  # as missing as null
     d = df.where(here).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-    d = d.withColumn("_bin", value_bin(df, value))
+    d = d.withColumn("_bin", value_bin(df, value, fine))
     group = W.partitionBy(*by)
     offs = d.groupBy(*by, "_bin").agg(F.sum("cnt").alias("_c")).select(
         *by,
@@ -89,10 +100,10 @@ def with_ranks(df: DataFrame, by: Sequence[str], values: dict[str, str]) -> Data
     `<prefix>_below`, `<prefix>_ties`, `<prefix>_total` (nulls for null values)."""
     by = list(by)
     df = reuse(df)
-    out = df
+    fine, out = bins_for(df.count()), df
     for prefix, value in values.items():
         keys = list(dict.fromkeys([*by, value]))
-        vc = value_counts(df.select(*keys), by, value).select(
+        vc = value_counts(df.select(*keys), by, value, fine).select(
             *keys,
             F.col("below").alias(f"{prefix}_below"),
             F.col("cnt").alias(f"{prefix}_ties"),
