@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -217,33 +218,70 @@ def hhi(exposure: DataFrame) -> DataFrame:
     return exposure.agg(F.sum(F.col("exposure") * F.col("exposure")).alias("hhi"), F.max("exposure").alias("largest"))
 
 
+#: Series of a block of the covariance matrix, and dates that are multiplied at a time.
+SERIES, DATES = 512, 256
+
+
 def covariance(returns: DataFrame, method: str = "sample", lam: float = 0.94, shrinkage: float | None = None) -> DataFrame:
     """(f, g, cov) of long (trade_date, factor, ret) series that share their dates.
 
-    Pairs come from a self-join on the date, so the work is dates x K^2 partial sums: meant for
-    factors and strategies, up to a few hundred series.  `ewma` weighs by lam^(age), in the mean
-    too; `shrink` pulls towards the variances alone, by `shrinkage` or by the estimated intensity:
-    variance of the products over the squared distance to that target, between 0 and 1."""
+    Series are dealt into blocks and dates into stretches; a pair of blocks over a stretch is one group, which
+    multiplies its two dense tables of dates by series and sends K^2 sums on, not K^2 rows for each date.
+    `ewma` weighs by lam^(age), in the mean too; `shrink` pulls towards the variances alone, by `shrinkage`
+    or by the estimated intensity: variance of the products over the squared distance to that target,
+    between 0 and 1.  A series without a date of another's shares the dates they have both."""
+    returns = reuse(returns.select("trade_date", "factor", "ret").where("ret is not null"))
     w = W.partitionBy(F.lit(0)).orderBy(F.desc("trade_date"))  # one row per date
     dates = returns.select("trade_date").distinct().withColumn("_age", F.row_number().over(w) - 1)
     r = returns.join(dates, "trade_date")
     weight = F.pow(F.lit(lam), F.col("_age")) if method == "ewma" else F.lit(1.0)
-    mean = r.groupBy("factor").agg((F.sum(weight * F.col("ret")) / F.sum(weight)).alias("_m"))
-    x = r.join(mean, "factor").withColumn("_x", F.col("ret") - F.col("_m"))
-    a = x.select("trade_date", F.col("factor").alias("f"), F.col("_x").alias("_a"), "_age")
-    b = x.select("trade_date", F.col("factor").alias("g"), F.col("_x").alias("_b"))
-    p = a.join(b, "trade_date")
+    names = r.groupBy("factor").agg((F.sum(weight * F.col("ret")) / F.sum(weight)).alias("_m"))
+    blocks = F.ceil(F.lit(names.agg(F.count(F.lit(1))).scalar()) / SERIES)
+    names = reuse(names.withColumn("_b", F.pmod(F.xxhash64("factor"), F.greatest(blocks, F.lit(1)))))
+    n_blocks = F.lit(names.agg(F.max("_b")).scalar())
+    x = r.join(names, "factor").select("factor", "_b", "_age", F.floor(F.col("_age") / DATES).alias("_t"), (F.col("ret") - F.col("_m")).alias("_x"))
+    # each value goes to the pairs of its block with every block, on the left side, the right one or both
+    dealt = x.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks)))
+    dealt = dealt.select("factor", "_age", "_t", "_x", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def products(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, t = rows["_i"].iat[0], rows["_j"].iat[0], rows["_t"].iat[0]
+        age = rows["_age"].to_numpy() - t * DATES
+        power = lam ** (np.arange(DATES) + t * DATES) if method == "ewma" else np.ones(DATES)
+
+        def table(block: int):
+            own = rows["_b"].to_numpy() == block
+            names, at = np.unique(rows["factor"].to_numpy()[own], return_inverse=True)
+            out, there = np.zeros((DATES, len(names))), np.zeros((DATES, len(names)))
+            out[age[own], at], there[age[own], at] = rows["_x"].to_numpy()[own], 1.0
+            return names, out, there
+
+        (f, a, in_a), (g, b, in_b) = table(i), table(j)
+        both = in_a.T @ in_b
+        k, m = np.nonzero(both)
+        pick = lambda z: z[k, m]
+        sums = [(a * power[:, None]).T @ b, (in_a * power[:, None]).T @ in_b, a.T @ b, (a * a).T @ (b * b), both]
+        return pd.DataFrame({"f": f[k], "g": g[m], **{c: pick(z) for c, z in zip(("wp", "w", "p", "pp", "n"), sums)}})
+
+    kind = returns.schema["factor"].dataType.simpleString()
+    parts = dealt.groupBy("_i", "_j", "_t").applyInPandas(products, f"f {kind}, g {kind}, wp double, w double, p double, pp double, n double")
+    half = parts.groupBy("f", "g").agg(*[F.sum(c).alias(c) for c in ("wp", "w", "p", "pp", "n")])
+    # pairs of two blocks were made once: the other half is their mirror
+    sides = names.select(F.col("factor").alias("f"), F.col("_b").alias("_fb")), names.select(F.col("factor").alias("g"), F.col("_b").alias("_gb"))
+    half = half.join(sides[0], "f").join(sides[1], "g")
+    mirror = half.where("_fb <> _gb").select(F.col("g").alias("f"), F.col("f").alias("g"), "wp", "w", "p", "pp", "n")
+    s = half.select("f", "g", "wp", "w", "p", "pp", "n").union(mirror)
     if method == "ewma":
-        return p.groupBy("f", "g").agg((F.sum(weight * F.col("_a") * F.col("_b")) / F.sum(weight)).alias("cov"))
-    ab, n = F.col("_a") * F.col("_b"), F.count(F.lit(1))
-    s = p.groupBy("f", "g").agg((F.sum(ab) / (n - 1)).alias("cov"), F.avg(ab).alias("_p"), F.avg(ab * ab).alias("_pp"))
+        return s.select("f", "g", (F.col("wp") / F.col("w")).alias("cov"))
+    s = s.select("f", "g", F.try_divide(F.col("p"), F.col("n") - 1).alias("cov"), (F.col("p") / F.col("n")).alias("_p"), (F.col("pp") / F.col("n")).alias("_pp"))
     if method == "sample":
         return s.drop("_p", "_pp")
-    k2 = W.partitionBy(F.lit(0))  # K^2 rows
     off = F.col("f") != F.col("g")
-    spread = F.sum(F.col("_pp") - 2 * F.col("cov") * F.col("_p") + F.col("cov") * F.col("cov")).over(k2)
-    distance = F.sum(F.when(off, F.col("cov") * F.col("cov")).otherwise(0.0)).over(k2)
-    delta = F.lit(shrinkage) if shrinkage is not None else F.when(distance < 1e-20, 1.0).otherwise(F.least(spread / distance, F.lit(1.0)))
+    spread = F.sum(F.col("_pp") - 2 * F.col("cov") * F.col("_p") + F.col("cov") * F.col("cov"))
+    distance = F.sum(F.when(off, F.col("cov") * F.col("cov")).otherwise(0.0))
+    s = reuse(s)
+    t = s.agg(F.struct(spread.alias("s"), distance.alias("d")).alias("t")).scalar()
+    delta = F.lit(shrinkage) if shrinkage is not None else F.when(t["d"] < 1e-20, 1.0).otherwise(F.least(t["s"] / t["d"], F.lit(1.0)))
     return s.withColumn("_d", delta).select("f", "g", F.when(off, (1 - F.col("_d")) * F.col("cov")).otherwise(F.col("cov")).alias("cov"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import risk as K
+from barloom.operators.panel import by_symbol
+from barloom.operators.scaling import reuse
 from barloom.plans.registry import R, Rs, cte, lag, query, r, rounded, sql
 
 # A book: supplier balances as weights; the market: the equal-weighted mean return.
@@ -287,12 +289,21 @@ def cov_input(v):
     ),
 )
 def _(v):
-    x = cov_input(v)
+    x = reuse(cov_input(v))
     df = K.covariance(x).withColumnRenamed("cov", "sample")
     df = df.join(K.covariance(x, "ewma").withColumnRenamed("cov", "ewma"), ["f", "g"]).join(K.covariance(x, "shrink").withColumnRenamed("cov", "shrunk"), ["f", "g"])
     return rounded(df, "sample", "ewma", "shrunk")
 
 
+cte("syr", "SELECT symbol, trade_date, ret-avg(ret) OVER (PARTITION BY symbol) AS x FROM (SELECT symbol, trade_date, close/lag(close) OVER (PARTITION BY symbol ORDER BY trade_date)-1 AS ret FROM adj) WHERE ret IS NOT NULL", "adj")
+
+
+@query("a32_symbol_covariance", sql("syr", f"SELECT a.symbol AS f, b.symbol AS g, CASE WHEN count(*)>1 THEN {R('sum(a.x*b.x)/(count(*)-1)', 8)} END AS cov FROM syr a JOIN syr b USING (trade_date) GROUP BY 1,2"))
+def _(v):
+    ret = F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1
+    return rounded(K.covariance(v.adj.select(F.col("symbol").alias("factor"), "trade_date", ret.alias("ret"))), "cov", d=8)
+
+
 cte("mom", "SELECT strategy, count(*)*1e0 AS n, avg(ret)/stddev_samp(ret) AS s, skewness(ret) AS sk, kurtosis(ret) AS ku FROM irt GROUP BY 1", "irt")
 
 
