@@ -2,15 +2,19 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a
 word is the sum over all ways to cut it into pieces, by the forward algorithm; a text is scored by
-the product over its words. Piece probabilities are expected counts over all segmentations of the
-training words (one forward-backward pass in which all pieces are alike), so the tokeniser itself is
-neither trained nor run. Every single byte is a piece, so every text has a score.
+the product over its words. Piece probabilities come from expectation-maximisation: expected counts
+over all segmentations of the training words, from equal pieces on until the likelihood stops
+rising. The tokeniser itself is neither trained nor run. Every single byte is a piece, so every text
+has a score.
 
-The work is done once for each distinct word of a batch, for all words of a length at once."""
+Words are whole, however long: the recursion looks as far ahead as pieces reach, through the hashes of
+their prefixes, and is rescaled as it goes. The work is done once for each distinct word, of a
+batch or of the training texts, for all words of about a length at once."""
 
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,33 +23,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.text import lower_words
+from barloom.llm.text import lower_words, written
 
-#: Words of more bytes are scored in stretches of this many, pieces of more bytes left out.
-LONGEST, PIECE = 48, 12
 #: Pseudo-count of a piece in a language.
 PRIOR = 0.1
+#: Training ends when a round adds less than this share to the log likelihood, or after so many rounds.
+GAIN, ROUNDS = 1e-3, 20
+#: Bytes of the words that are worked on together, and distinct words that a task counts before it sends them on.
+CHUNK, COUNTED = 1 << 19, 200_000
+#: Words up to this length keep their pieces between the two directions of training; longer ones find them twice.
+KEPT = 512
 _BITS = 20
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(number of pieces, their hashes by slot, their numbers by slot) of a rank file.
+def vocabulary(path: str) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(number of pieces, length of the longest, hashes by slot, numbers by slot) of a rank file.
 
-    A table of open addressing over the 64-bit hashes of the pieces' bytes; number 0 is no piece."""
+    A table of open addressing over the 64-bit hashes of the pieces and all their prefixes; a prefix that is
+    no piece has number -1, an empty slot 0."""
     with open(path, "rb") as f:
         pieces = sorted({base64.b64decode(line.split()[0]) for line in f if line.strip()} | {bytes([b]) for b in range(256)})
-    pieces = [p for p in pieces if len(p) <= PIECE]
-    keys, numbers = np.zeros(1 << _BITS, np.uint64), np.zeros(1 << _BITS, np.int32)
-    for number, piece in enumerate(pieces, 1):
+    number: dict[int, int] = {}
+    for k, piece in enumerate(pieces, 1):
         h = np.uint64(0)
         for b in piece:
             h = _step(h, np.uint64(b))
-        slot = int(h >> np.uint64(64 - _BITS))
+            number.setdefault(int(h), -1)
+        number[int(h)] = k
+    keys, numbers = np.zeros(1 << _BITS, np.uint64), np.zeros(1 << _BITS, np.int32)
+    for h, k in number.items():
+        slot = h >> (64 - _BITS)
         while numbers[slot]:
             slot = (slot + 1) & ((1 << _BITS) - 1)
-        keys[slot], numbers[slot] = h, number
-    return len(pieces), keys, numbers
+        keys[slot], numbers[slot] = h, k
+    return len(pieces), max(map(len, pieces)), keys, numbers
 
 
 def _step(h, byte):
@@ -56,142 +68,189 @@ def _step(h, byte):
 
 
 def _numbers(h: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Piece numbers of hashes, 0 where there is none; follows the probe sequence of the table."""
+    """Numbers of hashes, -1 for a prefix, 0 where there is none; follows the probe sequence of the table."""
     slot = (h >> np.uint64(64 - _BITS)).astype(np.int64)
     out = np.where(keys[slot] == h, numbers[slot], 0)
-    open_ = np.flatnonzero((out == 0) & (numbers[slot] > 0))
+    open_ = np.flatnonzero((out == 0) & (numbers[slot] != 0))
     while len(open_):
         slot[open_] = (slot[open_] + 1) & ((1 << _BITS) - 1)
         out[open_] = np.where(keys[slot[open_]] == h[open_], numbers[slot[open_]], 0)
-        open_ = open_[(out[open_] == 0) & (numbers[slot[open_]] > 0)]
-    return out
-
-
-class Words:
-    """The distinct words of some texts, each with a space before it as in running text, by length."""
-
-    def __init__(self, texts: list[str | None]):
-        index: dict[bytes, int] = {}
-        per_text = [[index.setdefault(w, len(index)) for w in _stretches(t)] for t in texts]
-        self.n, self.per_text = len(index), per_text
-        by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for w, i in index.items():
-            by_length.setdefault(len(w), []).append((i, w))
-        self.groups = [(np.array([i for i, _ in g]), np.frombuffer(b"".join(w for _, w in g), np.uint8).reshape(len(g), n)) for n, g in by_length.items()]
-
-
-def _stretches(text: str | None) -> Iterator[bytes]:
-    for w in lower_words(text):
-        w = b" " + w
-        for at in range(0, len(w), LONGEST):
-            yield w[at : at + LONGEST]
-
-
-def _pieces(chars: np.ndarray, path: str) -> dict[tuple[int, int], np.ndarray]:
-    """Piece numbers of all words of one length for each (start, end) of a stretch."""
-    _, keys, numbers = vocabulary(path)
-    out, n = {}, chars.shape[1]
-    for start in range(n):
-        h = np.zeros(len(chars), np.uint64)
-        for end in range(start + 1, min(n, start + PIECE) + 1):
-            h = _step(h, chars[:, end - 1].astype(np.uint64))
-            found = _numbers(h, keys, numbers)
-            if found.any():
-                out[start, end] = found
+        open_ = open_[(out[open_] == 0) & (numbers[slot[open_]] != 0)]
     return out
 
 
-def word_scores(words: Words, log_p: np.ndarray, path: str) -> np.ndarray:
-    """log P(word | language), by the forward algorithm. log_p: row 0 and a row per piece, a column per
-    language; row 0 is minus infinity."""
-    p = np.exp(log_p)
-    out = np.zeros((words.n, p.shape[1]))
-    for ids, chars in words.groups:
+def chunks(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers, bytes padded with zeros, lengths) of some words at a time, of lengths within a quarter of each other."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        shortest, end = len(words[order[at]]), at
+        while end < len(order) and len(words[order[end]]) <= max(shortest, shortest * 5 // 4) and (end == at or (end + 1 - at) * len(words[order[end]]) <= CHUNK):
+            end += 1
+        own = [words[i] for i in order[at:end]]
+        n = len(own[-1])
+        chars = np.frombuffer(b"".join(w.ljust(n, b"\0") for w in own), np.uint8).reshape(len(own), n)
+        yield np.array(order[at:end]), chars, np.array([len(w) for w in own])
+        at = end
+
+
+def _pieces(chars: np.ndarray, lengths: np.ndarray, start: int, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(end, rows, piece numbers) of the pieces that begin at start, for as long as some row's bytes are a prefix of one."""
+    _, _, keys, numbers = vocabulary(path)
+    rows = np.flatnonzero(lengths > start)
+    h, end = np.zeros(len(rows), np.uint64), start
+    while len(rows):
+        h = _step(h, chars[rows, end].astype(np.uint64))
+        end += 1
+        found = _numbers(h, keys, numbers)
+        if (hit := found > 0).any():
+            yield end, rows[hit], found[hit]
+        on = (found != 0) & (lengths[rows] > end)
+        rows, h = rows[on], h[on]
+
+
+#: A recursion whose value falls under LOW is multiplied by UP, with all that lies ahead of it.
+_LOW, _UP = 1e-150, 1e150
+
+
+def _rescaled(now: np.ndarray, ahead: np.ndarray, scale: np.ndarray) -> None:
+    """Lifts what has become small, in place; scale keeps the logarithm. now is part of ahead, along its first axis.
+    Where something far larger lies ahead, what is small adds nothing that a double could hold."""
+    small = (now < _LOW) & (now > 0)
+    if small.any():
+        lift = small & (ahead.max(axis=0) < 1e-100)
+        ahead *= np.where(lift, _UP, 1.0)
+        scale -= np.where(lift, np.log(_UP), 0.0)
+
+
+def word_scores(words: list[bytes], log_p: np.ndarray, path: str) -> np.ndarray:
+    """log P(word | language), by the forward algorithm over a window as wide as the longest piece. log_p:
+    row 0 and a row per piece, a column per language; row 0 is minus infinity."""
+    p, wide = np.exp(log_p), vocabulary(path)[1] + 1
+    out = np.zeros((len(words), p.shape[1]))
+    for ids, chars, lengths in chunks(words):
         n = chars.shape[1]
-        alpha = np.zeros((n + 1, len(ids), p.shape[1]))
-        alpha[0] = 1
+        size = min(wide, n + 1)
+        window = np.zeros((size, len(ids), p.shape[1]))
+        window[0] = 1
         scale = np.zeros((len(ids), p.shape[1]))
-        pieces = _pieces(chars, path)
-        for start in range(n):
-            # what was reached so far is kept near one; every later position shares the scale
-            top = alpha[start : min(n, start + PIECE) + 1].max(axis=0)
-            small = (top < 1e-100) & (top > 0)
-            if small.any():
-                alpha[start:] *= np.where(small, 1e100, 1.0)
-                scale -= np.where(small, np.log(1e100), 0.0)
-            for end in range(start + 1, min(n, start + PIECE) + 1):
-                if (start, end) in pieces:
-                    alpha[end] += alpha[start] * p[pieces[start, end]]
-        out[ids] = np.log(alpha[n]) + scale
+        for start in range(n + 1):
+            now = window[start % size]
+            if (over := lengths == start).any():
+                out[ids[over]] = np.log(now[over]) + scale[over]
+            if start < n:
+                _rescaled(now, window, scale)
+                for end, rows, found in _pieces(chars, lengths, start, path):
+                    window[end % size, rows] += now[rows] * p[found]
+                now[:] = 0
     return out
 
 
-def expected_counts(words: Words, weight: np.ndarray, path: str) -> np.ndarray:
-    """Expected piece counts by language when all pieces are equally likely. weight: how often each
-    word occurs in each language."""
-    n_pieces, _, _ = vocabulary(path)
-    p = 1.0 / n_pieces
-    out = np.zeros((n_pieces + 1, weight.shape[1]))
-    for ids, chars in words.groups:
-        n, pieces = chars.shape[1], _pieces(chars, path)
+def expected_counts(words: list[bytes], lang: np.ndarray, weight: np.ndarray, p: np.ndarray, path: str) -> tuple[np.ndarray, float]:
+    """(expected piece counts by language, log likelihood) of words of the languages lang (columns of p), each
+    so often as weight says, under the piece probabilities p (row 0: no piece)."""
+    total, likelihood = np.zeros(p.shape), 0.0
+    for ids, chars, lengths in chunks(words):
+        n, rows_of, own = chars.shape[1], np.arange(len(ids)), lang[ids]
+        kept = [list(_pieces(chars, lengths, start, path)) for start in range(n)] if n <= KEPT else None
+        pieces = kept.__getitem__ if kept else lambda start: _pieces(chars, lengths, start, path)  # noqa: B023
+        wide = vocabulary(path)[1] + 1
         alpha, beta = np.zeros((n + 1, len(ids))), np.zeros((n + 1, len(ids)))
-        # p ** LONGEST stays within the range of doubles with p taken as one over its square root
-        q = np.sqrt(p) if n * -np.log10(p) > 280 else p
-        alpha[0] = beta[n] = 1
+        up, down = np.zeros((n + 1, len(ids))), np.zeros((n + 1, len(ids)))
+        alpha[0], scale = 1, np.zeros(len(ids))
         for start in range(n):
-            for end in range(start + 1, min(n, start + PIECE) + 1):
-                if (start, end) in pieces:
-                    alpha[end] += alpha[start] * np.where(pieces[start, end] > 0, q, 0.0)
+            _rescaled(alpha[start], alpha[start : start + wide], scale)
+            up[start] = scale
+            for end, rows, found in pieces(start):
+                alpha[end, rows] += alpha[start, rows] * p[found, own[rows]]
+        up[n] = scale
+        whole, at_end = alpha[lengths, rows_of], up[lengths, rows_of]
+        likelihood += float((weight[ids] * (np.log(whole) + at_end)).sum())
+        beta[lengths, rows_of], scale = 1, np.zeros(len(ids))
         for start in range(n - 1, -1, -1):
-            for end in range(start + 1, min(n, start + PIECE) + 1):
-                if (start, end) in pieces:
-                    beta[start] += beta[end] * np.where(pieces[start, end] > 0, q, 0.0)
-        for (start, end), found in pieces.items():
-            post = np.where(found > 0, alpha[start] * q * beta[end] / alpha[n], 0.0)
-            for k in range(weight.shape[1]):
-                out[:, k] += np.bincount(found, post * weight[ids, k], len(out))
-    return out
+            for end, rows, found in pieces(start):
+                # both sides in the scale of this start
+                beta[start, rows] += beta[end, rows] * np.exp(down[end, rows] - scale[rows]) * p[found, own[rows]]
+            small = (beta[start] < _LOW) & (beta[start] > 0)
+            beta[start] *= np.where(small, _UP, 1.0)
+            scale = scale - np.where(small, np.log(_UP), 0.0)
+            down[start] = scale
+            for end, rows, found in pieces(start):
+                share = np.exp(np.log(alpha[start, rows]) + up[start, rows] + np.log(p[found, own[rows]]) + np.log(np.maximum(beta[end, rows], 1e-300)) + down[end, rows] - np.log(whole[rows]) - at_end[rows])
+                np.add.at(total, (found, own[rows]), share * weight[ids[rows]])
+    return total, likelihood
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(lang, word, n) of (lang, text): how often each language has each word, with a space before it as in running
+    text. A language without words has one row without a word."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(found: Counter) -> pd.DataFrame:
+            return pd.DataFrame([(lang, w, n) for (lang, w), n in found.items()], columns=["lang", "word", "n"])
 
-def train(docs: DataFrame, path: str, where: Column, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+        found: Counter = Counter()
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                found[lang, None] += 0
+                for w, n in Counter(lower_words(text)).items():
+                    found[lang, b" " + w] += n
+                if len(found) > COUNTED:
+                    yield out(found)
+                    found = Counter()
+        yield out(found)
+
+    return rows.mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, path: str, where: Column, text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages in order, log_p) from the rows of docs with a language that pass where.
 
-    Partitions sum expected counts over their own texts; what leaves a partition, and what the driver
-    gets, is a number for each piece of the vocabulary and language."""
+    The words are counted once and written; each round of expectation-maximisation reads that table. What a
+    round sends to the driver is a number for each piece of the vocabulary and language. A null or empty
+    text teaches its language nothing but that it exists; rows that repeat count each; other columns are
+    not read; an empty table gives no language. Words are counted whole, however long."""
     rows = docs.where(where & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n_pieces, _, _ = vocabulary(path)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                words, langs = Words(list(part["text"])), sorted(set(part["lang"]))
-                weight = np.zeros((words.n, len(langs)))
-                for own, lang in zip(words.per_text, part["lang"], strict=True):
-                    np.add.at(weight[:, langs.index(lang)], own, 1)
-                got = expected_counts(words, weight, path)
-                for k, lang in enumerate(langs):
-                    sums[lang] = sums.get(lang, 0) + got[:, k]
-        for lang, total in sums.items():
-            some = np.flatnonzero(total)
-            # an entry for the language itself, so that one without words is learnt too
-            yield pd.DataFrame({"lang": lang, "piece": np.append(some, 0), "n": np.append(total[some], 0.0)})
-
-    sums = rows.mapInPandas(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sums["lang"].unique())
-    table = np.zeros((n_pieces + 1, len(langs)))
-    table[sums["piece"].to_numpy(int), sums["lang"].map(langs.index).to_numpy(int)] = sums["n"].to_numpy()
-    table[1:] += PRIOR
-    table[0] = 0
+    counted = written(_counted(rows), "language-words")
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    n_pieces = vocabulary(path)[0]
+    p = np.full((n_pieces + 1, len(langs)), 1.0 / n_pieces)
+    p[0] = 0
+    before = -np.inf
+    for _ in range(rounds if langs else 0):
+        shared = docs.sparkSession.sparkContext.broadcast(p)  # pieces x languages, whatever the corpus
+
+        def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            p, total, likelihood = shared.value, 0.0, 0.0
+            for batch in batches:
+                lang = batch["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()
+                got, gain = expected_counts(list(batch["word"]), lang, batch["n"].to_numpy(float), p, path)
+                total, likelihood = total + got, likelihood + gain
+            if isinstance(total, np.ndarray):
+                piece, lang = np.nonzero(total)
+                yield pd.DataFrame({"lang": np.append(lang, 0), "piece": np.append(piece, 0), "n": np.append(total[piece, lang], likelihood)})
+
+        sums = counted.where("word is not null").mapInPandas(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        shared.unpersist()
+        none = sums["piece"] == 0  # the likelihood stands in the row of no piece
+        likelihood = float(sums["n"][none].sum())
+        table = np.zeros(p.shape)
+        table[sums["piece"][~none], sums["lang"][~none]] = sums["n"][~none]
+        table[1:] += PRIOR
+        p = table / table.sum(0, keepdims=True)
+        if likelihood - before < GAIN * abs(likelihood):
+            break
+        before = likelihood
     with np.errstate(divide="ignore"):
-        return langs, np.log(table / table.sum(0, keepdims=True)) if langs else table
+        return langs, np.log(p)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, the posterior probability of that language among those learnt,
     all alike before. und with score 0 for a null text, one without a letter, and if nothing was
-    learnt. Equally likely languages give the first in order. Whole texts are scored."""
+    learnt. Equally likely languages give the first in order. Whole texts are scored, whole words too. Rows
+    that repeat are scored alike; columns named lang_pred, score or _found are replaced; an empty table
+    gives an empty table."""
     langs, log_p = model
     shared = docs.sparkSession.sparkContext.broadcast(log_p)  # pieces x languages, whatever the corpus
 
@@ -201,9 +260,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, te
             out = []
             for at in range(0, len(texts), 1000):
                 part = list(texts.iloc[at : at + 1000])
-                words = Words(part)
-                per_word = word_scores(words, shared.value, path) if langs else None
-                for text, own in zip(part, words.per_text, strict=True):
+                index: dict[bytes, int] = {}
+                per_text = [[index.setdefault(b" " + w, len(index)) for w in lower_words(t)] for t in part]
+                per_word = word_scores(list(index), shared.value, path) if langs else None
+                for text, own in zip(part, per_text, strict=True):
                     if not langs or text is None or not any(map(str.isalpha, text)):
                         out.append(("und", 0.0))
                         continue

@@ -1,8 +1,10 @@
 """Language model, toxicity, language identification, mixing: brute force, invariants, held-out rows."""
 
+import base64
 import itertools
 import random
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -150,21 +152,32 @@ def test_copies_do_not_mark_a_class():
     assert len(toxicity.distinct_texts([text, *near, prose(2, 90), text])) < 4
 
 
-def brute_word(word, p, numbers):
-    a = [1.0] + [0.0] * len(word)
+@lru_cache
+def pieces():
+    """Every piece of the vocabulary file and its number, in the order of the bytes."""
+    with open(PATH, "rb") as f:
+        found = {base64.b64decode(x.split()[0]) for x in f} | {bytes([b]) for b in range(256)}
+    return {p: k for k, p in enumerate(sorted(found), 1)}
+
+
+def brute_word(word, log_p):
+    """log of the sum over all segmentations, in logarithms throughout; any piece of the vocabulary counts."""
+    a = np.full(len(word) + 1, -np.inf)
+    a[0] = 0
+    longest = max(map(len, pieces()))
     for i in range(len(word)):
-        for j in range(i + 1, min(len(word), i + language.PIECE) + 1):
-            if word[i:j] in numbers:
-                a[j] += a[i] * p[numbers[word[i:j]]]
-    return np.log(a[-1])
+        for j in range(i + 1, min(len(word), i + longest) + 1):
+            if (k := pieces().get(word[i:j])) is not None:
+                a[j] = np.logaddexp(a[j], a[i] + log_p[k])
+    return a[-1]
 
 
-def test_forward_sums_all_segmentations():
-    import base64
+WORDS = [b" der", " größte".encode(), b" internationalisation", b" " + b"x" * 200, " 日本語の文章は空白なしで書かれるので一つの語がとても長くなることがある".encode() * 3, b" " + b"-" * 700, b" a", b" " + bytes(range(33, 120)) * 4]
 
-    n, keys, slots = language.vocabulary(PATH)
-    with open(PATH, "rb") as f:
-        pieces = {base64.b64decode(x.split()[0]) for x in f} | {bytes([b]) for b in range(256)}
+
+def test_forward_sums_all_segmentations_of_whole_words():
+    n, longest, keys, slots = language.vocabulary(PATH)
+    assert n == len(pieces()) and longest == max(map(len, pieces())) > 12
 
     def number(piece):
         h = np.uint64(0)
@@ -172,29 +185,44 @@ def test_forward_sums_all_segmentations():
             h = language._step(h, np.uint64(b))
         return int(language._numbers(np.array([h]), keys, slots)[0])
 
-    numbers = {p: number(p) for p in pieces if len(p) <= language.PIECE}
-    assert sorted(numbers.values()) == list(range(1, n + 1)) and number(b"zzzzqqqq") == 0
-    log_p = np.log(np.random.default_rng(0).random((n + 1, 2)) / n)
+    assert all(number(p) == k for p, k in list(pieces().items())[::97]) and number(b"zzzzqqqq") == 0 and number(b" internationa") != 0
+    log_p = np.log(np.random.default_rng(0).random((n + 1, 2)) ** 9 / n)  # some pieces all but impossible
     log_p[0] = -np.inf
-    found = language.Words(["der größte Baum", "x" * 100, None])
-    got = language.word_scores(found, log_p, PATH)
-    for text, own in zip(["der größte Baum", "x" * 100], found.per_text, strict=False):
-        want = [sum(brute_word(w, np.exp(log_p[:, k]), numbers) for w in language._stretches(text)) for k in (0, 1)]
-        assert np.allclose(got[own].sum(0), want)
-
-
-def test_expected_counts_add_up():
-    """Pieces weighted by their lengths cover each word once."""
-    import base64
-
-    found = language.Words(["the thing " + "q" * 60])
-    weight = np.array([[1.0, 3.0]] * found.n)
-    counts = language.expected_counts(found, weight, PATH)
-    with open(PATH, "rb") as f:
-        pieces = sorted({base64.b64decode(x.split()[0]) for x in f} | {bytes([b]) for b in range(256)})
-    lengths = np.array([0, *(len(p) for p in pieces if len(p) <= language.PIECE)])
-    chars = sum(g[1].size for g in found.groups)
-    assert np.allclose(lengths @ counts, [chars, 3 * chars])
+    got = language.word_scores(WORDS, log_p, PATH)
+    assert got == pytest.approx(np.array([[brute_word(w, log_p[:, k]) for k in (0, 1)] for w in WORDS]))
+
+
+def test_expected_counts_of_all_segmentations(monkeypatch):
+    """Pieces weighted by their lengths cover each word once; counts are the gradient of the likelihood."""
+    monkeypatch.setattr(language, "KEPT", 100)
+    n = len(pieces())
+    p = np.random.default_rng(1).random((n + 1, 2)) ** 4 / n
+    p[0] = 0
+    lang, weight = np.array([0, 1] * (len(WORDS) // 2)), np.arange(1.0, len(WORDS) + 1)
+    counts, likelihood = language.expected_counts(WORDS, lang, weight, p, PATH)
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    assert likelihood == pytest.approx(sum(m * brute_word(w, log_p[:, k]) for w, k, m in zip(WORDS, lang, weight, strict=True)))
+    lengths = np.array([0, *map(len, pieces())])
+    assert lengths @ counts == pytest.approx([sum(m * len(w) for w, k, m in zip(WORDS, lang, weight, strict=True) if k == side) for side in (0, 1)])
+    for piece in (b" international", b"xx", b"--------", b"r"):
+        for k in (0, 1):
+            more = p.copy()
+            more[pieces()[piece], k] *= 1 + 1e-6
+            _, up = language.expected_counts(WORDS, lang, weight, more, PATH)
+            assert (up - likelihood) / 1e-6 == pytest.approx(counts[pieces()[piece], k], rel=1e-2, abs=1e-2)
+
+
+def test_rounds_raise_the_likelihood(make):
+    docs = make([(i, t, "ab"[i % 2], None) for i, t in enumerate(two_tongues(40))])
+    words = [(b" " + w, "ab".index(r["lang"])) for r in docs.collect() for w in language.lower_words(r["text"])]
+    known = sorted({w for w, _ in words})
+    reached = []
+    for rounds in (1, 2, 4, language.ROUNDS):
+        langs, log_p = language.train(docs, PATH, F.lit(True), rounds=rounds)
+        per_word = dict(zip(known, language.word_scores(known, log_p, PATH), strict=True))
+        reached.append(sum(per_word[w][k] for w, k in words))
+    assert langs == ["a", "b"] and reached == sorted(reached) and reached[-1] > reached[0] + 100
 
 
 def test_languages_on_held_out_texts(make):
@@ -204,10 +232,10 @@ def test_languages_on_held_out_texts(make):
     assert all(r["lang_pred"] == rows[r["doc_id"]][2] and 0.5 <= r["score"] <= 1 for r in got)
 
 
-def test_languages_of_odd_rows(odd, none):
+def test_languages_of_odd_rows(odd, odd_rows, none):
     got = language.identify(odd, language.train(odd, PATH, F.lit(True)), PATH).collect()
     assert {(r["lang_pred"], r["score"]) for r in got if r["text"] is None or not any(map(str.isalpha, r["text"]))} == {("und", 0.0)}
-    assert {r["lang_pred"] for r in got} <= {"en", "de", "fr", "ja", "und"}
+    assert {r["lang_pred"] for r in got} <= {"en", "de", "fr", "ja", "und"} and len(got) == len(odd_rows)
     assert language.identify(none, language.train(none, PATH, F.lit(True)), PATH).count() == 0
     assert {r["lang_pred"] for r in language.identify(odd, language.train(odd, PATH, F.lit(False)), PATH).collect()} == {"und"}
 
