@@ -20,17 +20,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.text import lower_words, written
+from barloom.llm.text import lower_words, sliced, written
 
 #: Pseudo-count of a piece in a language.
 PRIOR = 0.1
 #: Training ends when a round adds less than this share to the log likelihood, or after so many rounds.
-GAIN, ROUNDS = 1e-3, 20
+GAIN, ROUNDS = 1e-2, 20
 #: Bytes of the words that are worked on together, and distinct words that a task counts before it sends them on.
-CHUNK, COUNTED = 1 << 19, 200_000
+CHUNK, COUNTED = 1 << 18, 100_000
+#: The product of as many probabilities as such a word has bytes is no less than a double holds: it needs no rescaling.
+SHORT = 20
 #: Words up to this length keep their pieces between the two directions of training; longer ones find them twice.
 KEPT = 512
 _BITS = 20
@@ -130,6 +134,14 @@ def word_scores(words: list[bytes], log_p: np.ndarray, path: str) -> np.ndarray:
     out = np.zeros((len(words), p.shape[1]))
     for ids, chars, lengths in chunks(words):
         n = chars.shape[1]
+        if n <= SHORT:
+            alpha = np.zeros((n + 1, len(ids), p.shape[1]))
+            alpha[0] = 1
+            for start in range(n):
+                for end, rows, found in _pieces(chars, lengths, start, path):
+                    alpha[end, rows] += alpha[start, rows] * p[found]
+            out[ids] = np.log(alpha[lengths, np.arange(len(ids))])
+            continue
         size = min(wide, n + 1)
         window = np.zeros((size, len(ids), p.shape[1]))
         window[0] = 1
@@ -152,6 +164,22 @@ def expected_counts(words: list[bytes], lang: np.ndarray, weight: np.ndarray, p:
     total, likelihood = np.zeros(p.shape), 0.0
     for ids, chars, lengths in chunks(words):
         n, rows_of, own = chars.shape[1], np.arange(len(ids)), lang[ids]
+        if n <= SHORT:
+            known = [(start, end, rows, found, p[found, own[rows]]) for start in range(n) for end, rows, found in _pieces(chars, lengths, start, path)]
+            alpha, beta = np.zeros((n + 1, len(ids))), np.zeros((n + 1, len(ids)))
+            alpha[0] = beta[lengths, rows_of] = 1
+            for start, end, rows, _, q in known:
+                alpha[end, rows] += alpha[start, rows] * q
+            # from the last start down; the pieces of one start in any order
+            for start, end, rows, _, q in reversed(known):
+                beta[start, rows] += beta[end, rows] * q
+            whole = alpha[lengths, rows_of]
+            likelihood += float((weight[ids] * np.log(whole)).sum())
+            each = weight[ids] / whole
+            at = np.concatenate([found * p.shape[1] + own[rows] for _, _, rows, found, _ in known])
+            share = np.concatenate([alpha[start, rows] * q * beta[end, rows] * each[rows] for start, end, rows, _, q in known])
+            total += np.bincount(at, share, total.size).reshape(total.shape)
+            continue
         kept = [list(_pieces(chars, lengths, start, path)) for start in range(n)] if n <= KEPT else None
         pieces = kept.__getitem__ if kept else lambda start: _pieces(chars, lengths, start, path)  # noqa: B023
         wide = vocabulary(path)[1] + 1
@@ -185,22 +213,26 @@ def _counted(rows: DataFrame) -> DataFrame:
     """(lang, word, n) of (lang, text): how often each language has each word, with a space before it as in running
     text. A language without words has one row without a word."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(found: Counter) -> pd.DataFrame:
-            return pd.DataFrame([(lang, w, n) for (lang, w), n in found.items()], columns=["lang", "word", "n"])
-
-        found: Counter = Counter()
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                found[lang, None] += 0
-                for w, n in Counter(lower_words(text)).items():
-                    found[lang, b" " + w] += n
-                if len(found) > COUNTED:
-                    yield out(found)
-                    found = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: dict[str, Counter]) -> pa.RecordBatch:
+            langs, words = [], []
+            for lang, own in found.items():
+                langs += [lang] * (len(own) + 1)
+                words += [*own, None]
+            n = [x for own in found.values() for x in (*own.values(), 0)]
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+
+        found: dict[str, Counter] = {}
+        for batch in sliced(batches, 1):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found.setdefault(lang, Counter()).update(lower_words(text.as_py()))
+            if sum(map(len, found.values())) > COUNTED:
+                yield out(found)
+                found = {}
         yield out(found)
 
-    return rows.mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return counted.withColumn("word", F.concat(F.lit(b" "), "word"))
 
 
 def train(docs: DataFrame, path: str, where: Column, text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -249,27 +281,29 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, te
     """docs with lang_pred and score, the posterior probability of that language among those learnt,
     all alike before. und with score 0 for a null text, one without a letter, and if nothing was
     learnt. Equally likely languages give the first in order. Whole texts are scored, whole words too. Rows
-    that repeat are scored alike; columns named lang_pred, score or _found are replaced; an empty table
+    that repeat are scored alike; columns named lang_pred or score are replaced; an empty table
     gives an empty table."""
     langs, log_p = model
     shared = docs.sparkSession.sparkContext.broadcast(log_p)  # pieces x languages, whatever the corpus
-
-    @F.pandas_udf("lang_pred string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = []
-            for at in range(0, len(texts), 1000):
-                part = list(texts.iloc[at : at + 1000])
-                index: dict[bytes, int] = {}
-                per_text = [[index.setdefault(b" " + w, len(index)) for w in lower_words(t)] for t in part]
-                per_word = word_scores(list(index), shared.value, path) if langs else None
-                for text, own in zip(part, per_text, strict=True):
-                    if not langs or text is None or not any(map(str.isalpha, text)):
-                        out.append(("und", 0.0))
-                        continue
-                    total = per_word[own].sum(0)
-                    best = int(total.argmax())
-                    out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
-
-    return docs.withColumn("_found", run(F.col(text_col))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    rows = docs.drop("lang_pred", "score")
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, at):
+            index: dict[bytes, int] = {}
+            texts = [t.as_py() for t in batch.column(at)]
+            per_text = [[index.setdefault(b" " + w, len(index)) for w in lower_words(t)] for t in texts]
+            per_word = word_scores(list(index), shared.value, path) if langs else None
+            found, score = [], []
+            for text, own in zip(texts, per_text, strict=True):
+                if not langs or text is None or not any(map(str.isalpha, text)):
+                    found.append("und")
+                    score.append(0.0)
+                    continue
+                total = per_word[own].sum(0)
+                best = int(total.argmax())
+                found.append(langs[best])
+                score.append(float(1 / np.exp(total - total[best]).sum()))
+            yield batch.append_column("lang_pred", pa.array(found, pa.string())).append_column("score", pa.array(score, pa.float64()))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
