@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barloom.operators.panel import by_symbol, full
-from barloom.operators.scaling import avg_rank, beside, group_stats, pct_rank, with_rank, with_ranks
+from barloom.operators.scaling import avg_rank, correlation, beside, group_stats, pct_rank, with_rank, with_ranks
 
 # Prior weights of the factor registry.
 PRIOR_WEIGHTS = {
@@ -219,7 +219,7 @@ def consensus_weights(
     long = long.where(F.col("v").isNotNull() & F.col("c").isNotNull())
     rk = with_ranks(long, ["factor"], {"a": "v", "b": "c"})
     ic = rk.groupBy("factor").agg(
-        F.corr(avg_rank("a"), avg_rank("b")).alias("_rho"), F.count(F.lit(1)).alias("_n")
+        correlation(avg_rank("a"), avg_rank("b")).alias("_rho"), F.count(F.lit(1)).alias("_n")
     ).withColumn("ic", F.when(F.col("_n") >= min_rows, F.greatest(F.lit(0.0), F.coalesce(F.nanvl("_rho", F.lit(0.0)), F.lit(0.0)))).otherwise(0.0))
     weight = F.lit(0.0)
     for f, p in prior.items():

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from barloom.operators.scaling import avg_rank, quantiles, reuse, with_rank, with_ranks
+from barloom.operators.scaling import avg_rank, correlation, quantiles, reuse, with_rank, with_ranks
 
 LAGS = (1, 5, 10, 20)
 
@@ -26,7 +26,7 @@ def with_forward(factors: DataFrame, bars: DataFrame, lags: Sequence[int] = LAGS
 def rank_ic(pairs: DataFrame, by: Sequence[str], min_obs: int = 5) -> DataFrame:
     """Spearman correlation of `value` and `fwd` per group; 0 when too few or constant."""
     rk = with_ranks(pairs, by, {"a": "value", "b": "fwd"})
-    g = rk.groupBy(*by).agg(F.corr(avg_rank("a"), avg_rank("b")).alias("_rho"), F.count(F.lit(1)).alias("n"))
+    g = rk.groupBy(*by).agg(correlation(avg_rank("a"), avg_rank("b")).alias("_rho"), F.count(F.lit(1)).alias("n"))
     ic = F.when(F.col("n") >= min_obs, F.coalesce(F.nanvl("_rho", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
     return g.select(*by, "n", ic.alias("ic"))
 

@@ -127,6 +127,11 @@ def pct_rank(prefix: str = "rk") -> Column:
     return avg_rank(prefix) / F.col(f"{prefix}_total")
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation as an aggregate; null where one side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group as columns, from running counts."""
     vc = value_counts(df, by, value)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import cross_section as X, portfolio as P
+from barloom.operators import cross_section as X, market as M, portfolio as P, signals as S
 from barloom.operators.scaling import reuse
+from barloom.plans import signals as _signals  # noqa: F401  its views come first
+from barloom.plans.aggregates import event_sources
 from barloom.plans.registry import R, Rs, avgrank, cte, full, over, pctrank, query, r, rounded, sql, zsql
 
 # Latest 21 rows per symbol and the raw price factors.
@@ -91,15 +93,20 @@ cte(
 _TILT = "CASE " + " ".join(f"WHEN regime='{g}' AND cls='{c}' THEN {t}e0" for g, ts in X.REGIME_TILT.items() for c, t in ts.items() if t) + " ELSE 0e0 END"
 
 
-@query("x09_macro_tilt", sql("macro industry", f"SELECT month, regime, l1, {_TILT} AS tilt FROM macro CROSS JOIN (SELECT DISTINCT l1, {_CLS} AS cls FROM industry)"))
-def _(v):
+def regimes(v):
+    """Macro regime of each month."""
     n = F.count(F.lit(1))
     m = v.table("orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(
         (100.0 * F.count(F.when(F.col("o_orderpriority") < "3", 1)) / n + 10).alias("pmi"),
         (30.0 * F.count(F.when(F.col("o_orderstatus") == "F", 1)) / n).alias("m2"),
         (9.0 * F.count(F.when(F.col("o_orderstatus") == "P", 1)) / n).alias("cpi"),
     )
-    m = m.select("month", X.macro_regime(F.col("pmi"), F.col("m2"), F.col("cpi")).alias("regime"))
+    return m.select("month", X.macro_regime(F.col("pmi"), F.col("m2"), F.col("cpi")).alias("regime"))
+
+
+@query("x09_macro_tilt", sql("macro industry", f"SELECT month, regime, l1, {_TILT} AS tilt FROM macro CROSS JOIN (SELECT DISTINCT l1, {_CLS} AS cls FROM industry)"))
+def _(v):
+    m = regimes(v)
     cls = F.create_map(*[F.lit(x) for kv in CLASS.items() for x in kv])
     m = m.withColumn("l1", F.explode(F.array(*[F.lit(k) for k in CLASS])))  # five fixed classes
     return m.withColumn("tilt", X.macro_tilt(F.col("regime"), F.element_at(cls, F.col("l1"))))
@@ -149,23 +156,31 @@ def _(v):
 
 # --- fusion ---------------------------------------------------------------------------------
 
-FACTORS = ("momentum", "quality", "valuation", "liquidity", "volatility", "moneyflow")
+FACTORS = tuple(X.PRIOR_WEIGHTS)
+cte("macd_last", "SELECT symbol, arg_max(score, trade_date) AS macd_raw FROM sigf GROUP BY symbol", "sigf")
+cte("regime_last", "SELECT arg_max(regime, month) AS regime FROM macro", "macro")
+_Z = {"macd": "macd_raw", "momentum": "momentum_raw", "quality": "quality_raw", "liquidity": "liquidity_raw", "volatility": "volatility_raw", "moneyflow": "m", "top_trader": "t", "financial_forward": "forward_raw", "event_driven": "event_score", "news_sentiment": "sent"}
 cte(
     "zf",
-    f"""SELECT p.symbol, p.l1, {zsql('momentum_raw', 'p.l1')} AS momentum, {zsql('quality_raw', 'p.l1')} AS quality,
-    -({zsql('pec', 'p.l1')}+{zsql('pbc', 'p.l1')})/2 AS valuation, {zsql('liquidity_raw', 'p.l1')} AS liquidity,
-    {zsql('volatility_raw', 'p.l1')} AS volatility, {zsql('m', 'p.l1')} AS moneyflow
-    FROM price_factors p JOIN qv ON p.symbol=qv.symbol JOIN mf ON p.symbol=mf.symbol""",
+    f"""SELECT symbol, l1, {', '.join(f'{zsql(c, "l1")} AS {f}' for f, c in _Z.items())}, -({zsql('pec', 'l1')}+{zsql('pbc', 'l1')})/2 AS valuation,
+    {_TILT.replace('cls', _CLS)} AS macro FROM (SELECT p.*, quality_raw, pec, pbc, m, t, forward_raw, event_score, macd_raw, regime, (f.roe-5)*0.7e0+ln(1+f.n_trades)*0.3e0 AS sent
+    FROM price_factors p JOIN qv ON p.symbol=qv.symbol JOIN mf ON p.symbol=mf.symbol JOIN tt ON p.symbol=tt.symbol JOIN forward_raw f ON p.symbol=f.symbol
+    LEFT JOIN evs ON p.symbol=evs.symbol LEFT JOIN macd_last ON p.symbol=macd_last.symbol CROSS JOIN regime_last)""",
     "price_factors",
     "qv",
     "mf",
+    "tt",
+    "forward_raw",
+    "evs",
+    "macd_last",
+    "regime_last",
 )
 _SUM = "+".join(FACTORS)
 _PRIOR = " ".join(f"WHEN '{k}' THEN {w}e0" for k, w in X.PRIOR_WEIGHTS.items())
 _REST = sum(w for k, w in X.PRIOR_WEIGHTS.items() if k not in FACTORS)
 cte(
     "icw",
-    f"""SELECT factor, greatest(0e0, coalesce(corr(ra, rb),0)) AS ic FROM (SELECT factor, {avgrank('v', 'factor')} AS ra, {avgrank('c', 'factor')} AS rb FROM ("""
+    f"""SELECT factor, greatest(0e0, CASE WHEN stddev_pop(ra)>0 AND stddev_pop(rb)>0 THEN corr(ra, rb) ELSE 0 END) AS ic FROM (SELECT factor, {avgrank('v', 'factor')} AS ra, {avgrank('c', 'factor')} AS rb FROM ("""
     + " UNION ALL ".join(f"SELECT '{f}' AS factor, {f} AS v, ({_SUM}-{f})/{len(FACTORS) - 1} AS c FROM zf" for f in FACTORS)
     + ")) GROUP BY factor",
     "zf",
@@ -179,9 +194,18 @@ cte(
 
 
 def z_factors(v):
-    df = price_factors(v).join(X.quality(v.fund).drop("l1", "l2", "name"), "symbol")
-    df = df.join(X.flow_sums(v.daily_flow), "symbol").withColumn("moneyflow_raw", X.moneyflow_raw())
-    df = X.zscore(df, ["l1"], {f: f"{f}_raw" for f in FACTORS if f != "valuation"})
+    """All weighted factors of each symbol, as z-scores within the industry; the macro tilt is its own scale."""
+    growth, cls = F.col("revenue_growth"), F.create_map(*[F.lit(x) for kv in CLASS.items() for x in kv])
+    kind = F.when(growth > 40, "预增").when(growth > 35, "略增").when(growth > 30, "略减").otherwise("首亏")
+    f = v.fund.withColumn("surprise", X.surprise_score(kind)).withColumn("analyst", X.consensus(growth, F.col("net_profit_growth"), F.col("roe")))
+    f = X.forward_factor(f).withColumn("news_sentiment_raw", X.sentiment_raw(F.col("roe") - 5, F.col("n_trades"))).select("symbol", F.col("forward_raw").alias("financial_forward_raw"), "news_sentiment_raw", F.col("n_trades").alias("_n"))
+    macd = S.signals(v.ind).groupBy("symbol").agg(F.max_by("score", "trade_date").alias("macd_raw"))
+    df = price_factors(v).join(X.quality(v.fund).drop("l1", "l2", "name"), "symbol").join(f, "symbol")
+    df = df.join(X.flow_sums(v.daily_flow), "symbol").withColumn("moneyflow_raw", X.moneyflow_raw()).withColumn("top_trader_raw", X.top_trader_raw(F.col("flow_20") / 1e4, F.col("_n")))
+    df = df.join(M.event_score(event_sources(v)).select("symbol", F.col("event_score").alias("event_driven_raw")), "symbol", "left").join(macd, "symbol", "left")
+    df = X.zscore(df, ["l1"], {f: f"{f}_raw" for f in FACTORS if f not in ("valuation", "macro")})
+    now = F.lit(regimes(v).agg(F.max_by("regime", "month")).scalar())
+    df = df.withColumn("macro", X.macro_tilt(now, F.element_at(cls, F.col("l1"))))
     return reuse(X.valuation(df, ["l1"]).select("symbol", "l1", *FACTORS))
 
 
