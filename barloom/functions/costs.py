@@ -28,6 +28,7 @@ TIER_THRESHOLD = (0.005, 0.01, 0.01, 0.02)
 TIER_CAP = (0.10, 0.05, 0.05, 0.03)
 TIER_SLIPPAGE_FLOOR = (0.0018, 0.0012, 0.0008, 0.0005)
 MIN_SLIPPAGE = 0.0005
+LIMIT_SLIPPAGE = 0.0005
 
 
 def rate_on(day: Column, segments, default: float) -> Column:
@@ -53,6 +54,14 @@ def by_tier(tier: Column, values, default: float) -> Column:
     return out
 
 
+def commission_rate(value: Column, flat: float, tiers=()) -> Column:
+    """Rate of the highest tier (from value, rate) that the value reaches; `flat` below the first."""
+    out = F.lit(flat)
+    for start, rate in sorted(tiers):
+        out = F.when(value >= start, rate).otherwise(out)
+    return out
+
+
 def transfer_fee(day: Column, main_market: Column, value: Column, shares: Column) -> Column:
     """Both markets by value since 2022; before that the main market only, by value since
     2012 and per share earlier."""
@@ -72,14 +81,18 @@ def with_costs(
     min_commission: float = 5.0,
     slippage: float = 0.001,
     all_in_commission: bool = True,
+    commission_tiers=(),
+    limit_slippage: float = LIMIT_SLIPPAGE,
 ) -> DataFrame:
     """Cost columns for trades with value, qty, adv, amount_ma20, amplitude, trade_date,
     action and main_market: commission, stamp, transfer, handling, regulator, slippage,
-    impact, total."""
+    impact, total.  With a column order_type, orders other than `market` slip by
+    `limit_slippage` (null: market); tier floors hold for both."""
     day, value, sell = F.col("trade_date"), F.col("value"), F.col("action") != "buy"
     df = trades.withColumn("_tier", liquidity_tier(F.col("amount_ma20")))
     t = F.col("_tier")
-    base = F.greatest(F.lit(slippage), by_tier(t, TIER_SLIPPAGE_FLOOR, MIN_SLIPPAGE), F.lit(MIN_SLIPPAGE))
+    asked = F.when(F.col("order_type") != "market", limit_slippage).otherwise(slippage) if "order_type" in trades.columns else F.lit(slippage)
+    base = F.greatest(asked, by_tier(t, TIER_SLIPPAGE_FLOOR, MIN_SLIPPAGE), F.lit(MIN_SLIPPAGE))
     base = base * F.when(F.col("amplitude") > 0.05, 2.0).otherwise(1.0)
     part = F.coalesce(F.least(F.greatest(F.try_divide(F.col("qty"), F.col("adv")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     thr = by_tier(t, TIER_THRESHOLD, 0.01)
@@ -87,7 +100,7 @@ def with_costs(
     stamp_due = sell | (day < F.lit(STAMP_BOTH_SIDES_BEFORE).cast("date"))
     extra = 0.0 if all_in_commission else 1.0
     parts = {
-        "commission": F.greatest(value * commission, F.lit(min_commission)),
+        "commission": F.greatest(value * commission_rate(value, commission, commission_tiers), F.lit(min_commission)),
         "stamp": F.when(stamp_due, value * rate_on(day, STAMP, 0.0005)).otherwise(0.0),
         "transfer": transfer_fee(day, F.col("main_market"), value, F.col("qty")),
         "handling": value * rate_on(day, HANDLING, 0.0000341) * extra,

@@ -5,6 +5,7 @@ table that can be extended without code."""
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -212,8 +213,14 @@ def cci_analysis(df: DataFrame) -> DataFrame:
 # --- long-position ladder -------------------------------------------------------------------
 
 
-def bull_score(df: DataFrame, full_bull=85, accelerating=65, oscillating=45) -> DataFrame:
-    """Trend skeleton 40, attack 30, perfection 10, tolerance 20, and the veto checks."""
+# Marks of special treatment in an instrument's name.
+SPECIAL_MARKS = ("ST", "*")
+
+
+def bull_score(df: DataFrame, full_bull=85, accelerating=65, oscillating=45, name: str | None = None) -> DataFrame:
+    """Trend skeleton 40, attack 30, perfection 10, tolerance 20, and the veto checks: thin
+    volume, a broken skeleton and, where `name` says which column names the instrument,
+    special treatment (a null name has none)."""
     m = lambda p: F.col(f"ma_{p}")
     lag = lambda c, n: F.lag(c, n).over(by_symbol())
     yes = lambda cond, pts: F.when(F.coalesce(cond, F.lit(False)), pts).otherwise(0)
@@ -230,7 +237,10 @@ def bull_score(df: DataFrame, full_bull=85, accelerating=65, oscillating=45) ->
     perfect = F.least(F.lit(10), yes(m(5) > m(10), 5) + yes(m(10) > m(20), 3) + yes(m(20) > m(30), 2) + yes(c > F.greatest(m(5), m(10), m(20)), 2))
     conv = F.abs(m(5) - m(10)) / F.greatest(m(5), m(10))
     tolerance = F.when(F.coalesce(conv < 0.03, F.lit(False)), 10).when(F.coalesce(conv < 0.05, F.lit(False)), 5).otherwise(0) + yes((F.col("volume") < F.col("_v5") * 0.8) & (c > m(20)), 10)
-    veto = F.when(F.col("volume") < F.col("_v120") * 0.2, "thin_volume").when(F.coalesce(m(30) < m(60), F.lit(False)), "broken_skeleton").otherwise("")
+    veto = F.when(F.col("volume") < F.col("_v120") * 0.2, "thin_volume").when(F.coalesce(m(30) < m(60), F.lit(False)), "broken_skeleton")
+    if name:
+        veto = veto.when(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(name), F.lit(x)), F.lit(False)) for x in SPECIAL_MARKS]), "special_treatment")
+    veto = veto.otherwise("")
     df = df.withColumns({"skeleton": skeleton, "attack": attack, "perfect": perfect, "tolerance": tolerance, "veto": veto})
     df = df.withColumn("bull_score", F.when(F.col("veto") != "", 0).otherwise(F.col("skeleton") + F.col("attack") + F.col("perfect") + F.col("tolerance")))
     s = F.col("bull_score")
@@ -245,6 +255,8 @@ NAMED = {
     "engulfing": ("strong", "b1 < 0 AND b > 0 AND o <= c1 AND c >= o1 AND b > -b1", "b1 > 0 AND b < 0 AND o >= c1 AND c <= o1 AND -b > b1"),
     "morning_star": ("strong", "b2 < -avg_body AND abs(b1) < avg_body * 0.5 AND greatest(o1, c1) < c2 AND b > 0 AND c > (o2 + c2) / 2", "false"),
     "evening_star": ("strong", "false", "b2 > avg_body AND abs(b1) < avg_body * 0.5 AND least(o1, c1) > c2 AND b < 0 AND c < (o2 + c2) / 2"),
+    "morning_doji_star": ("strong", "b2 < -avg_body AND abs(b1) <= avg_range * 0.1 AND greatest(o1, c1) < c2 AND b > 0 AND c > (o2 + c2) / 2", "false"),
+    "evening_doji_star": ("strong", "false", "b2 > avg_body AND abs(b1) <= avg_range * 0.1 AND least(o1, c1) > c2 AND b < 0 AND c < (o2 + c2) / 2"),
     "abandoned_baby": ("strong", "b2 < -avg_body AND abs(b1) <= (h1 - l1) * 0.1 AND h1 < l2 AND b > 0 AND l > h1", "b2 > avg_body AND abs(b1) <= (h1 - l1) * 0.1 AND l1 > h2 AND b < 0 AND h < l1"),
     "hikkake": ("strong", "h2 < h3 AND l2 > l3 AND h1 < h2 AND l1 < l2 AND c > h2", "h2 < h3 AND l2 > l3 AND h1 > h2 AND l1 > l2 AND c < l2"),
     "dark_cloud_cover": ("medium", "false", "b1 > avg_body AND b < 0 AND o > h1 AND c < (o1 + c1) / 2 AND c > o1"),

@@ -159,28 +159,29 @@ def _tier(vals, default):
     return "CASE tier " + " ".join(f"WHEN {i} THEN CAST({x} AS DOUBLE)" for i, x in enumerate(vals)) + f" ELSE CAST({default} AS DOUBLE) END"
 
 
-cte(
-    "cst",
-    f"""SELECT *, greatest(value*0.0003e0,5e0) AS commission, CASE WHEN action<>'buy' OR trade_date<DATE '2008-09-19' THEN value*{_seg(C.STAMP, 0.0005)} ELSE 0e0 END AS stamp,
+def _cost_sql(rate="0.0003e0", slip="0.001e0"):
+    return f"""SELECT *, greatest(value*{rate},5e0) AS commission, CASE WHEN action<>'buy' OR trade_date<DATE '2008-09-19' THEN value*{_seg(C.STAMP, 0.0005)} ELSE 0e0 END AS stamp,
     CASE WHEN trade_date>=DATE '2022-04-29' THEN value*{_seg(C.TRANSFER, 0.00001)} WHEN NOT main_market THEN 0e0 WHEN trade_date>=DATE '2012-09-01' THEN value*{_seg(C.TRANSFER, 0.00001)} ELSE qty*0.001e0 END AS transfer,
-    0e0 AS handling, 0e0 AS regulator, value*greatest(0.001e0,{_tier(C.TIER_SLIPPAGE_FLOOR, 0.0005)})*CASE WHEN amplitude>0.05 THEN 2 ELSE 1 END AS slippage,
+    0e0 AS handling, 0e0 AS regulator, value*greatest({slip},{_tier(C.TIER_SLIPPAGE_FLOOR, 0.0005)})*CASE WHEN amplitude>0.05 THEN 2 ELSE 1 END AS slippage,
     value*CASE WHEN part>{_tier(C.TIER_THRESHOLD, 0.01)} THEN least({_tier(C.TIER_IMPACT_BASE, 0.002)}*pow(part/({_tier(C.TIER_THRESHOLD, 0.01)}),1.5e0),{_tier(C.TIER_CAP, 0.05)}) ELSE 0e0 END AS impact
     FROM (SELECT t.*, amplitude, l1<>'ASIA' AS main_market, coalesce(least(greatest(qty/nullif(adv,0),0),1e0),0e0) AS part,
     CASE WHEN amount_ma20>0 THEN CASE WHEN amount_ma20<5e6 THEN 0 WHEN amount_ma20<2e7 THEN 1 WHEN amount_ma20<1e8 THEN 2 ELSE 3 END ELSE -1 END AS tier
-    FROM trades t JOIN adv USING (symbol, trade_date) JOIN industry USING (symbol))""",
-    "trades",
-    "adv",
-    "industry",
-)
+    FROM trades t JOIN adv USING (symbol, trade_date) JOIN industry USING (symbol))"""
+
+
+COMMISSION_TIERS = ((10_000, 0.00025), (30_000, 0.0002), (60_000, 0.00015))
+_TIERED = "CASE " + " ".join(f"WHEN value>={s} THEN CAST({x} AS DOUBLE)" for s, x in reversed(COMMISSION_TIERS)) + " ELSE 0.0003e0 END"
+cte("cst", _cost_sql(), "trades", "adv", "industry")
+cte("cst_t", _cost_sql(_TIERED, "CASE WHEN discount>=0.05 THEN 0.0005e0 ELSE 0.001e0 END"), "trades", "adv", "industry")
 
 
-def costed(v, day=None):
+def costed(v, order_type=None, **terms):
     b = v.raw.select(
         "symbol", "trade_date", pfull(F.avg("amount"), 20, src="amount", to=-1).alias("amount_ma20"), pfull(F.avg("volume"), 20, src="volume", to=-1).alias("adv"),
         ((F.col("high") - F.col("low")) / F.col("close")).alias("amplitude"),
     )
     t = v.trades.join(b, ["symbol", "trade_date"]).join(v.industry.select("symbol", (F.col("l1") != "ASIA").alias("main_market")), "symbol")
-    return C.with_costs(t)
+    return C.with_costs(t if order_type is None else t.withColumn("order_type", order_type), **terms)
 
 
 _TOT = "+".join(C.COST_PARTS)
@@ -191,6 +192,13 @@ def _(v):
     return rounded(costed(v).select("symbol", "seq", "tier", *C.COST_PARTS, "total"), *C.COST_PARTS, "total", d=4)
 
 
+@query("c30_tiered_limit_orders", sql("cst_t", f"SELECT symbol, seq, tier, {Rs(' '.join(C.COST_PARTS), 4)}, {R(_TOT, 4)} AS total FROM cst_t"))
+def _(v):
+    order_type = F.when(F.col("discount") >= 0.05, "limit").otherwise("market")
+    df = costed(v, order_type, commission_tiers=COMMISSION_TIERS)
+    return rounded(df.select("symbol", "seq", "tier", *C.COST_PARTS, "total"), *C.COST_PARTS, "total", d=4)
+
+
 @query("a26_cost_breakdown", sql("cst", " UNION ALL ".join(f"SELECT '{c}' AS component, {R(f'sum({c})', 2)} AS amount, {R(f'sum({c})/sum({_TOT})')} AS share FROM cst" for c in C.COST_PARTS)))
 def _(v):
     df = C.cost_summary(costed(v))

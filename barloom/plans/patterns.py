@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from barloom.operators import patterns as P, trend
 from barloom.plans.registry import R, cte, full, lag, over, query, rounded, sql
@@ -140,14 +141,27 @@ cte(
     CASE WHEN volume<v120*0.2 THEN 'thin_volume' WHEN coalesce(ma_30<ma_60,false) THEN 'broken_skeleton' ELSE '' END AS veto FROM bs0""",
     "bs0",
 )
-cte("bs2", "SELECT *, CASE WHEN veto<>'' THEN 0 ELSE skeleton+attack+perfect+tolerance END AS bull_score FROM bs1", "bs1")
-cte("bs3", "SELECT symbol, trade_date, skeleton, attack, perfect, tolerance, veto, bull_score, CASE WHEN bull_score>=85 THEN 'full_bull' WHEN bull_score>=65 THEN 'accelerating' WHEN bull_score>=45 THEN 'oscillating' ELSE 'watch' END AS bull_level FROM bs2", "bs2")
+cte("bs1n", "SELECT b.* REPLACE (CASE WHEN veto='' AND (contains(n, 'ST') OR contains(n, '*')) THEN 'special_treatment' ELSE veto END AS veto) FROM bs1 b LEFT JOIN (SELECT symbol, l1||' '||name AS n FROM industry) USING (symbol)", "bs1", "industry")
+for _src, _out in (("bs1", "bs3"), ("bs1n", "bs3n")):
+    cte(
+        _out,
+        f"""SELECT symbol, trade_date, skeleton, attack, perfect, tolerance, veto, bull_score, CASE WHEN bull_score>=85 THEN 'full_bull' WHEN bull_score>=65 THEN 'accelerating' WHEN bull_score>=45 THEN 'oscillating' ELSE 'watch' END AS bull_level
+        FROM (SELECT *, CASE WHEN veto<>'' THEN 0 ELSE skeleton+attack+perfect+tolerance END AS bull_score FROM {_src})""",
+        _src,
+    )
+_BULL = ("symbol", "trade_date", "skeleton", "attack", "perfect", "tolerance", "veto", "bull_score", "bull_level")
 
 
 @query("w36_bull_score", sql("bs3", "SELECT * FROM bs3"))
 def _(v):
     df = P.bull_score(trend.sma(trend.with_index(v.adj)))
-    return df.select("symbol", "trade_date", "skeleton", "attack", "perfect", "tolerance", "veto", "bull_score", "bull_level")
+    return df.select(*_BULL)
+
+
+@query("w36_special_treatment", sql("bs3n", "SELECT * FROM bs3n"))
+def _(v):
+    names = v.industry.select("symbol", F.concat_ws(" ", "l1", "name").alias("name"))
+    return P.bull_score(trend.sma(trend.with_index(v.adj)).join(names, "symbol", "left"), name="name").select(*_BULL)
 
 
 _WN = "OVER (PARTITION BY symbol ORDER BY trade_date)"
