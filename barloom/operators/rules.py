@@ -10,8 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from barloom.operators.panel import by_symbol, history, tail
-from barloom.operators.patterns import true
+from barloom.operators.panel import by_symbol, history, last_rows, tail
+from barloom.operators.patterns import kdj_signals, true
 
 BEAR_LADDER = "ma_5 < ma_10 AND ma_10 < ma_20 AND ma_20 < ma_30 AND ma_30 < ma_60"
 BULL_LADDER = "ma_5 > ma_10 AND ma_10 > ma_20 AND ma_20 > ma_30 AND ma_30 > ma_60"
@@ -153,6 +153,53 @@ def apply_rules(df: DataFrame, rules=RULES, position_rules=POSITION_RULES) -> Da
     return df.withColumn("position_adjust", adjust).withColumn("triggered", F.concat_ws(",", *[F.when(F.col(f"_{i}"), i) for i in ids])).drop(*[f"_{i}" for i in ids])
 
 
+def _fold_gate(df: DataFrame, rules, score: Column) -> tuple[DataFrame, Column]:
+    """Flags `_<id>` of the rules in order, and the running score after them.  A rule that reads
+    the score sees it as the rules before left it."""
+    for r in sorted(rules, key=lambda r: (r.gate, r.priority, r.id)):
+        if "score0" in r.when:
+            df = df.withColumn("score0", score)
+        df = df.withColumn(f"_{r.id}", true(r.when))
+        hit = F.col(f"_{r.id}")
+        step = F.when(hit, F.col("momentum_score") / 2 * -1 if r.special == "half_momentum" else F.lit(float(r.score))).otherwise(0.0)
+        if r.score or r.special == "half_momentum":
+            score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score + step))
+    return df, score
+
+
+def gated_score(df: DataFrame, rules=RULES, position_rules=POSITION_RULES) -> DataFrame:
+    """The daily score behind its gates, from a rule panel that has `daily_score`, `div_type` and
+    chips: entry rules, then veto rules, both from a score of zero.  A risk of HIGH stops the row
+    there, with the score and level that the rules gave.  Others take the chip step, the rules
+    of the third gate, the daily score and its level, and position rules that read both.
+    Adds gated_score, gated_risk, gated_level, stopped, position_adjust and triggered."""
+    gates = {g: [r for r in rules if r.gate == g] for g in (1, 2, 3)}
+    df, score = _fold_gate(df.withColumn("risk0", F.lit("NONE")), gates[1] + gates[2], F.lit(0.0))
+    hit = lambda rs: reduce(lambda a, b: a | b, [F.col(f"_{r.id}") for r in rs], F.lit(False))
+    vetoes = gates[1] + gates[2]
+    risk = F.when(hit([r for r in vetoes if r.risk == "HIGH"]), "HIGH").when(hit([r for r in vetoes if r.risk == "MEDIUM"]), "MEDIUM").otherwise("NONE")
+    marked = F.when(hit([r for r in vetoes if r.level == "D"]), "D").otherwise("C")
+    df = df.withColumns({"_s2": score, "_r2": risk, "_l2": marked}).withColumn("stopped", F.col("_r2") == "HIGH")
+    c = F.col
+    chips = F.coalesce(chip_risk(c("_r2"), c("regime"), c("close"), c("winner"), c("cost5"), c("cost50"), c("cost95")), c("_r2"))
+    df = df.withColumn("risk0", F.when(c("stopped"), "HIGH").otherwise(chips))
+    df, _ = _fold_gate(df, gates[3], c("_s2"))
+    score = F.when(c("stopped"), c("_s2")).otherwise(c("daily_score"))
+    df = df.withColumn("score0", score).withColumn("risk1", c("risk0"))
+    level = F.when((c("risk0") == "HIGH") | (c("div_type") == "top"), "D").when(c("score0") >= 80, "A").when(c("score0") >= 60, "B").otherwise("C")
+    adjust = F.lit(0.0)
+    for i, when, a in position_rules:
+        df = df.withColumn(f"_{i}", true(when) & ~c("stopped"))
+        adjust = F.when(c(f"_{i}"), a).otherwise(adjust)
+    later = [r.id for r in sorted(gates[3], key=lambda r: (r.priority, r.id))]
+    names = [F.when(c(f"_{r.id}"), r.id) for r in sorted(vetoes, key=lambda r: (r.gate, r.priority, r.id))]
+    names += [F.when(c(f"_{i}") & ~c("stopped"), i) for i in later] + [F.when(c(f"_{i}"), i) for i, _, _ in position_rules]
+    df = df.withColumns(
+        {"gated_score": c("score0").cast("double"), "gated_risk": c("risk0"), "gated_level": F.when(c("stopped"), c("_l2")).otherwise(level), "position_adjust": adjust, "triggered": F.concat_ws(",", *names)}
+    )
+    return df.drop("_s2", "_r2", "_l2", *[f"_{r.id}" for r in vetoes + gates[3]], *[f"_{i}" for i, _, _ in position_rules])
+
+
 def chip_risk(risk: Column, regime: Column, close: Column, winner: Column, cost5: Column, cost50: Column, cost95: Column) -> Column:
     """Risk raised by holder profit, resistance and concentration, checked in that order."""
     calm = lambda r: r.isin("NONE", "LOW")
@@ -268,3 +315,44 @@ def opportunity(strong: Column, volume_score: Column, amplify: Column, shrink: C
         "opportunity_score": F.greatest(F.lit(0.0), 100 * (1 - F.least(F.lit(1.0), age / valid))),
         "urgency": F.when(left <= 0, "expired").when(left <= 3, "urgent").when(left <= 7, "high").when(left <= 14, "medium").otherwise("low"),
     }
+
+
+# KDJ signals that count as buys; the first signal of a bar speaks, any other one is a sell.
+BUY_SIGNALS = ("extreme_j_reversal", "bottom_divergence_cross", "trend_confirmation_cross", "oversold_cross")
+
+
+def recommendation(breakout: Column, rising: Column, sells: Column, volume_score: Column) -> Column:
+    """What to do with a confirmed double bottom, one step lower where volume is poor."""
+    by_sells = lambda none, one: F.when(sells == 0, none).when(sells == 1, one).otherwise("wait")
+    base = F.when(breakout & rising, by_sells("strong_buy", "cautious_buy")).when(breakout, by_sells("buy", "cautious_buy")).otherwise(by_sells("potential_buy", "wait"))
+    eager = base.isin("strong_buy", "buy")
+    return (
+        F.when((base != "wait") & (volume_score < 30), "low_volume_wait").when((base != "wait") & (volume_score < 50), "low_volume_caution")
+        .when(eager & (volume_score < 70), "fair_volume_buy").otherwise(base)
+    )
+
+
+def double_bottom_signals(df: DataFrame, recent_days: int | None = None) -> DataFrame:
+    """Double bottoms with their opportunity window as of each symbol's last bar: days valid and
+    left, urgency, age class, sell signals, breakout over the neckline and a recommendation.
+    `recent_days` keeps patterns whose second valley is that many days old at most."""
+    k = kdj_signals(df).withColumn("_rise", F.coalesce(F.col("ma_60") > F.lag("ma_60").over(by_symbol()), F.lit(False)))
+    last = last_rows(k.select("symbol", "trade_date", "close", "kdj_signals", "_rise")).withColumnsRenamed({"trade_date": "as_of", "close": "last_close"})
+    first = F.split_part("kdj_signals", F.lit(","), F.lit(1))
+    last = last.withColumn("sell_signals", F.when((first == "") | first.isin(*BUY_SIGNALS), 0).otherwise(1)).drop("kdj_signals")
+    p = double_bottoms(df).join(last, "symbol")
+    if recent_days is not None:
+        p = p.where(F.col("valley2") >= F.date_sub("as_of", recent_days))
+    c = F.col
+    p = p.withColumn("age_days", F.datediff("as_of", "signal_date"))
+    p = p.withColumns(opportunity(F.lit(True), c("volume_score"), c("breakout_amplify"), c("valley_shrink"), c("sell_signals"), c("age_days")))
+    over = c("last_close") - c("neckline")
+    age = c("age_days")
+    p = p.withColumns(
+        {
+            "valid_until": F.date_add("signal_date", c("valid_days")),
+            "age_class": F.when(age <= 3, "fresh").when(age <= 7, "recent").when(age <= 14, "medium").when(age <= 30, "older").otherwise("stale"),
+            "breakout": F.when(over > 0.05 * c("neckline"), "strong").when(over > 0, "weak").otherwise("none"),
+        }
+    )
+    return p.withColumn("recommendation", recommendation(c("breakout") != "none", c("_rise"), c("sell_signals"), c("volume_score"))).drop("_rise")

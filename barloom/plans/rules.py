@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import cross_section as X, panel, rules as U, signals as S, trend
+from barloom.operators import cross_section as X, panel, patterns as P, rules as U, signals as S, trend
 from barloom.operators.panel import tail
 from barloom.plans.registry import R, cte, full, lag, lead, over, query, r, rounded, sql
 
@@ -13,12 +13,16 @@ _MIN = "PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING
 
 # Chip columns from the last 120 closes, money flow from the trades, weekly state one week back.
 cte("wkb", "SELECT symbol, CAST(date_trunc('week', trade_date) AS DATE) AS week, lag(dif>dea) OVER (PARTITION BY symbol ORDER BY trade_date) AS week_bull FROM wk_e", "wk_e")
+# A symbol whose shares came back in over 35 % of a month's volume has a forecast in the next month.
+cte("fcst", "SELECT symbol, CAST(date_trunc('month', trade_date)+INTERVAL 1 MONTH AS DATE) AS month FROM trades GROUP BY 1,2 HAVING sum(qty) FILTER (action='sell')>0.35*sum(qty)", "trades")
 cte(
     "rin0",
-    f"""SELECT s.*, k.kdj_k, k.kdj_d, {{kx}} FROM sigf s JOIN kdj k USING (symbol, trade_date)""".replace("{kx}", "coalesce(f.net,0e0) AS net, w.week_bull, m.regime AS macro")
+    f"""SELECT s.*, k.kdj_k, k.kdj_d, {{kx}} FROM sigf s JOIN kdj k USING (symbol, trade_date)""".replace("{kx}", "coalesce(f.net,0e0) AS net, w.week_bull, m.regime AS macro, fc.symbol IS NOT NULL AS has_forecast")
     + """ LEFT JOIN daily_flow f USING (symbol, trade_date) LEFT JOIN wkb w ON w.symbol=s.symbol AND w.week=CAST(date_trunc('week', s.trade_date) AS DATE)
-    LEFT JOIN macro m ON m.month=CAST(date_trunc('month', s.trade_date) AS DATE)""",
+    LEFT JOIN macro m ON m.month=CAST(date_trunc('month', s.trade_date) AS DATE)
+    LEFT JOIN fcst fc ON fc.symbol=s.symbol AND fc.month=CAST(date_trunc('month', s.trade_date) AS DATE)""",
     "sigf",
+    "fcst",
     "kdj",
     "daily_flow",
     "wkb",
@@ -27,7 +31,7 @@ cte(
 cte("rin1", f"SELECT *, 100e0*len(list_filter(ch, lambda x: x<close))/len(ch) AS winner FROM (SELECT *, {over('list(close)', 120)} AS ch, {over('quantile_cont(close,0.95)', 120)} AS cost95, {over('quantile_cont(close,0.5)', 120)} AS cost50, {over('quantile_cont(close,0.05)', 120)} AS cost5 FROM rin0)", "rin0")
 cte(
     "rin2",
-    f"""SELECT * EXCLUDE (h1, h10, bull, bear, up), score_base AS score0, risk_level AS risk0, volume_price_score AS vps, false AS has_forecast,
+    f"""SELECT * EXCLUDE (h1, h10, bull, bear, up), score_base AS score0, risk_level AS risk0, volume_price_score AS vps,
     coalesce(kdj_k>kdj_d AND {lag('kdj_k')}<={lag('kdj_d')},false) AS kdj_golden, {_B('max(close)', 20)} AS hh20, {_B('max(rsi)', 19)} AS rsi19, {_B('max(volume)', 19)} AS vol19,
     {lag('macd_hist')} AS h1, {lag('macd_hist', 2)} AS h2, {lag('macd_hist', 3)} AS h3, {lag('macd_hist', 4)} AS h4, {over('avg(amount)', 5)} AS amt5, {over('avg(amount)', 20)} AS amt20,
     {over('avg(volume)', 5)} AS vol5, {over('avg(volume)', 20)} AS vol20, (high-low)/low*100 AS amp, i-{over('max(CASE WHEN macd_cross=1 THEN i END)')} AS since_golden,
@@ -90,6 +94,13 @@ def macro(v):
     return m.select("month", X.macro_regime(F.col("pmi"), F.col("m2"), F.col("cpi")).alias("macro"))
 
 
+def forecasts(v):
+    """Symbols with an earnings forecast, by the month in which it is known."""
+    month = F.add_months(F.trunc("trade_date", "month"), 1).alias("month")
+    q = v.trades.groupBy("symbol", month).agg(F.sum(F.when(F.col("action") == "sell", F.col("qty"))).alias("back"), F.sum("qty").alias("qty"))
+    return q.where("back > 0.35D * qty").select("symbol", "month", F.lit(True).alias("has_forecast"))
+
+
 def rule_inputs(v):
     s = S.signals(v.ind)
     s = trend.vol_regime(trend.kdj(s))
@@ -101,7 +112,7 @@ def rule_inputs(v):
     s = s.join(v.daily_flow, ["symbol", "trade_date"], "left").withColumn("net", F.coalesce("net", F.lit(0.0)))
     s = s.withColumn("week", F.date_trunc("week", "trade_date").cast("date")).join(w, ["symbol", "week"], "left")
     s = s.withColumn("month", F.trunc("trade_date", "month")).join(macro(v), "month", "left")
-    return U.rule_panel(s.withColumn("has_forecast", F.lit(False)))
+    return U.rule_panel(s.join(forecasts(v), ["symbol", "month"], "left").withColumn("has_forecast", F.coalesce("has_forecast", F.lit(False))))
 
 
 @query("w52_rule_engine", sql("rul", f"SELECT symbol, trade_date, {R('rule_score', 4)} AS rule_score, risk1, rule_level, {_adj()} AS position_adjust, {_TRIG} AS triggered FROM rul"))
@@ -175,21 +186,71 @@ cte("ds3", "SELECT *, greatest(0,least(lim+wv,greatest(0,least(lim,tb))+least(CA
 cte("ds4", "SELECT *, CAST(greatest(0,least(100,floor((CASE WHEN flow_bonus<>0 THEN greatest(0,least(100,s0+flow_bonus)) ELSE s0 END)*mu))) AS INT) AS daily_score FROM ds3", "ds3")
 
 
-def scored_daily(v):
-    s = S.signals(v.ind).join(flow_bonus(v), ["symbol", "trade_date"])
-    w = trend.macd(panel.weekly(v.adj))
-    w = w.select("symbol", "week", F.lag(F.col("dif") > F.col("dea")).over(panel.by_symbol()).alias("week_bull"))
-    s = s.withColumn("week", F.date_trunc("week", "trade_date").cast("date")).join(w, ["symbol", "week"], "left")
+def _daily(v, s):
+    s = s.join(flow_bonus(v), ["symbol", "trade_date"])
     a, b = F.col("dif") > F.col("dea"), F.col("week_bull")
     s = s.withColumn("multiplier", F.when(b.isNull(), 1.0).when(a & b, 1.1).when(~a & ~b, 1.0).when(a, 0.5).otherwise(0.6))
     return U.daily_score(s)
 
 
+def scored_daily(v):
+    w = trend.macd(panel.weekly(v.adj))
+    w = w.select("symbol", "week", F.lag(F.col("dif") > F.col("dea")).over(panel.by_symbol()).alias("week_bull"))
+    s = S.signals(v.ind).withColumn("week", F.date_trunc("week", "trade_date").cast("date"))
+    return _daily(v, s.join(w, ["symbol", "week"], "left"))
+
+
+def gated_daily(v):
+    return U.gated_score(_daily(v, rule_inputs(v)))
+
+
 @query("w53_daily_score", sql("ds4", "SELECT symbol, trade_date, daily_score, CASE WHEN risk_level='HIGH' OR div_type='top' THEN 'D' WHEN daily_score>=80 THEN 'A' WHEN daily_score>=60 THEN 'B' ELSE 'C' END AS daily_level FROM ds4"))
 def _(v):
     return scored_daily(v).select("symbol", "trade_date", "daily_score", "daily_level")
 
 
+_G12 = [x for x in _ORD if x.gate in (1, 2)]
+_G3 = [x for x in _ORD if x.gate == 3]
+
+
+def _run(rules, start):
+    """Hits (by id) and the running score after the rules, as SQL; the score is read where it stands."""
+    e, hits = start, {}
+    for x in rules:
+        hits[x.id] = f"coalesce({x.when.replace('score0', f'({e})')},false)"
+        if x.special == "half_momentum":
+            e = f"greatest(0e0,least(100e0,{e}-CASE WHEN {hits[x.id]} THEN momentum_score/2 ELSE 0 END))"
+        elif x.score:
+            e = f"greatest(0e0,least(100e0,{e}+CASE WHEN {hits[x.id]} THEN {x.score} ELSE 0 END))"
+    return hits, e
+
+
+_H12, _E12 = _run(_G12, "0e0")
+_any = lambda f: " OR ".join(f"h_{x.id}" for x in _G12 if f(x))
+cte("gd0", "SELECT r.* REPLACE ('NONE' AS risk0), daily_score FROM rin r JOIN (SELECT symbol, trade_date, daily_score FROM ds4) USING (symbol, trade_date)", "rin", "ds4")
+cte("gd1", f"SELECT *, {_E12} AS s2, " + ", ".join(f"{h} AS h_{i}" for i, h in _H12.items()) + " FROM gd0", "gd0")
+cte("gd2", f"SELECT *, CASE WHEN {_any(lambda x: x.risk == 'HIGH')} THEN 'HIGH' WHEN {_any(lambda x: x.risk == 'MEDIUM')} THEN 'MEDIUM' ELSE 'NONE' END AS r2, CASE WHEN {_any(lambda x: x.level == 'D')} THEN 'D' ELSE 'C' END AS l2 FROM gd1", "gd1")
+_CHIPS = """CASE WHEN r2='HIGH' THEN 'HIGH' WHEN cost95>0 AND cost5>0 AND (cost95-cost5)/greatest(cost5,0.01)<0.15 AND close>cost50 AND winner>70 THEN CASE WHEN regime IN ('WEAK_TREND','TOP_RISK') THEN 'HIGH' ELSE 'MEDIUM' END
+    WHEN r2='NONE' AND (winner>80 AND regime IN ('WEAK_TREND','TOP_RISK','UNCLEAR') OR cost95>0 AND close>=cost95*0.95 AND winner>70) THEN 'MEDIUM' ELSE r2 END"""
+cte("gd3", f"SELECT * REPLACE ({_CHIPS} AS risk0), r2='HIGH' AS stopped FROM gd2", "gd2")
+_H3, _ = _run(_G3, "s2")
+cte("gd4", "SELECT * REPLACE (CASE WHEN stopped THEN s2 ELSE daily_score END AS score0), risk0 AS risk1, " + ", ".join(f"NOT stopped AND {h} AS h_{i}" for i, h in _H3.items()) + " FROM gd3", "gd3")
+_GTRIG = "concat_ws(',', " + ", ".join([f"CASE WHEN h_{i} THEN '{i}' END" for i in (*_H12, *_H3)] + [f"CASE WHEN NOT stopped AND coalesce({c},false) THEN '{i}' END" for i, c, _ in U.POSITION_RULES]) + ")"
+
+
+@query(
+    "w53_gated_score",
+    sql(
+        "gd4",
+        f"""SELECT symbol, trade_date, {R('score0', 4)} AS gated_score, risk0 AS gated_risk, stopped, CASE WHEN stopped THEN l2 WHEN risk0='HIGH' OR div_type='top' THEN 'D' WHEN score0>=80 THEN 'A' WHEN score0>=60 THEN 'B' ELSE 'C' END AS gated_level,
+        CASE WHEN stopped THEN 0e0 ELSE {_adj()} END AS position_adjust, {_GTRIG} AS triggered FROM gd4""",
+    ),
+)
+def _(v):
+    df = gated_daily(v)
+    return df.select("symbol", "trade_date", r("gated_score", 4).alias("gated_score"), "gated_risk", "stopped", "gated_level", "position_adjust", "triggered")
+
+
 cte("dsl", "SELECT * FROM ds4 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC)=1", "ds4")
 
 
@@ -228,3 +289,46 @@ cte("db2", f"SELECT *, {lead('i')} AS ni, {lead('trade_date')} AS nd, {lead('mac
 def _(v):
     df = U.double_bottoms(trend.kdj(trend.macd(trend.sma(trend.with_index(v.adj), (60,)))))
     return rounded(df, "neckline")
+
+
+_SELL = "CASE WHEN first='' OR first IN (" + ", ".join(f"'{x}'" for x in U.BUY_SIGNALS) + ") THEN 0 ELSE 1 END"
+cte(
+    "dbl",
+    f"""SELECT symbol, trade_date AS as_of, close AS last_close, rise, {_SELL} AS sell_signals FROM (SELECT k.symbol, k.trade_date, k.close, coalesce(m.ma_60>m.p60,false) AS rise,
+    split_part(concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in P.KDJ_SIGNALS.items())}), ',', 1) AS first
+    FROM ks1 k JOIN (SELECT symbol, trade_date, ma_60, {lag('ma_60')} AS p60 FROM i_x) m USING (symbol, trade_date) QUALIFY row_number() OVER (PARTITION BY k.symbol ORDER BY k.trade_date DESC)=1)""",
+    "ks1",
+    "i_x",
+)
+cte(
+    "dbs",
+    """SELECT *, CASE WHEN last_close-neckline>0.05*neckline THEN 'strong' WHEN last_close>neckline THEN 'weak' ELSE 'none' END AS breakout, as_of-signal_date AS age_days,
+    greatest(5,least(60,25+CASE WHEN volume_score>=70 THEN 3 ELSE 0 END+CASE WHEN breakout_amplify THEN 2 ELSE 0 END+CASE WHEN valley_shrink THEN 2 ELSE 0 END+CASE WHEN sell_signals=0 THEN 3 ELSE -2*sell_signals END)) AS valid_days FROM (
+    SELECT symbol, trade_date AS valley1, nd AS valley2, pk.h AS neckline, ns.d AS signal_date, nv<v6*0.7 AS valley_shrink, ns.a AS breakout_amplify, 50+CASE WHEN nv<v6*0.7 THEN 20 ELSE 0 END+CASE WHEN ns.a THEN 30 ELSE 0 END AS volume_score
+    FROM db2 WHERE ni IS NOT NULL AND pk.i<ni AND abs(nh)<=abs(macd_hist)*1.5 AND ns.i IS NOT NULL) JOIN dbl USING (symbol)""",
+    "db2",
+    "dbl",
+)
+_REC = """CASE WHEN sell_signals=0 THEN CASE WHEN breakout<>'none' AND volume_score<70 THEN 'fair_volume_buy' WHEN breakout='none' THEN 'potential_buy' WHEN rise THEN 'strong_buy' ELSE 'buy' END
+    WHEN breakout<>'none' THEN 'cautious_buy' ELSE 'wait' END"""
+
+
+@query(
+    "w38_opportunity_window",
+    sql(
+        "dbs",
+        f"""SELECT symbol, valley1, valley2, signal_date, as_of, CAST(age_days AS INT) AS age_days, sell_signals, CAST(valid_days AS INT) AS valid_days, CAST(greatest(0,valid_days-age_days) AS INT) AS remaining_days,
+        {R('greatest(0e0,100e0*(1-least(1e0,age_days/valid_days)))', 4)} AS opportunity_score, breakout, CAST(signal_date+CAST(valid_days AS INT) AS DATE) AS valid_until, {_REC} AS recommendation,
+        CASE WHEN age_days<=3 THEN 'fresh' WHEN age_days<=7 THEN 'recent' WHEN age_days<=14 THEN 'medium' WHEN age_days<=30 THEN 'older' ELSE 'stale' END AS age_class,
+        CASE WHEN valid_days<=age_days THEN 'expired' WHEN valid_days-age_days<=3 THEN 'urgent' WHEN valid_days-age_days<=7 THEN 'high' WHEN valid_days-age_days<=14 THEN 'medium' ELSE 'low' END AS urgency FROM dbs""",
+    ),
+)
+def _(v):
+    df = U.double_bottom_signals(trend.kdj(trend.macd(trend.sma(trend.with_index(v.adj), (60,)))))
+    return rounded(
+        df.select(
+            "symbol", "valley1", "valley2", "signal_date", "as_of", "age_days", "sell_signals", "valid_days", "remaining_days", "opportunity_score", "breakout", "valid_until",
+            "recommendation", "age_class", "urgency",
+        ),
+        "opportunity_score", d=4,
+    )
