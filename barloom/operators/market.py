@@ -74,9 +74,13 @@ def flow_stats(df: DataFrame, value: str, holding: str, days: int) -> DataFrame:
 
 # Sentiment keywords.
 POSITIVE = (
-    "利好 增长 突破 盈利 新高 涨停 大涨 买入 推荐 增持 回购 分红 龙头 扩张 创新 领先 优势 提振 回暖 复苏 加速 放量"
-).split()
-NEGATIVE = "利空 下跌 亏损 减持 跌停 大跌 卖出 回避 风险 暴雷 违约 诉讼 处罚 调查 退市 ST 下滑 萎缩 放缓 收缩 预警".split()
+    "利好", "增长", "突破", "盈利", "新高", "涨停", "大涨", "买入", "推荐", "增持", "回购",
+    "分红", "龙头", "扩张", "创新", "领先", "优势", "提振", "回暖", "复苏", "加速", "放量",
+)
+NEGATIVE = (
+    "利空", "下跌", "亏损", "减持", "跌停", "大跌", "卖出", "回避", "风险", "暴雷", "违约",
+    "诉讼", "处罚", "调查", "退市", "ST", "下滑", "萎缩", "放缓", "收缩", "预警",
+)
 
 
 def title_sentiment(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:

@@ -315,3 +315,25 @@ def pattern_summary(df: DataFrame, window: int = 60) -> DataFrame:
     score = F.greatest(F.lit(-10), F.least(F.lit(10), F.when(r >= 0, F.floor(r)).otherwise(F.ceil(r)))).cast("int")
     bias = F.when(F.col("n_bull") > F.col("n_bear") * 1.5, "bullish").when(F.col("n_bear") > F.col("n_bull") * 1.5, "bearish").otherwise("mixed")
     return g.select("symbol", "n_patterns", "n_bull", "n_bear", score.alias("pattern_score"), bias.alias("bias"))
+
+
+# --- one signal per oscillator --------------------------------------------------------------
+
+
+def oscillator_outputs(ind: DataFrame) -> DataFrame:
+    """The latest signal of each symbol by oscillator, long form: symbol, output (kdj, cci, rsi,
+    boll or kline), signal and the value it stands on.  A symbol without a signal of its KDJ or
+    candles on record has no row for them; a divergence comes before a zone."""
+    c = F.col
+    k = last_rows(kdj_signals(ind).select("symbol", "trade_date", "kdj_signals", "kdj_k")).where("kdj_signals <> ''")
+    div = lambda zone: F.when(c("divergence").isin("regular_bullish", "regular_bearish"), c("divergence")).otherwise(zone)
+    boll = F.when(c("squeeze"), "squeeze").when(c("walk") != "none", c("walk")).when(c("boll_zone") != "neutral", c("boll_zone")).otherwise("normal")
+    parts = {
+        "kdj": (k, F.split_part("kdj_signals", F.lit(","), F.lit(1)), "kdj_k"),
+        "cci": (cci_analysis(ind), div(c("cci_zone")), "cci"),
+        "rsi": (rsi_analysis(ind), div(F.lit("none")), "rsi"),
+        "boll": (bollinger_analysis(ind), boll, "percent_b"),
+        "kline": (pattern_summary(ind), c("bias"), "pattern_score"),
+    }
+    rows = [df.select("symbol", F.lit(o).alias("output"), signal.alias("signal"), c(value).cast("double").alias("value")) for o, (df, signal, value) in parts.items()]
+    return reduce(DataFrame.unionByName, rows)

@@ -31,51 +31,51 @@ class Rule:
 
 # The rule catalogue.
 RULES = (
+    Rule("R01", 2, 1, "div_type = 'top' AND bear_strong AND vps < 0", risk="HIGH", level="D"),
+    Rule("R02", 3, 2, "regime = 'STRONG_TREND' AND bear_medium AND div_type <> 'top'", -15),
+    Rule("R03", 1, 2, "regime = 'BOTTOM_REVERSAL' AND macd_cross = 1 AND NOT (dif > 0 AND dea > 0)", 10),
+    Rule("R04", 1, 3, "macd_cross = 1 AND vps > 0", 10),
+    Rule("R05", 2, 3, "close >= hh20 AND rsi <= rsi19 AND volume <= vol19", -20),
+    Rule("R06", 3, 4, "regime = 'STRONG_TREND' AND prev_regime = 'OSCILLATION' AND vps > 0"),
+    Rule("R07", 3, 4, "macd_hist < h1 AND h1 < h2 AND h2 < h3 AND dif_slope < 0", special="half_momentum"),
+    Rule("R08", 1, 5, "div_type = 'bottom' AND bull_strong"),
+    Rule("R09", 2, 2, "winner > 80 AND regime IN ('WEAK_TREND', 'TOP_RISK')", -10, risk="MEDIUM"),
+    Rule("R10", 2, 3, "abs(close / cost95 - 1) <= 0.02 AND winner > 70", -5, risk="MEDIUM"),
+    Rule("R11", 2, 1, f"{BEAR_LADDER} AND score0 >= 40", -15, level="D"),
+    Rule("R12", 2, 3, "score0 >= 40 AND coalesce(adx, 0) < 25", -10),
+    Rule("R13", 3, 4, "abs(close - ma_200) / ma_200 > 0.3", -10),
+    Rule("R14", 3, 5, "atr / close > 0.06", -10),
+    Rule("R15", 2, 5, "amp > 15", -10, risk="HIGH"),
+    Rule("R16", 3, 4, "width5 > 1.5 * width_before", 10),
+    Rule("R17", 2, 5, "vol5 < 0.5 * vol20", -10),
+    Rule("R19", 1, 3, "kdj_golden AND rsi < 70 AND macd_cross = 1", 15),
+    Rule("R20", 3, 4, "div_type = 'bottom' AND vps > 0", 10),
+    Rule("R21", 3, 3, f"{BULL_LADDER} AND score0 >= 60 AND risk0 <> 'HIGH'", level="A"),
+    Rule("R22", 2, 4, "since_golden < 10 AND dif_range5 < 0.2 * dif_std", -10),
+    Rule("R25", 2, 5, "has_forecast"),
+    Rule("R26", 3, 4, "vol_regime = 'HIGH_VOL_TREND'", 10),
+    Rule("R27", 3, 4, "vol_regime = 'LOW_VOL_REVERSAL'", 10),
     Rule("R30", 0, 1, "i < 19", risk="HIGH", level="D", special="zero"),
     Rule("R31", 0, 2, "atr IS NULL"),
     Rule("R32", 0, 2, "ma_60 IS NULL"),
     Rule("R33", 0, 2, "volume IS NULL OR volume = 0"),
     Rule("R34", 0, 3, "macro = 'recession' AND score0 > 60", -20),
     Rule("R35", 0, 3, "macro = 'boom' AND score0 > 60", 10),
-    Rule("R03", 1, 2, "regime = 'BOTTOM_REVERSAL' AND macd_cross = 1 AND NOT (dif > 0 AND dea > 0)", 10),
-    Rule("R04", 1, 3, "macd_cross = 1 AND vps > 0", 10),
-    Rule("R19", 1, 3, "kdj_golden AND rsi < 70 AND macd_cross = 1", 15),
     Rule("R36", 1, 3, "aligned >= 3", 10),
     Rule("R37", 1, 4, "macd_cross = 1 AND kdj_golden AND rsi > 50", 10),
     Rule("R38", 1, 4, "week_bull AND dif > dea", 10),
     Rule("R39", 1, 4, "aligned >= 4 AND risk0 <> 'HIGH'", 5),
-    Rule("R08", 1, 5, "div_type = 'bottom' AND bull_strong"),
-    Rule("R01", 2, 1, "div_type = 'top' AND bear_strong AND vps < 0", risk="HIGH", level="D"),
-    Rule("R11", 2, 1, f"{BEAR_LADDER} AND score0 >= 40", -15, level="D"),
-    Rule("R44", 2, 1, "amt5 < 0.3 * amt20", -30, risk="HIGH"),
-    Rule("R09", 2, 2, "winner > 80 AND regime IN ('WEAK_TREND', 'TOP_RISK')", -10, risk="MEDIUM"),
-    Rule("R43", 2, 2, "close < ma_20", -20),
-    Rule("R05", 2, 3, "close >= hh20 AND rsi <= rsi19 AND volume <= vol19", -20),
-    Rule("R10", 2, 3, "abs(close / cost95 - 1) <= 0.02 AND winner > 70", -5, risk="MEDIUM"),
-    Rule("R12", 2, 3, "score0 >= 40 AND coalesce(adx, 0) < 25", -10),
     Rule("R40", 2, 3, "atr / close > 0.08", -15, risk="MEDIUM"),
     Rule("R41", 2, 3, "div_type = 'top' AND vps < 0", -20),
-    Rule("R22", 2, 4, "since_golden < 10 AND dif_range5 < 0.2 * dif_std", -10),
     Rule("R42", 2, 4, "macd_hist < h1 AND h1 < h2 AND h2 < h3 AND h3 < h4", -10),
+    Rule("R43", 2, 2, "close < ma_20", -20),
+    Rule("R44", 2, 1, "amt5 < 0.3 * amt20", -30, risk="HIGH"),
     Rule("R45", 2, 4, "amp > amp99", -10),
-    Rule("R15", 2, 5, "amp > 15", -10, risk="HIGH"),
-    Rule("R17", 2, 5, "vol5 < 0.5 * vol20", -10),
-    Rule("R25", 2, 5, "has_forecast"),
-    Rule("R02", 3, 2, "regime = 'STRONG_TREND' AND bear_medium AND div_type <> 'top'", -15),
-    Rule("R21", 3, 3, f"{BULL_LADDER} AND score0 >= 60 AND risk0 <> 'HIGH'", level="A"),
-    Rule("R06", 3, 4, "regime = 'STRONG_TREND' AND prev_regime = 'OSCILLATION' AND vps > 0"),
-    Rule("R07", 3, 4, "macd_hist < h1 AND h1 < h2 AND h2 < h3 AND dif_slope < 0", special="half_momentum"),
-    Rule("R13", 3, 4, "abs(close - ma_200) / ma_200 > 0.3", -10),
-    Rule("R16", 3, 4, "width5 > 1.5 * width_before", 10),
-    Rule("R20", 3, 4, "div_type = 'bottom' AND vps > 0", 10),
-    Rule("R26", 3, 4, "vol_regime = 'HIGH_VOL_TREND'", 10),
-    Rule("R27", 3, 4, "vol_regime = 'LOW_VOL_REVERSAL'", 10),
     Rule("R46", 3, 4, "net > 0 AND macd_cross = 1", 5),
     Rule("R47", 3, 4, "net < 0 AND macd_cross = -1", -10),
+    Rule("R48", 3, 5, "vps > 0", 5),
     Rule("R49", 3, 4, "winner < 30 AND div_type = 'bottom'", 10),
     Rule("R50", 3, 4, "green3 AND vps > 0", 10),
-    Rule("R14", 3, 5, "atr / close > 0.06", -10),
-    Rule("R48", 3, 5, "vps > 0", 5),
 )
 # Position rules read the risk after the gates above; the last one that holds wins.
 POSITION_RULES = (
@@ -356,3 +356,10 @@ def double_bottom_signals(df: DataFrame, recent_days: int | None = None) -> Data
         }
     )
     return p.withColumn("recommendation", recommendation(c("breakout") != "none", c("_rise"), c("sell_signals"), c("volume_score"))).drop("_rise")
+
+
+def symbol_outputs(gated: DataFrame, oscillators: DataFrame) -> DataFrame:
+    """The six outputs of every symbol in long form: `bull`, the level and score of its last gated
+    row, above those of `patterns.oscillator_outputs`."""
+    last = last_rows(gated.select("symbol", "trade_date", "gated_level", "gated_score"))
+    return last.select("symbol", F.lit("bull").alias("output"), F.col("gated_level").alias("signal"), F.col("gated_score").alias("value")).unionByName(oscillators)

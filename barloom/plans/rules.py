@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import cross_section as X, panel, patterns as P, rules as U, signals as S, trend
 from barloom.operators.panel import tail
-from barloom.plans.registry import R, cte, full, lag, lead, over, query, r, rounded, sql
+from barloom.plans.registry import R, REGISTRY, cte, full, lag, lead, over, query, r, rounded, sql
 
 _B = lambda agg, n: f"{agg} OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 _MIN = "PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING"
@@ -332,3 +332,29 @@ def _(v):
         ),
         "opportunity_score", d=4,
     )
+
+
+_OSC = {
+    "cci": ("w35_cci_analysis", "CASE WHEN divergence LIKE 'regular%' THEN divergence ELSE cci_zone END", "cci"),
+    "rsi": ("w33_rsi_analysis", "CASE WHEN divergence LIKE 'regular%' THEN divergence ELSE 'none' END", "rsi"),
+    "boll": ("w34_bollinger_analysis", "CASE WHEN squeeze THEN 'squeeze' WHEN walk<>'none' THEN walk WHEN boll_zone<>'neutral' THEN boll_zone ELSE 'normal' END", "percent_b"),
+    "kline": ("w19_candle_patterns", "bias", R("CAST(pattern_score AS DOUBLE)", 3)),
+}
+_OSC_SQL = " UNION ALL ".join(f"SELECT symbol, '{o}' AS output, {signal} AS signal, {value} AS value FROM ({REGISTRY[q].sql})" for o, (q, signal, value) in _OSC.items())
+cte("gdl", "SELECT * FROM gd4 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC)=1", "gd4")
+_FIRST = f"split_part(concat_ws(',', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for n, c in P.KDJ_SIGNALS.items())}), ',', 1)"
+cte("ksl", f"SELECT symbol, kdj_k, {_FIRST} AS first FROM ks1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC)=1", "ks1")
+
+
+@query(
+    "w57_six_outputs",
+    sql(
+        "gdl ksl",
+        f"""SELECT symbol, 'bull' AS output, CASE WHEN stopped THEN l2 WHEN risk0='HIGH' OR div_type='top' THEN 'D' WHEN score0>=80 THEN 'A' WHEN score0>=60 THEN 'B' ELSE 'C' END AS signal, {R('CAST(score0 AS DOUBLE)', 3)} AS value FROM gdl
+        UNION ALL SELECT symbol, 'kdj', first, {R('kdj_k', 3)} FROM ksl WHERE first<>'' UNION ALL {_OSC_SQL}""",
+    ),
+)
+def _(v):
+    osc = P.oscillator_outputs(trend.kdj(trend.bollinger(trend.cci(trend.rsi(trend.with_index(v.adj))))))
+    df = U.symbol_outputs(gated_daily(v), osc)
+    return df.withColumn("value", F.when(F.col("output").isin("rsi", "boll"), r("value", 4)).otherwise(r("value", 3)))
