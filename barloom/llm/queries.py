@@ -114,8 +114,8 @@ def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every embedding after five rounds from forty first centroids."""
     found = clustering.cluster(table(spark, sf_dir, "embeddings"), n_clusters=40, rounds=5)
     totals = found.totals()  # forty rows at most
-    inertia = totals.agg(F.sum("cluster_inertia").alias("inertia"))
-    rows = found.assigned.join(F.broadcast(totals), "cluster").join(F.broadcast(inertia), F.lit(True))
+    inertia = totals.agg(F.sum("cluster_inertia").alias("inertia")).scalar()
+    rows = found.assigned.join(F.broadcast(totals), "cluster").withColumn("inertia", inertia)
     return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
