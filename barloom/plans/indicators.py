@@ -17,7 +17,7 @@ def pick(df, cols: str, d: int = 6):
 
 @query("w01_moving_averages", sql("i_ma", f"SELECT symbol, trade_date, {Rs(MAS)} FROM i_ma"))
 def _(v):
-    return pick(trend.sma(v.adj), MAS)
+    return pick(trend.sma(v.histories), MAS)
 
 
 _P = (5, 20, 60)
@@ -28,42 +28,42 @@ _P = (5, 20, 60)
     sql("adj", "SELECT symbol, trade_date, " + ", ".join(f"{R(full('avg(close)', p, mp=1))} AS ma_{p}" for p in _P) + " FROM adj"),
 )
 def _(v):
-    return pick(trend.sma(v.adj, _P, min_periods=1), "ma_5 ma_20 ma_60")
+    return pick(trend.sma(v.histories, _P, min_periods=1), "ma_5 ma_20 ma_60")
 
 
 @query("w02_ema", sql("adj", f"SELECT symbol, trade_date, {R(ema('close', 12))} AS ema_12, {R(ema('close', 26))} AS ema_26 FROM adj"))
 def _(v):
-    return pick(trend.ema(trend.ema(v.adj, "ema_12", "close", 12), "ema_26", "close", 26), "ema_12 ema_26")
+    return pick(trend.ema(trend.ema(v.histories, "ema_12", "close", 12), "ema_26", "close", 26), "ema_12 ema_26")
 
 
 @query("w03_macd", sql("i_x", f"SELECT symbol, trade_date, {Rs('dif dea macd_hist')} FROM i_x"))
 def _(v):
-    return pick(trend.macd(v.adj), "dif dea macd_hist")
+    return pick(trend.macd(v.histories), "dif dea macd_hist")
 
 
 @query("w04_macd_crosses", sql("i_seed", "SELECT symbol, trade_date, macd_cross, macd_label FROM i_seed"))
 def _(v):
-    return trend.crosses(trend.macd(v.adj)).select(*KEY, "macd_cross", "macd_label")
+    return trend.crosses(trend.macd(v.histories)).select(*KEY, "macd_cross", "macd_label")
 
 
 @query("w05_atr", sql("i_w", f"SELECT symbol, trade_date, {R('atr')} AS atr, {R(full('avg(tr)', 14, 'tr'))} AS atr_simple FROM i_w"))
 def _(v):
-    return pick(trend.atr_simple(trend.atr(v.adj)), "atr atr_simple")
+    return pick(trend.atr_simple(trend.atr(v.histories)), "atr atr_simple")
 
 
 @query("w06_adx", sql("ind", f"SELECT symbol, trade_date, {R('adx')} AS adx FROM ind"))
 def _(v):
-    return pick(trend.adx(trend.with_index(v.adj)), "adx")
+    return pick(trend.adx(trend.with_index(v.histories)), "adx")
 
 
 @query("w07_rsi", sql("i_dx", f"SELECT symbol, trade_date, {R('rsi')} AS rsi FROM i_dx"))
 def _(v):
-    return pick(trend.rsi(v.adj), "rsi")
+    return pick(trend.rsi(v.histories), "rsi")
 
 
 @query("w08_stochastic", sql("i_dxs", f"SELECT symbol, trade_date, {Rs('slow_k slow_d')} FROM i_dxs"))
 def _(v):
-    return pick(trend.stochastic(v.adj), "slow_k slow_d")
+    return pick(trend.stochastic(v.histories), "slow_k slow_d")
 
 
 cte("kdj_k", f"SELECT *, 100*(close-{full('min(low)', 9)})/nullif({full('max(high)', 9)}-{full('min(low)', 9)},0) AS kdj_k FROM adj", "adj")
@@ -79,22 +79,22 @@ KDJ = "kdj_k kdj_d kdj_j kdj_k_slope kdj_d_slope kdj_j_slope"
 
 @query("w09_kdj", sql("kdj", f"SELECT symbol, trade_date, {Rs(KDJ)} FROM kdj"))
 def _(v):
-    return pick(trend.kdj(v.adj), KDJ)
+    return pick(trend.kdj(v.histories), KDJ)
 
 
 @query("w10_cci", sql("i_w", f"SELECT symbol, trade_date, {R('cci', 5)} AS cci FROM i_w"))
 def _(v):
-    return pick(trend.cci(v.adj), "cci", 5)
+    return pick(trend.cci(v.histories), "cci", 5)
 
 
 @query("w11_bollinger", sql("i_dx", f"SELECT symbol, trade_date, {Rs('bb_up bb_mid bb_low bb_width', 5)} FROM i_dx"))
 def _(v):
-    return pick(trend.bollinger(v.adj), "bb_up bb_mid bb_low bb_width", 5)
+    return pick(trend.bollinger(v.histories), "bb_up bb_mid bb_low bb_width", 5)
 
 
 @query("w12_amount_amplitude", sql("i_dx", f"SELECT symbol, trade_date, {R('amount', 2)} AS amount, {R('amount_ma20', 4)} AS amount_ma20, {R('amplitude')} AS amplitude FROM i_dx"))
 def _(v):
-    df = trend.turnover_columns(v.adj)
+    df = trend.turnover_columns(v.histories)
     return df.select(*KEY, r("amount", 2).alias("amount"), r("amount_ma20", 4).alias("amount_ma20"), r("amplitude").alias("amplitude"))
 
 
@@ -111,13 +111,13 @@ cte("volreg", f"SELECT *, atr/nullif({full('avg(atr)', 30, 'atr')},0) AS atr_rat
     ),
 )
 def _(v):
-    df = trend.vol_regime(trend.adx(trend.atr(v.adj)))
+    df = trend.vol_regime(trend.adx(trend.atr(v.histories)))
     return df.select(*KEY, r("atr_ratio").alias("atr_ratio"), "vol_regime")
 
 
 @query("w40_drawdown", sql("adj", f"SELECT symbol, trade_date, {R('close/' + over('max(close)') + '-1')} AS drawdown FROM adj"))
 def _(v):
-    return pick(trend.drawdown(v.adj), "drawdown")
+    return pick(trend.drawdown(v.histories), "drawdown")
 
 
 _H = (1, 5, 10, 20)
@@ -133,7 +133,7 @@ _H = (1, 5, 10, 20)
     ),
 )
 def _(v):
-    df = trend.forward_return(v.adj)
+    df = trend.forward_return(v.histories)
     out = rounded(df, *[f"fwd_{h}" for h in _H])
     return out.select(*KEY, *[f"fwd_{h}" for h in _H], *[F.coalesce(f"fwd_{h}", F.lit(0.0)).alias(f"fwd0_{h}") for h in _H])
 
@@ -143,7 +143,7 @@ def _(v):
     sql("adj", f"SELECT symbol, trade_date, {R('close')} AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM adj) WHERE rn<=21"),
 )
 def _(v):
-    return pick(panel.tail_n(v.adj, 21), "close")
+    return pick(panel.tail_n(v.histories, 21), "close")
 
 
 @query(
@@ -151,7 +151,7 @@ def _(v):
     sql("adj", f"SELECT symbol, max(trade_date) AS trade_date, {R('arg_max(close, trade_date)')} AS close, arg_max(volume, trade_date) AS volume FROM adj GROUP BY symbol"),
 )
 def _(v):
-    return panel.last_rows(v.adj).select("symbol", "trade_date", r("close").alias("close"), "volume")
+    return panel.last_rows(v.histories).select("symbol", "trade_date", r("close").alias("close"), "volume")
 
 
 @query(
@@ -163,4 +163,4 @@ def _(v):
     ),
 )
 def _(v):
-    return rounded(panel.weekly(v.adj), "close", "high", "low")
+    return rounded(panel.weekly(v.histories), "close", "high", "low")

@@ -20,7 +20,7 @@ cte("ks1", f"SELECT *, {lag('k5', 2)} AS support FROM ks0", "ks0")
 
 @query("w31_kdj_signals", sql("ks1", "SELECT symbol, trade_date, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in P.KDJ_SIGNALS.items()) + ") AS kdj_signals FROM ks1"))
 def _(v):
-    return P.kdj_signals(trend.kdj(v.adj)).select("symbol", "trade_date", "kdj_signals")
+    return P.kdj_signals(trend.kdj(v.histories)).select("symbol", "trade_date", "kdj_signals")
 
 
 _C = lambda agg, n=5: f"{agg} OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN {n} PRECEDING AND {n} FOLLOWING)"
@@ -35,8 +35,8 @@ cte("pvt", "SELECT *, " + ", ".join(f"{piv(c, k)} AS v{n}{k}" for n, c in (("p",
 
 @query("w32_pivots", sql("pvt", "SELECT symbol, trade_date, vph AS pivot_high, vpl AS pivot_low FROM pvt"))
 def _(v):
-    hi, lo = P.pivots(v.adj, "close")
-    return v.adj.select("symbol", "trade_date", hi.alias("pivot_high"), lo.alias("pivot_low"))
+    hi, lo = P.pivots(v.histories, "close")
+    return v.histories.select("symbol", "trade_date", hi.alias("pivot_high"), lo.alias("pivot_low"))
 
 
 _L = lambda f, c: f"list({{'i': i, 'v': {c}}} ORDER BY i) FILTER ({f})"
@@ -76,7 +76,7 @@ cte("rz3", "SELECT *, a[1:10] AS hd, list_max(a[1:10]) AS pk, list_min(a[1:10])
     ),
 )
 def _(v):
-    return rounded(P.rsi_analysis(trend.rsi(v.adj)), "rsi", "rsi_trend_diff", "divergence_strength", d=4)
+    return rounded(P.rsi_analysis(trend.rsi(v.histories)), "rsi", "rsi_trend_diff", "divergence_strength", d=4)
 
 
 cte(
@@ -105,7 +105,7 @@ cte("bb3", "SELECT a.symbol, count(*) AS n, (count(*) FILTER (a.bw<b.bw)+(count(
     ),
 )
 def _(v):
-    df = P.bollinger_analysis(trend.bollinger(trend.with_index(v.adj)))
+    df = P.bollinger_analysis(trend.bollinger(trend.with_index(v.histories)))
     return rounded(rounded(df, "percent_b", d=4), "bandwidth", "bandwidth_pctile")
 
 
@@ -124,7 +124,7 @@ _BE, _BU = "vph[-1].v>vph[-2].v AND vsh[-1].v<vsh[-2].v", "vpl[-1].v<vpl[-2].v A
     ),
 )
 def _(v):
-    df = P.cci_analysis(trend.cci(trend.with_index(v.adj)))
+    df = P.cci_analysis(trend.cci(trend.with_index(v.histories)))
     return rounded(rounded(df, "cci", "cci_trend_diff", d=3), "divergence_strength", d=4)
 
 
@@ -154,14 +154,14 @@ _BULL = ("symbol", "trade_date", "skeleton", "attack", "perfect", "tolerance", "
 
 @query("w36_bull_score", sql("bs3", "SELECT * FROM bs3"))
 def _(v):
-    df = P.bull_score(trend.sma(trend.with_index(v.adj)))
+    df = P.bull_score(trend.sma(trend.with_index(v.histories)))
     return df.select(*_BULL)
 
 
 @query("w36_special_treatment", sql("bs3n", "SELECT * FROM bs3n"))
 def _(v):
     names = v.industry.select("symbol", F.concat_ws(" ", "l1", "name").alias("name"))
-    return P.bull_score(trend.sma(trend.with_index(v.adj)).join(names, "symbol", "left"), name="name").select(*_BULL)
+    return P.bull_score(trend.sma(trend.with_index(v.histories)).join(names, "symbol", "left"), name="name").select(*_BULL)
 
 
 _WN = "OVER (PARTITION BY symbol ORDER BY trade_date)"
@@ -178,4 +178,4 @@ cte("np4", "SELECT symbol, sum(w*hit*CASE WHEN ago=0 THEN 0.5e0 ELSE 1e0 END) AS
     sql("np4", "SELECT symbol, n AS n_patterns, nb AS n_bull, nr AS n_bear, CAST(greatest(-10,least(10,trunc(raw))) AS INT) AS pattern_score, CASE WHEN nb>nr*1.5 THEN 'bullish' WHEN nr>nb*1.5 THEN 'bearish' ELSE 'mixed' END AS bias FROM np4"),
 )
 def _(v):
-    return P.pattern_summary(trend.with_index(v.adj))
+    return P.pattern_summary(trend.with_index(v.histories))

@@ -126,43 +126,43 @@ cte(
 
 @query("w13_macd_trend", sql("sg1", "SELECT symbol, trade_date, macd_trend FROM sg1"))
 def _(v):
-    return trend.macd(v.adj).select(*KEY, S.macd_trend(F.col("dif"), F.col("dea")).alias("macd_trend"))
+    return trend.macd(v.histories).select(*KEY, S.macd_trend(F.col("dif"), F.col("dea")).alias("macd_trend"))
 
 
 @query("w14_regime", sql("sg3", "SELECT symbol, trade_date, regime FROM sg3"))
 def _(v):
-    return S.regime(trend.bollinger(trend.macd(trend.sma(v.adj)))).select(*KEY, "regime")
+    return S.regime(trend.bollinger(trend.macd(trend.sma(v.histories)))).select(*KEY, "regime")
 
 
 @query("w15_momentum_score", sql("sg4", "SELECT symbol, trade_date, momentum_score FROM sg4"))
 def _(v):
-    return S.momentum_score(trend.macd(v.adj)).select(*KEY, "momentum_score")
+    return S.momentum_score(trend.macd(v.histories)).select(*KEY, "momentum_score")
 
 
 @query("w16_slope_score", sql("sg3", f"SELECT symbol, trade_date, {Rs('dif_slope dif_r2')}, slope_score FROM sg3"))
 def _(v):
-    return rounded(S.slope_score(trend.macd(v.adj)).select(*KEY, "dif_slope", "dif_r2", "slope_score"), "dif_slope", "dif_r2")
+    return rounded(S.slope_score(trend.macd(v.histories)).select(*KEY, "dif_slope", "dif_r2", "slope_score"), "dif_slope", "dif_r2")
 
 
 @query("w17_volume_price_score", sql("sg4", "SELECT symbol, trade_date, volume_price_score FROM sg4"))
 def _(v):
-    return S.volume_price_score(trend.with_index(v.adj)).select(*KEY, "volume_price_score")
+    return S.volume_price_score(trend.with_index(v.histories)).select(*KEY, "volume_price_score")
 
 
 @query("w18_candle_score", sql("sg4", "SELECT symbol, trade_date, candle_score FROM sg4"))
 def _(v):
-    return S.candle_score(trend.with_index(v.adj)).select(*KEY, "candle_score")
+    return S.candle_score(trend.with_index(v.histories)).select(*KEY, "candle_score")
 
 
 @query("w20_golden_cross_score", sql("sg5", f"SELECT symbol, trade_date, {Rs('golden_norm')}, golden_score FROM sg5"))
 def _(v):
-    df = S.golden_score(S.golden_norm(trend.crosses(trend.macd(trend.atr(v.adj)))))
+    df = S.golden_score(S.golden_norm(trend.crosses(trend.macd(trend.atr(v.histories)))))
     return df.select(*KEY, r("golden_norm").alias("golden_norm"), "golden_score")
 
 
 @query("w21_divergence", sql("div", f"SELECT symbol, trade_date, div_type, CAST(div_bars_ago AS INT) AS div_bars_ago, {R('div_strength')} AS div_strength FROM div"))
 def _(v):
-    return rounded(S.divergence(trend.macd(v.adj)).select(*KEY, "div_type", "div_bars_ago", "div_strength"), "div_strength")
+    return rounded(S.divergence(trend.macd(v.histories)).select(*KEY, "div_type", "div_bars_ago", "div_strength"), "div_strength")
 
 
 cte("lastcross", f"SELECT symbol, trade_date, i - {over('max(CASE WHEN macd_cross=1 THEN i END)')} AS bars_ago FROM i_seed", "i_seed")
@@ -170,20 +170,20 @@ cte("lastcross", f"SELECT symbol, trade_date, i - {over('max(CASE WHEN macd_cros
 
 @query("w22_signal_decay", sql("lastcross", f"SELECT symbol, trade_date, {R('pow(0.5e0, bars_ago/8e0)')} AS decay FROM lastcross"))
 def _(v):
-    df = trend.crosses(trend.macd(v.adj))
+    df = trend.crosses(trend.macd(v.histories))
     ago = F.col("i") - F.max(F.when(F.col("macd_cross") == 1, F.col("i"))).over(panel.history())
     return df.withColumn("_ago", ago).select(*KEY, r(S.decay(F.col("_ago"))).alias("decay"))
 
 
 @query("w23_risk_level", sql("sg5", "SELECT symbol, trade_date, risk_level FROM sg5"))
 def _(v):
-    df = S.regime(trend.bollinger(trend.macd(trend.sma(v.adj)))).withColumn("macd_trend", S.macd_trend(F.col("dif"), F.col("dea")))
+    df = S.regime(trend.bollinger(trend.macd(trend.sma(v.histories)))).withColumn("macd_trend", S.macd_trend(F.col("dif"), F.col("dea")))
     return S.risk_level(S.divergence(df)).select(*KEY, "risk_level")
 
 
 @query("w24_exit_score", sql("sig", f"SELECT symbol, trade_date, exit_score, {R('stop_loss', 2)} AS stop_loss FROM sig"))
 def _(v):
-    df = S.regime(trend.bollinger(trend.macd(trend.sma(trend.atr(v.adj))))).withColumn("macd_trend", S.macd_trend(F.col("dif"), F.col("dea")))
+    df = S.regime(trend.bollinger(trend.macd(trend.sma(trend.atr(v.histories))))).withColumn("macd_trend", S.macd_trend(F.col("dif"), F.col("dea")))
     return S.exit_score(S.risk_level(S.divergence(df))).select(*KEY, "exit_score", r("stop_loss", 2).alias("stop_loss"))
 
 
@@ -265,7 +265,7 @@ cte(
     ),
 )
 def _(v):
-    return S.zero_axis_pattern(trend.macd(v.adj))
+    return S.zero_axis_pattern(trend.macd(v.histories))
 
 
 cte(
@@ -291,7 +291,7 @@ cte("wk_e", f"SELECT *, {ema('dif', 9)} AS dea FROM wk_d", "wk_d")
     ),
 )
 def _(v):
-    return S.week_alignment(trend.macd(v.adj), trend.macd(panel.weekly(v.adj)))
+    return S.week_alignment(trend.macd(v.histories), trend.macd(panel.weekly(v.histories)))
 
 
 cte(
@@ -312,5 +312,5 @@ cte(
 )
 def _(v):
     cols = "stop_loss t1_target t2_target trailing_stop".split()
-    df = S.exit_levels(trend.atr(v.adj))
+    df = S.exit_levels(trend.atr(v.histories))
     return df.select(*KEY, *[r(c, 2).alias(c) for c in cols], r("exit_rrr", 4).alias("exit_rrr"))
