@@ -85,6 +85,12 @@ def curves(v):
     return strategies(v).select("strategy", "trade_date", F.exp(F.sum(F.log1p(F.col("ret") / 1e4)).over(w)).alias("value"), F.abs("ret").alias("turnover"))
 
 
+def calmar():
+    """The ratio as the SQL divides: infinite for a gain without drawdown, where the operator gives 0."""
+    risen = (F.col("max_drawdown") == 0) & (F.col("annual_return") > 0)
+    return F.when(risen, float("inf")).otherwise(r("calmar_ratio", 4))
+
+
 @query(
     "a13_equity_metrics",
     sql(
@@ -96,7 +102,8 @@ def curves(v):
 def _(v):
     df = K.equity_metrics(curves(v))
     four = ("sharpe_ratio", "sortino_ratio", "calmar_ratio")
-    return rounded(rounded(df, *four, d=4), *[c for c in df.columns if c not in (*four, "strategy", "max_drawdown_duration")])
+    df = rounded(df, "sharpe_ratio", "sortino_ratio", d=4).withColumn("calmar_ratio", calmar())
+    return rounded(df, *[c for c in df.columns if c not in (*four, "strategy", "max_drawdown_duration")])
 
 
 cte("vr", "SELECT strategy, ret, quantile_cont(ret,0.05) OVER w AS q95, quantile_cont(ret,0.01) OVER w AS q99 FROM irt WINDOW w AS (PARTITION BY strategy)", "irt")
