@@ -27,7 +27,7 @@ cte("sz2", "SELECT *, CASE WHEN risk_level='HIGH' OR tm<=0 THEN 0e0 ELSE greates
 
 
 def inputs(v):
-    s = S.signals(v.ind)
+    s = S.signals(v.histories)
     s = last_rows(s.select("symbol", "trade_date", "level", "risk_level", "macd_trend", "score", "close", "stop_loss", "atr", "amount", "volume"))
     s = s.withColumn("position_adjust", F.when(F.col("volume") > 40, -0.5).when(F.col("volume") < 5, 0.2))
     s = s.withColumn("exit_rrr", F.when(F.col("close") > F.col("stop_loss"), F.col("atr") * 3 / (F.col("close") - F.col("stop_loss"))))
@@ -83,5 +83,5 @@ def _(v):
 
 @query("t04_top_candidates_per_day", sql("sigf", f"SELECT symbol, trade_date, score, rank FROM (SELECT symbol, trade_date, score, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS rank FROM (SELECT symbol, trade_date, {R('score', 4)} AS score FROM sigf)) WHERE rank<=5"))
 def _(v):
-    df = rounded(S.signals(v.ind).select("symbol", "trade_date", "score"), "score", d=4)
+    df = rounded(S.signals(v.histories).select("symbol", "trade_date", "score"), "score", d=4)
     return P.top_per_day(df, 5)

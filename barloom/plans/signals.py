@@ -189,7 +189,7 @@ def _(v):
 
 @query("w25_composite_score", sql("sigf", f"SELECT symbol, trade_date, {R('score_base', 4)} AS score_base, {R('score', 4)} AS score, level FROM sigf"))
 def _(v):
-    return rounded(S.signals(v.ind).select(*KEY, "score_base", "score", "level"), "score_base", "score", d=4)
+    return rounded(S.signals(v.histories).select(*KEY, "score_base", "score", "level"), "score_base", "score", d=4)
 
 
 SIGNAL_COLUMNS = (
@@ -207,7 +207,7 @@ SIGNAL_COLUMNS = (
     ),
 )
 def _(v):
-    df = rounded(S.signals(v.ind).select(*KEY, *SIGNAL_COLUMNS), "atr", "div_strength")
+    df = rounded(S.signals(v.histories).select(*KEY, *SIGNAL_COLUMNS), "atr", "div_strength")
     return rounded(rounded(df, "score", d=4), "stop_loss", d=2)
 
 
@@ -221,7 +221,7 @@ def _(v):
 )
 def _(v):
     sets = {"strict": S.SignalParams(), "loose": S.SignalParams(fully_bull=60, bullish=40)}
-    return S.grid(v.ind, sets).groupBy("params", "level").agg(F.count(F.lit(1)).alias("n"))
+    return S.grid(v.histories, sets).groupBy("params", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Sets that differ in weights, thresholds, windows, stops and the distance of divergence.
@@ -241,7 +241,7 @@ TABLE = {
 
 @query("w27_parameter_table")
 def _(v):
-    df = S.grid(v.ind, TABLE)
+    df = S.grid(v.histories, TABLE)
     return df.groupBy("params").agg(r(F.avg("score"), 4).alias("score"), *[F.count(F.when(F.col("level") == x, 1)).alias(f"n_{x.lower()}") for x in "ABCD"], F.count(F.when(F.col("exit_score") > 0, 1)).alias("n_exit"))
 
 
