@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import signals as S, trend
+from barloom.operators.panel import along_history
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,7 @@ def rows(df, cols):
 def test_walk_agrees_with_windows(bars):
     w = trend.adx(trend.rsi(trend.atr(trend.turnover_columns(trend.cci(trend.stochastic(trend.bollinger(trend.crosses(trend.macd(trend.sma(bars))))))))))
     numbers = [f"ma_{p}" for p in trend.MA_PERIODS] + "bb_up bb_width amount_ma20 atr rsi adx cci slow_k slow_d dif dea macd_hist".split()
-    got, want = rows(trend.indicators(bars), numbers), rows(w, numbers)
+    got, want = rows(along_history(bars, trend.INDICATORS, trend.indicator_rows), numbers), rows(w, numbers)
     moving = got["symbol"] != 5  # of prices that never move the last bit of a mean decides
     for c in numbers:
         np.testing.assert_allclose(got[c][moving].astype(float), want[c][moving].astype(float), rtol=1e-6, atol=1e-9, err_msg=c)
