@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,15 @@ def suffix_class(word: bytes) -> int:
     return 1 + xxhash.xxh32_intdigest(word[-SUFFIX_BYTES:]) % SUFFIXES
 
 
+def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of words of each text, all words): lower_words() for a whole column."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = parts.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(found), 0)  # white space at either end leaves an empty word there
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    return np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(texts)), found.filter(real)
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word binary, suffix, n): how often each token occurs, the end of each text included."""
 
@@ -132,21 +142,23 @@ def encode(docs: DataFrame, model: Model, learn: Column, id_col: str = "doc_id",
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                found = [lower_words(t) for t in part.column(1).to_pylist()]
-                codes = [[classes[w] for w in words] for words in found]
-                n = np.array([len(c) + 1 for c in codes])
+                lengths, found = _cut(part.column(1))
+                found = found.dictionary_encode()
+                which, distinct = found.indices.to_numpy(), len(found.dictionary)
+                code_of = np.array([classes[w] for w in found.dictionary.to_pylist()], np.int32)
+                codes, text = code_of[which], np.repeat(np.arange(len(part)), lengths)
+                n = lengths + 1
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype("int32")
                 flat = np.zeros(offsets[-1], np.int32)  # class 0 ends each text
-                for a, c in zip(offsets[:-1], codes, strict=True):
-                    flat[a : a + len(c)] = c
+                flat[np.arange(len(codes)) + text] = codes
                 own, here = (flat == 0) | (flat > SUFFIXES), np.repeat(np.arange(len(n)), n)
                 logs = np.bincount(here, np.where(own, log_count[flat], 0.0), len(n))
                 known = np.bincount(here, own & has[flat], len(n)).astype("int64")
                 norm = np.bincount(here, m.log_norm[flat], len(n))
-                rare = [Counter(w for w, c in zip(words, code, strict=True) if c <= SUFFIXES) for words, code in zip(found, codes, strict=True)]
-                ends = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype("int32")
-                words = pa.ListArray.from_arrays(ends, pa.array([w for r in rare for w in r], pa.binary()))
-                times = pa.ListArray.from_arrays(ends, pa.array([x for r in rare for x in r.values()], pa.int32()))
+                rare, several = np.unique((text * distinct + which)[codes <= SUFFIXES], return_counts=True)
+                ends = np.searchsorted(rare, np.arange(len(part) + 1) * distinct).astype("int32")
+                words = pa.ListArray.from_arrays(ends, found.dictionary.take(pa.array(rare % max(distinct, 1))))
+                times = pa.ListArray.from_arrays(ends, pa.array(several.astype("int32")))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *part.columns[2:], pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(known), pa.array(logs), pa.array(norm), words, times],
                     names=["_row", *kept, "n_tokens", "_codes", "_known", "_logs", "_norm", "_words", "_times"],

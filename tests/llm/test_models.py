@@ -8,11 +8,13 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm.conftest import prose
 from pyspark.sql import functions as F
 
 from barloom.llm import hmm, language, mixing, toxicity
+from barloom.llm.text import lower_words
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -304,3 +306,10 @@ def test_mix_of_odd_rows(odd, odd_rows, none):
     got = mixing.mix(odd).collect()
     assert len(got) == len(odd_rows) and all(r["copies"] <= 3 for r in got)
     assert mixing.mix(none).count() == 0
+
+
+def test_columns_are_cut_as_texts_are(odd_rows):
+    texts = [r[1] for r in odd_rows] + [" A\x1c\x85b\t\nÀÉ  Ab ", "\x0b\x0c", " x Y z", "a\x00b  A"]
+    lengths, found = hmm._cut(pa.array(texts, pa.string()))
+    assert lengths.tolist() == [len(lower_words(t)) for t in texts]
+    assert found.to_pylist() == [w for t in texts for w in lower_words(t)]
