@@ -17,6 +17,7 @@ import base64
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ PRIOR = 0.1
 GAIN, ROUNDS = 1e-2, 20
 #: Bytes of the words that are worked on together, and distinct words that a task counts before it sends them on.
 CHUNK, COUNTED = 1 << 18, 100_000
+#: Bytes of the words whose scores a task remembers from slice to slice; of so many words it forgets them, as past COUNTED.
+HELD = 8 << 20
 #: The product of as many probabilities as such a word has bytes is no less than a double holds: it needs no rescaling.
 SHORT = 20
 #: Words up to this length keep their pieces between the two directions of training; longer ones find them twice.
@@ -277,6 +280,30 @@ def train(docs: DataFrame, path: str, where: Column, text_col: str = "text", lan
         return langs, np.log(p)
 
 
+class _Known:
+    """Word scores that a task keeps from slice to slice; past COUNTED words or HELD bytes it begins anew."""
+
+    def __init__(self, log_p: np.ndarray, path: str):
+        self.log_p, self.path = log_p, path
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.scores, self.held = np.empty((0, self.log_p.shape[1])), 0
+
+    def scored(self, texts: list[list[bytes]]) -> list[list[int]]:
+        """Rows of scores for the words of each text."""
+        if len(self.index) > COUNTED or self.held > HELD:
+            self._forget()
+        index = self.index
+        rows = [[index.setdefault(w, len(index)) for w in words] for words in texts]
+        fresh = list(islice(index, len(self.scores), None))
+        if fresh:
+            self.held += sum(map(len, fresh))
+            self.scores = np.concatenate([self.scores, word_scores(fresh, self.log_p, self.path)])
+        return rows
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, the posterior probability of that language among those learnt,
     all alike before. und with score 0 for a null text, one without a letter, and if nothing was
@@ -289,18 +316,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, te
     at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(shared.value, path)
         for batch in sliced(batches, at):
-            index: dict[bytes, int] = {}
             texts = [t.as_py() for t in batch.column(at)]
-            per_text = [[index.setdefault(b" " + w, len(index)) for w in lower_words(t)] for t in texts]
-            per_word = word_scores(list(index), shared.value, path) if langs else None
+            per_text = known.scored([[b" " + w for w in lower_words(t)] for t in texts]) if langs else texts
             found, score = [], []
             for text, own in zip(texts, per_text, strict=True):
                 if not langs or text is None or not any(map(str.isalpha, text)):
                     found.append("und")
                     score.append(0.0)
                     continue
-                total = per_word[own].sum(0)
+                total = known.scores[own].sum(0)
                 best = int(total.argmax())
                 found.append(langs[best])
                 score.append(float(1 / np.exp(total - total[best]).sum()))

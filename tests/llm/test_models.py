@@ -313,3 +313,20 @@ def test_columns_are_cut_as_texts_are(odd_rows):
     lengths, found = hmm._cut(pa.array(texts, pa.string()))
     assert lengths.tolist() == [len(lower_words(t)) for t in texts]
     assert found.to_pylist() == [w for t in texts for w in lower_words(t)]
+
+
+def test_a_word_is_scored_once_for_all_slices(monkeypatch):
+    asked, score = [], language.word_scores
+    monkeypatch.setattr(language, "word_scores", lambda words, *rest: asked.extend(words) or score(words, *rest))
+    n = language.vocabulary(PATH)[0]
+    log_p = np.log(np.vstack([np.full((1, 2), 1e-300), np.random.default_rng(3).dirichlet(np.ones(n), 2).T]))
+    known, slices = language._Known(log_p, PATH), [[WORDS[:4], WORDS[2:5]], [[]], [WORDS[1:6], WORDS[:1]]]
+    for texts in slices:
+        rows = known.scored(texts)
+        for words, own in zip(texts, rows, strict=True):
+            if words:
+                np.testing.assert_allclose(known.scores[own], score(words, log_p, PATH))
+    assert sorted(asked) == sorted(set(WORDS[:6]))
+    monkeypatch.setattr(language, "HELD", 0)
+    known.scored([WORDS[:2]])
+    assert list(known.index) == list(dict.fromkeys(WORDS[:2]))
