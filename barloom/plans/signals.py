@@ -156,7 +156,7 @@ def _(v):
 
 @query("w20_golden_cross_score", sql("sg5", f"SELECT symbol, trade_date, {Rs('golden_norm')}, golden_score FROM sg5"))
 def _(v):
-    df = S.golden_score(S.golden_norm(trend.crosses(trend.macd(trend.atr(v.histories)))))
+    df = S.golden_score(S.golden_norm(S.oldest_cross(trend.crosses(trend.macd(trend.atr(v.histories))))))
     return df.select(*KEY, r("golden_norm").alias("golden_norm"), "golden_score")
 
 
@@ -184,7 +184,7 @@ def _(v):
 @query("w24_exit_score", sql("sig", f"SELECT symbol, trade_date, exit_score, {R('stop_loss', 2)} AS stop_loss FROM sig"))
 def _(v):
     df = S.regime(trend.bollinger(trend.macd(trend.sma(trend.atr(v.histories))))).withColumn("macd_trend", S.macd_trend(F.col("dif"), F.col("dea")))
-    return S.exit_score(S.risk_level(S.divergence(df))).select(*KEY, "exit_score", r("stop_loss", 2).alias("stop_loss"))
+    return S.exit_score(S.risk_level(S.divergence(S.last_stop(df)))).select(*KEY, "exit_score", r("stop_loss", 2).alias("stop_loss"))
 
 
 @query("w25_composite_score", sql("sigf", f"SELECT symbol, trade_date, {R('score_base', 4)} AS score_base, {R('score', 4)} AS score, level FROM sigf"))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from barloom.operators import panel, signals
+from barloom.plans import load
+from barloom.plans.registry import Views
 
 
 def test_partitions_follow_the_rows(bars):
@@ -31,3 +33,10 @@ def test_work_of_a_detection_does_not_grow_with_the_history(monkeypatch):
     x = np.random.default_rng(2).normal(size=3000).cumsum() * 0.1
     signals.divergence_rows(50 + x, np.diff(x, prepend=0.0))
     assert asked and max(asked) < 120
+
+
+@pytest.mark.parametrize("name", ["w20_golden_cross_score", "w24_exit_score"])
+def test_nothing_is_shuffled_after_the_walk(spark, name):
+    """A window above the walk shuffles its rows again, into partitions that do not follow them."""
+    plan = load()[name].build(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
