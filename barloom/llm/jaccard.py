@@ -1,13 +1,17 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles.
+"""Near copies by SimHash and the Jaccard similarity of their sets of word shingles.
 
-A similarity of 0.8 leaves about 10 of 64 SimHash bits different, more than a grid over 64 bits can
-search. So MinHash bands propose the pairs: PER of the minima agree in one band with probability
-J ** PER, and of BANDS bands none does in 3 of a million pairs of J = 0.8, fewer above. SimHash of the
-set drops pairs that are far apart, and the exact Jaccard similarity decides on the rest.
+Each set has a SimHash. The segment counts of `simhash` and their grid find every pair of sets whose
+fingerprints differ in at most DISTANCE bits: sets that share a cell, then Manhattan distance of the
+counts, then Hamming distance. The exact Jaccard similarity decides.
 
-Equal sets count once. Bands with few sets give pairs in a join. In a band with many, a set meets the
-band's first; as most then hang together, only sets outside the largest component so far meet all of
-the band, block by block, each pair of blocks in a group of bounded size that returns a spanning
+A similarity of 0.8 leaves about 10 of 64 bits different, more than a grid over 64 bits can search. So
+beside the grid MinHash bands propose the pairs beyond DISTANCE: PER of the minima agree in one band
+with probability J ** PER, and of BANDS bands none does in 3 of a million pairs of J = 0.8, fewer above.
+SimHash drops those of them that are far apart, and the same exact similarity decides on the rest.
+
+Equal sets count once. Cells and bands with few sets give pairs in a join. In one with many, a set meets
+the first; as most then hang together, only sets outside the largest component so far meet all of the
+cell or band, block by block, each pair of blocks in a group of bounded size that returns a spanning
 forest. A pair inside the component needs no link of its own, so none is lost."""
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.graph import components
-from barloom.llm.simhash import SEED, _bits, _hashes, _majority
+from barloom.llm.simhash import DISTANCE, SEED, _bits, _hashes, _majority, cell_masks, embed
 from barloom.llm.text import lower_words, sliced
 from barloom.session import cut_lineage
 
@@ -32,9 +36,9 @@ WIDTH, NUM, DEN = 5, 4, 5
 BANDS, PER = 24, 4
 #: Sets of this many shingles and more are compared only within FAR bits, five deviations above the 10 of J = 0.8.
 FAR_FROM, FAR = 32, 24
-#: Bands with up to this many sets pair up in a join; larger ones are compared block by block.
+#: Cells and bands with up to this many sets pair up in a join; larger ones are compared block by block.
 CELL, BLOCK = 32, 512
-#: Bands in which a set of a large band is compared with the band's first before anything else.
+#: Large cells or bands of a set in which it is compared with the first before anything else.
 STARS = 4
 #: Shingles of two blocks that are compared at a time.
 _COLUMNS = 4096
@@ -128,18 +132,44 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return both.where(DEN * F.col("common") >= NUM * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
 
 
-def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): edges that connect the sets (set, fp, n, bands, draw) which links of the similarity
-    connect. texts (draw, text) has the text of each draw."""
+def _banded(sets: DataFrame) -> DataFrame:
+    """(band, key, set, fp, n, draw, many) for each band that many sets, at least two, share."""
     placed = sets.select("set", "fp", "n", "draw", F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count("*").alias("many")).where("many > 1")
-    members = cut_lineage(placed.join(shared, ["band", "key"]))
-    small, large = members.where(F.col("many") <= CELL), members.where(F.col("many") > CELL)
-    other = small.select("band", "key", *[F.col(c).alias(f"{c}2") for c in ("set", "fp", "n", "draw")])
+    return cut_lineage(placed.join(shared, ["band", "key"]))
+
+
+def _gridded(sets: DataFrame) -> DataFrame:
+    """The same, and the unary codes of the segment counts, for each cell of the grid; cells are numbered after the bands.
+
+    Equal fingerprints count once in the search. Most cells hold one, so keys and fingerprints go there alone."""
+    points = cut_lineage(sets.groupBy("fp").agg(F.count("*").alias("w")).withColumn("code", embed(F.col("fp"))))
+    masks = cell_masks(points.count(), DISTANCE)
+    # a clash of two keys adds a comparison, no link
+    cell = F.explode(F.array(*[F.struct(F.lit(BANDS + i).alias("band"), F.xxhash64(F.lit(i), F.col("code").bitwiseAND(F.lit(m))).alias("key")) for i, m in enumerate(masks)]))
+    placed = points.select("fp", "w", cell.alias("c")).select("fp", "w", "c.band", "c.key")
+    shared = cut_lineage(placed.groupBy("key").agg(F.sum("w").alias("many")).where("many > 1"))
+    return cut_lineage(placed.drop("w").join(shared, "key").join(sets.drop("bands"), "fp").withColumn("code", embed(F.col("fp"))))
+
+
+def _met(members: DataFrame, close: Column) -> DataFrame:
+    """(u, v, and their draws) for the pairs in each cell or band that are close and whose sizes allow the similarity."""
+    other = members.select("band", "key", *[F.col(c).alias(f"{c}2") for c in members.columns if c not in ("band", "key", "many")])
     sizes = DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2")
-    close = (F.least("n", "n2") < FAR_FROM) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= FAR)
-    pairs = small.join(other, ["band", "key"]).where((F.col("set") < F.col("set2")) & sizes & close)
-    pairs = cut_lineage(pairs.select(F.col("set").alias("u"), F.col("set2").alias("v"), F.col("draw").alias("du"), F.col("draw2").alias("dv")).distinct())
+    pairs = members.join(other, ["band", "key"]).where((F.col("set") < F.col("set2")) & sizes & close)
+    return pairs.select(F.col("set").alias("u"), F.col("set2").alias("v"), F.col("draw").alias("du"), F.col("draw2").alias("dv"))
+
+
+def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): edges that connect the sets (set, fp, n, bands, draw) which links of the similarity
+    connect. texts (draw, text) has the text of each draw."""
+    cells, bands = _gridded(sets), _banded(sets)
+    hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
+    near_codes = F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= DISTANCE
+    not_far = (F.least("n", "n2") < FAR_FROM) | (hamming <= FAR)
+    few = F.col("many") <= CELL
+    pairs = cut_lineage(_met(cells.where(few), near_codes & (hamming <= DISTANCE)).union(_met(bands.where(few), not_far)).distinct())
+    large = bands.where(~few).unionByName(cells.where(~few).drop("code"))
     met = pairs.select(F.col("u").alias("set"), F.col("du").alias("draw")).union(pairs.select("v", "dv")).union(large.select("set", "draw")).distinct()
     found = texts.join(met, "draw").dropDuplicates(["set"])
     found = cut_lineage(_shingled(found.select("set", "text")))
@@ -148,16 +178,16 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _stars(large: DataFrame) -> DataFrame:
-    """(u, v): each set of a large band with the band's first, in a few of its bands."""
+    """(u, v): each set of a large cell or band with its first, in a few of them."""
     # bands are taken by a hash, so that sets of a group get different firsts
-    turn = F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("set", "band")))  # as many rows as there are bands
+    turn = F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("set", "band")))  # as many rows as there are cells and bands
     some = large.withColumn("turn", turn).where(F.col("turn") <= STARS).select("band", "key", "set")
     firsts = large.groupBy("band", "key").agg(F.min_by("set", F.xxhash64("set", "band")).alias("first"))
     return some.join(firsts, ["band", "key"]).where(F.col("set") != F.col("first")).select(F.least("set", "first").alias("u"), F.greatest("set", "first").alias("v"))
 
 
 def _across(large: DataFrame, near: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Edges between sets of a large band that near does not connect yet. Most sets of such a band are one
+    """Edges between sets of a large cell or band that near does not connect yet. Most sets of such a one are one
     component by now; only those outside it meet the others, block by block."""
     roots = components(near).withColumnRenamed("node", "set")
     rooted = cut_lineage(large.select("band", "key", "set", "n").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+import xxhash
 from llm.conftest import prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from barloom.llm import jaccard
@@ -52,3 +55,25 @@ def test_near_copies_are_the_jaccard_groups(make, monkeypatch, copies, cell, blo
     assert got == set(want)
     pairs = [(i, w) for i, w in enumerate(want) if i != w]
     assert len(pairs) > 50
+
+
+@pytest.mark.parametrize("cell, block", [(32, 512), (4, 8)])
+def test_simhash_grid_links_near_copies_without_bands(make, monkeypatch, cell, block):
+    """With bands that no two sets share, each pair within three bits and of the similarity is still linked."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "band_keys", lambda h: np.resize(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64), 24))
+    rng, texts = random.Random(4), []
+    for k in range(30):
+        base = prose(800 + k, rng.randint(150, 400))
+        texts += [base, *(edited(rng, base, rng.randint(1, 4)) for _ in range(9))]
+    sets = [jaccard.shingle_set(t) for t in texts]
+    prints = [jaccard._majority(jaccard._bits(h), len(h)) for h in sets]
+    want = brute_groups(texts)
+    rows = make([(i, t, "en", "a") for i, t in enumerate(texts)])
+    root = {r["doc_id"]: r["root"] for r in jaccard.near_copies(rows, F.xxhash64("doc_id", "text"), keep=(F.col("doc_id"),)).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    near = [(i, j) for i, j in pairs if (prints[i] ^ prints[j]).bit_count() <= 3]
+    assert 50 < len(near) < len(pairs)
+    assert all(root[i] == root[j] for i, j in near)
+    assert all(want[i] == want[j] for i in root for j in root if root[i] == root[j])
