@@ -125,22 +125,22 @@ def _ok(cond=""):
 
 @query("i08_feature_window_closure", _ok())
 def _(v):
-    return I.check_feature_window(closed, v.adj, AUDIT)
+    return I.check_feature_window(closed, v.histories, AUDIT)
 
 
 @query("i08_feature_window_leak")
 def _(v):
-    return I.check_feature_window(L.raw_features, v.adj, AUDIT)
+    return I.check_feature_window(L.raw_features, v.histories, AUDIT)
 
 
 @query("i09_no_global_statistics", _ok())
 def _(v):
-    return I.check_no_global_statistics(closed, v.adj, AUDIT)
+    return I.check_no_global_statistics(closed, v.histories, AUDIT)
 
 
 @query("i10_train_features_invariant", _ok("WHERE trade_date<DATE '2000-01-01'"))
 def _(v):
-    return I.check_train_invariant(closed, v.adj, AUDIT, "2000-01-01")
+    return I.check_train_invariant(closed, v.histories, AUDIT, "2000-01-01")
 
 
 @query("i11_execution_price", sql("trades raw", "SELECT action, count(close) AS n_checked, count(*) FILTER (close IS NULL) AS n_without_bar, count(*) FILTER (NOT (price BETWEEN low-1e-6 AND high+1e-6)) AS n_violations FROM trades LEFT JOIN raw USING (symbol, trade_date) GROUP BY 1"))
